@@ -6,8 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm.frames import table
+from larkspur.llm.decontam import contaminated
+from larkspur.llm.frames import scratch_path, table
+from larkspur.llm.mixing import MIXTURE_SQL, mixture
 from larkspur.llm.neardup import near_duplicates
+from larkspur.llm.tokenstore import read_tokens, write_tokens
+from larkspur.llm.urlrules import RULES, VERDICTS_SQL, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,11 +21,46 @@ def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), shingle=4, percent=80)
 
 
+def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systematic sampling of all documents to the sources' target weights."""
+    return mixture(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a benchmark passage, with the passage."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as Simple-8b segments of token ids, and what reading them back gives."""
+    path = scratch_path(spark, "tokens")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file(), end_id=2)
+    return read_tokens(spark, path)
+
+
+def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts on all page URLs."""
+    return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+
+
 def queries() -> dict[str, Query]:
     return {
+        "op4_source_mixing": op4_source_mixing,
         "op6_minhash_neardup": op6_minhash_neardup,
+        "op8_benchmark_decontamination": op8_benchmark_decontamination,
+        "op9_token_output": op9_token_output,
+        "op10_url_rules": op10_url_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op4_source_mixing": MIXTURE_SQL,
+        "op10_url_rules": VERDICTS_SQL,
+    }
