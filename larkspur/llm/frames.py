@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,3 +47,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Rows of a table that is sent to every task; larger ones meet by a shuffle.
+MOST_BROADCAST_ROWS = 50_000
+
+
+def join_small(rows: DataFrame, small: DataFrame, on: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with a table that is expected to be small; its size is counted first.
+
+    ``small`` has a few narrow columns.  Beyond the bound the join is a sort-merge
+    join, whose skewed keys adaptive execution splits.
+    """
+    few = small.limit(MOST_BROADCAST_ROWS + 1).count() <= MOST_BROADCAST_ROWS
+    return rows.join(F.broadcast(small) if few else small.hint("merge"), on, how)
