@@ -15,11 +15,13 @@ The plan, none of whose steps gathers an unbounded group in one task:
    partner only, the smallest member of the buckets they share most often.  As
    this partner is always smaller, confirmed links are a forest, whose roots
    pointer jumping finds;
-3. what is still apart in some bucket is compared there exactly: members are
-   dealt into blocks, members outside the bucket's largest component meet every
-   block once, and a pair is looked at only in the first band that it shares.
-   In a block a union-find keeps the links to a spanning forest, so a group of
-   n near copies yields O(n) rows, never n^2;
+3. what is still apart in some bucket is compared there, a pair only in the first
+   band that it shares.  Buckets of up to 32 classes send registers alone and
+   return the pairs whose estimate allows a link, to be verified.  In larger ones
+   members are dealt into blocks with their sets, those outside the bucket's
+   largest component meet every block once, and a union-find keeps a block's
+   confirmed links to a spanning forest, so a group of n near copies yields O(n)
+   rows, never n^2;
 4. large-star/small-star rounds join the components.
 
 Without words or text a document has an empty set and is linked with nothing.
@@ -44,6 +46,8 @@ BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
 #: Members of a bucket that are compared in one block at most.
 BLOCK = 256
+#: Classes in a bucket up to which pairs are returned one by one (at most 15.5 a row).
+SMALL = 32
 #: Standard deviations of the estimate that a pair may fall short before its sets are left unread.
 SLACK = 6.0
 #: Sets smaller than this fill too few buckets for an estimate; they are always compared in full.
@@ -149,7 +153,7 @@ def signatures(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFr
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:
-    """Of rows (doc_id, partner and both sides' registers and sets) the confirmed links."""
+    """Of rows (doc_id, partner to name, and both sides' registers and sets) the confirmed links."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,58 +186,66 @@ class _Forest:
         return True
 
 
-def _block_links(rows: list[tuple], percent: int) -> list[tuple[int, int]]:
-    """Links between components among the members of one block pair.
+def _unseen(rows: list[tuple], i: int, comps: np.ndarray, sides: np.ndarray, regs: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Later rows of other components that share no earlier band with row i and may be similar to it."""
+    rest, band = slice(i + 1, None), rows[0][0]
+    at = np.flatnonzero((comps[rest] != comps[i]) & ((sides[rest] != sides[i]) | (sides[i] == 2))) + i + 1
+    if not len(at):
+        return at
+    same = regs[at] == regs[i]
+    if band:
+        earlier = same[:, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(axis=2).any(axis=1)
+        at, same = at[~earlier], same[~earlier]
+    return at[_promising(same.sum(axis=1), sizes[at], np.full(len(at), sizes[i]), percent)]
 
-    rows: (band, side, comp, registers, set), side 0 and 1 for the two blocks
-    or 2 where a block meets itself; only pairs of different sides (or within 2) count.
+
+def _links(rows: list[tuple], percent: int, verify: bool) -> list[tuple]:
+    """Of the rows (band, side, comp, doc_id, n_shingles, registers, set) of one or two blocks:
+
+    links between components as a spanning forest, or without ``verify`` all
+    pairs to verify with their components.  Sides 0 and 1 tell two blocks apart;
+    within 2 all pairs count.
     """
-    band = rows[0][0]
-    comps = np.array([r[2] for r in rows])
-    sides = np.array([r[1] for r in rows])
-    regs = np.stack([np.frombuffer(r[3], np.uint16) for r in rows])
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
-    sizes = np.array([len(s) for s in sets])
-    forest, links = _Forest(), []
+    comps, sides, sizes = (np.array([r[k] for r in rows]) for k in (2, 1, 4))
+    regs = np.stack([np.frombuffer(r[5], np.uint16) for r in rows])
+    forest, out = _Forest(), []
     for i in range(len(rows) - 1):
-        rest = slice(i + 1, None)
-        may = (comps[rest] != comps[i]) & ((sides[rest] != sides[i]) | (sides[i] == 2))
-        at = np.flatnonzero(may) + i + 1
-        if not len(at):
-            continue
-        same = regs[at] == regs[i]
-        if band:
-            same_bands = same[:, : band * BAND_ROWS].reshape(len(at), band, BAND_ROWS).all(axis=2).any(axis=1)
-            at, same = at[~same_bands], same[~same_bands]
-        ok = _promising(same.sum(axis=1), sizes[at], np.full(len(at), sizes[i]), percent)
-        for j in at[ok].tolist():
+        for j in _unseen(rows, i, comps, sides, regs, sizes, percent).tolist():
             a, b = int(comps[i]), int(comps[j])
-            if forest.find(a) != forest.find(b) and _similar(sets[i], sets[j], percent):
+            if not verify:
+                out.append((rows[i][3], rows[j][3], a, b))
+            elif forest.find(a) != forest.find(b) and _similar(np.frombuffer(rows[i][6], np.uint64), np.frombuffer(rows[j][6], np.uint64), percent):
                 forest.join(a, b)
-                links.append((max(a, b), min(a, b)))
-    return links
+                out.append((a, b))
+    return out
 
 
-def _compare_blocks(members: DataFrame, percent: int) -> DataFrame:
-    """members come sorted by (bucket, first, second); a group has at most two blocks."""
+def _compare_blocks(members: DataFrame, percent: int, verify: bool) -> DataFrame:
+    """members come sorted by (bucket, first, second, band); a group has at most two blocks."""
+    names = ["doc_id", "partner"] if verify else ["left", "right", "doc_id", "partner"]
+    keys = ("bucket", "first", "second", "band", "side", "comp", "doc_id", "n_shingles", "registers") + ("shingles",) * verify
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names)
+
         for batch in batches:
             d = batch.to_pydict()
-            found: list[tuple[int, int]] = []
-            for row in zip(d["bucket"], d["first"], d["second"], d["band"], d["side"], d["comp"], d["registers"], d["shingles"]):
+            found: list[tuple] = []
+            for row in zip(*[d[k] for k in keys]):
                 if row[:4] != key:
                     if len(rows) > 1:
-                        found += _block_links(rows, percent)
+                        found += _links(rows, percent, verify)
                     key, rows = row[:4], []
                 rows.append(row[3:])
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["doc_id", "partner"])
-        if len(rows) > 1 and (found := _block_links(rows, percent)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], ["doc_id", "partner"])
+                yield out(found)
+        if len(rows) > 1 and (found := _links(rows, percent, verify)):
+            yield out(found)
 
-    return members.mapInArrow(run, "doc_id long, partner long")
+    return members.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
 def forest_roots(parents: DataFrame) -> DataFrame:
@@ -301,11 +313,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     tried = cut(tried)
     wanted = joint.select("doc_id").distinct()
     needed = docs.select(F.col("doc_id").cast("long"), "text").join(wanted.hint("merge"), "doc_id", "left_semi")
-    full = cut(signatures(needed, shingle, with_sets=True).select("doc_id", "set_key", "registers", "shingles").join(classes.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).drop("set_key"))
+    full = cut(signatures(needed, shingle, with_sets=True).select("doc_id", "n_shingles", "set_key", "registers", "shingles").join(classes.select("set_key", "doc_id"), ["set_key", "doc_id"], "left_semi").dropDuplicates(["doc_id"]).drop("set_key"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links (doc_id, partner) of those pairs (left, right, doc_id, partner) whose left and right are similar."""
+        one = full.select(F.col("doc_id").alias("left"), "registers", "shingles")
+        other = full.select(F.col("doc_id").alias("right"), F.col("registers").alias("p_registers"), F.col("shingles").alias("p_shingles"))
+        return _verify(pairs.join(one, "left").join(other, "right").select("doc_id", "partner", "registers", "p_registers", "shingles", "p_shingles"), percent)
 
-    other = full.select(F.col("doc_id").alias("partner"), F.col("registers").alias("p_registers"), F.col("shingles").alias("p_shingles"))
-    first = _verify(tried.join(full, "doc_id").join(other, "partner").select("doc_id", "partner", "registers", "p_registers", "shingles", "p_shingles"), percent)
-    roots = forest_roots(first)
+    roots = forest_roots(verified(tried.select(F.col("doc_id").alias("left"), F.col("partner").alias("right"), "doc_id", "partner")))
 
     # What is still apart in a bucket; a bucket of two that the first round has compared is done.
     placed = joint.join(roots, "doc_id", "left").join(tried.withColumnRenamed("partner", "tried"), "doc_id", "left")
@@ -313,8 +329,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     placed = cut(placed)
     sizes = placed.groupBy("band", "bucket", "comp").agg(F.count(F.lit(1)).alias("n"), F.max(F.coalesce("done", F.lit(False))).alias("done"))
     sizes = sizes.groupBy("band", "bucket").agg(F.sum("n").alias("members"), F.max(F.struct("n", "comp")).alias("most"), F.max("done").alias("done"), F.count(F.lit(1)).alias("comps"))
-    sizes = sizes.filter("comps > 1 and not done").select("band", "bucket", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("major_blocks"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("minor_blocks"))
-    apart = placed.select("band", "bucket", "doc_id", "comp").join(sizes.hint("merge"), ["band", "bucket"])
+    sizes = sizes.filter("comps > 1 and not done").select("band", "bucket", (F.col("members") <= SMALL).alias("small"), F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / BLOCK).cast("int").alias("major_blocks"), F.ceil((F.col("members") - F.col("most.n")) / BLOCK).cast("int").alias("minor_blocks"))
+    apart = cut(placed.select("band", "bucket", "doc_id", "comp").join(sizes.hint("merge"), ["band", "bucket"]))
+
+    def sorted_by_block(rows: DataFrame) -> DataFrame:
+        return rows.repartition(width, "bucket", "band", "first", "second").sortWithinPartitions("bucket", "first", "second", "band")
+
+    few = apart.filter("small").select("band", "bucket", "doc_id", "comp", F.lit(0).alias("first"), F.lit(0).alias("second"), F.lit(2).alias("side"))
+    few = sorted_by_block(few.join(classes.select("doc_id", "n_shingles", "registers"), "doc_id"))
+    small_links = verified(cut(_compare_blocks(few, percent, verify=False)))
+
+    apart = apart.filter("not small")
     minor = F.col("comp") != F.col("major")
     own = F.pmod(F.xxhash64("doc_id"), F.when(minor, F.col("minor_blocks")).otherwise(F.col("major_blocks"))).cast("int")
     apart = apart.select("band", "bucket", "doc_id", "comp", minor.alias("minor"), own.alias("own"), "minor_blocks", "major_blocks")
@@ -327,11 +352,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     with_major = F.transform(F.sequence(F.lit(0), F.col("major_blocks") - 1), lambda i: task(mine, -1 - i, F.lit(0)))
     from_major = F.transform(F.sequence(F.lit(0), F.col("minor_blocks") - 1), lambda i: task(i, -1 - mine, F.lit(1)))
     dealt = apart.select("band", "bucket", "doc_id", "comp", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("t")).select("band", "bucket", "doc_id", "comp", "t.*")
-    dealt = dealt.join(full, "doc_id").select("bucket", "first", "second", "band", "side", "comp", "registers", "shingles")
-    dealt = dealt.repartition(max(width, 1), "bucket", "band", "first", "second").sortWithinPartitions("bucket", "band", "first", "second")
-    second = _compare_blocks(dealt, percent)
+    large_links = _compare_blocks(sorted_by_block(dealt.join(full, "doc_id")), percent, verify=True)
 
-    merged = components(second).withColumnRenamed("doc_id", "comp").withColumnRenamed("root", "least")
+    merged = components(small_links.union(large_links)).withColumnRenamed("doc_id", "comp").withColumnRenamed("root", "least")
     rooted = roots.select("doc_id", F.col("root").alias("comp"))
     reach = classes.select("set_key", "doc_id").join(rooted, "doc_id", "left").select("set_key", F.coalesce("comp", "doc_id").alias("comp"))
     reach = reach.join(merged, "comp", "left").select("set_key", F.coalesce("least", "comp").alias("component_id"))
