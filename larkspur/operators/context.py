@@ -65,7 +65,7 @@ def diversify(candidates: DataFrame, k: int, weight: float = 0.7) -> DataFrame:
         return pd.DataFrame({"query_id": chosen["query_id"].to_numpy(), "doc_id": chosen["doc_id"].to_numpy(), "pick": np.arange(1, len(picks) + 1, dtype=np.int32)})
 
     ids = candidates.select("query_id", "doc_id").schema
-    return candidates.groupBy("query_id").applyInPandas(choose, ids.add("pick", "int"))
+    return candidates.groupBy("query_id").applyInPandas(choose, ids.add("pick", "integer"))
 
 
 def expand_to_parents(hits: DataFrame, children: DataFrame, parents: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ def cluster(nodes: DataFrame, size: int, by: str = "tree_id") -> DataFrame:
         part = part.sort_values("node_id", kind="stable")
         return pd.DataFrame({by: part[by], "node_id": part["node_id"], "group": greedy_groups(np.stack([np.asarray(v, float) for v in part["vec"]]), size)})
 
-    return nodes.select(by, "node_id", "vec").groupBy(by).applyInPandas(run, nodes.select(by, "node_id").schema.add("group", "int"))
+    return nodes.select(by, "node_id", "vec").groupBy(by).applyInPandas(run, nodes.select(by, "node_id").schema.add("group", "integer"))
 
 
 def build_tree(leaves: DataFrame, embed: Callable[[DataFrame], DataFrame], summarize: Callable[[DataFrame], DataFrame], size: int = 4, max_layers: int = 3) -> DataFrame:

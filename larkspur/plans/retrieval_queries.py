@@ -1,0 +1,506 @@
+"""Queries over rankings, vectors, contexts, graphs and metrics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window, functions as F
+
+from larkspur.functions import vectors as V
+from larkspur.functions.backends import embed
+from larkspur.operators import context as C, dense as D, entity as E, graph as G, hierarchy as T, metrics as M
+from larkspur.operators.answer import extract_answers, rerank
+from larkspur.operators.ranking import chunks_to_documents, first_per_key, fuse
+from larkspur.operators.sparse import bm25, term_weights
+from larkspur.plans import agents, pipeline
+from larkspur.plans.catalogue import query, values
+from larkspur.sources.readers import table
+from larkspur.sources.stores import feedback_to_golden
+
+
+def docs_of(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+def asked_of(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+
+
+def bm25_sql(name: str, docs: str, k: int, queries: str = "SELECT item_id AS query_id, text AS query FROM benchmark") -> str:
+    """Common table expressions that end in ``name`` (query_id, doc_id, score, rank)."""
+    p = name
+    return rf"""
+{p}_q AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS term FROM ({queries})) GROUP BY ALL),
+{p}_d AS (SELECT doc_id, coalesce(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), []) AS t FROM ({docs})),
+{p}_s AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM {p}_d),
+{p}_t AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM {p}_d) WHERE term IN (SELECT term FROM {p}_q) GROUP BY ALL),
+{p}_f AS (SELECT term, count(*) AS df FROM {p}_t GROUP BY term),
+{p}_x AS (SELECT query_id, doc_id, round(sum(qtf * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / avgdl))), 6)::DOUBLE AS score
+  FROM {p}_q JOIN {p}_t USING (term) JOIN {p}_f USING (term) CROSS JOIN {p}_s GROUP BY ALL),
+{p} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM {p}_x WHERE score > 0) WHERE rank <= {k})"""
+
+
+DOCS_SQL = "SELECT doc_id, text FROM documents"
+
+
+@query(f"WITH {bm25_sql('r', DOCS_SQL, 10)} SELECT query_id, doc_id, score, rank FROM r")
+def bm25_topk(spark, sf_dir):
+    return bm25(docs_of(spark, sf_dir), asked_of(spark, sf_dir), 10)
+
+
+@query(f"WITH {bm25_sql('r', DOCS_SQL, 20)} SELECT query_id, doc_id, rank FROM r")
+def bm25_rank(spark, sf_dir):
+    return bm25(docs_of(spark, sf_dir), asked_of(spark, sf_dir), 20).select("query_id", "doc_id", "rank")
+
+
+@query(r"""
+WITH t AS (SELECT unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS term FROM documents WHERE text IS NOT NULL),
+f AS (SELECT term, count(*)::BIGINT AS df FROM t GROUP BY term)
+SELECT term, df, round(ln(((SELECT count(*) FROM documents) - df + 0.5) / (df + 0.5) + 1), 6)::DOUBLE AS idf FROM f""")
+def bm25_idf(spark, sf_dir):
+    return term_weights(docs_of(spark, sf_dir))
+
+
+def fuse_sql(legs: list[str], k: int = 60) -> str:
+    union = " UNION ALL ".join(f"SELECT query_id, doc_id, rank FROM {x}" for x in legs)
+    return f"""fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM
+  (SELECT query_id, doc_id, round(sum(1.0::DOUBLE / ({k} + rank)), 9)::DOUBLE AS score FROM ({union}) GROUP BY ALL))"""
+
+
+HEADS_SQL = "SELECT doc_id, regexp_extract(text, '^[^\\n]*') AS text FROM documents"
+
+
+def heads_of(spark, sf_dir):
+    """First lines, the nearest thing to titles."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.regexp_extract("text", r"^[^\n]*", 0).alias("text"))
+
+
+@query(f"WITH {bm25_sql('body', DOCS_SQL, 10)}, {bm25_sql('head', HEADS_SQL, 10)}, {fuse_sql(['body', 'head'])} SELECT * FROM fused WHERE rank <= 10")
+def title_body_fusion(spark, sf_dir):
+    q = asked_of(spark, sf_dir)
+    return fuse([bm25(docs_of(spark, sf_dir), q, 10), bm25(heads_of(spark, sf_dir), q, 10)], top_k=10)
+
+
+@query(f"WITH {bm25_sql('body', DOCS_SQL, 20)}, {bm25_sql('head', HEADS_SQL, 20)}, {fuse_sql(['body', 'head'], 10)} SELECT * FROM fused")
+def rrf_two_legs(spark, sf_dir):
+    q = asked_of(spark, sf_dir)
+    return fuse([bm25(docs_of(spark, sf_dir), q, 20), bm25(heads_of(spark, sf_dir), q, 20)], k=10)
+
+
+SOURCES_SQL = "SELECT doc_id, coalesce(source, '') || ' ' || coalesce(lang, '') || ' ' || coalesce(regexp_extract(text, '^[^.]*'), '') AS text FROM documents"
+
+
+@query(f"WITH {bm25_sql('body', DOCS_SQL, 20)}, {bm25_sql('head', HEADS_SQL, 20)}, {bm25_sql('lead', SOURCES_SQL, 20)}, {fuse_sql(['body', 'head', 'lead'])} SELECT * FROM fused")
+def rrf_three_legs(spark, sf_dir):
+    q = asked_of(spark, sf_dir)
+    lead = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("lang", F.lit("")), F.lit(" "), F.coalesce(F.regexp_extract("text", r"^[^.]*", 0), F.lit(""))).alias("text"))
+    return fuse([bm25(docs_of(spark, sf_dir), q, 20), bm25(heads_of(spark, sf_dir), q, 20), bm25(lead, q, 20)])
+
+
+def vectors_of(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), V.doubles(F.col("embedding")).alias("vec"), "label")
+
+
+def query_vectors_of(spark, sf_dir):
+    """Every 25th vector asks."""
+    return vectors_of(spark, sf_dir).filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
+
+
+COSINE = "round(CASE WHEN list_dot_product(a.e, a.e) > 0 AND list_dot_product(q.e, q.e) > 0 THEN list_cosine_similarity(a.e, q.e) ELSE 0 END, 6)::DOUBLE"
+VECTORS_SQL = "a AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 25 = 0)"
+
+
+def near_sql(k: int, name: str = "near", where: str = "TRUE") -> str:
+    return f"{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, {COSINE} AS score FROM a, q WHERE {where})) WHERE rank <= {k})"
+
+
+@query(f"WITH {VECTORS_SQL}, {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
+def cosine_topk(spark, sf_dir):
+    return D.exact_search(vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 10)
+
+
+@query(f"WITH {VECTORS_SQL}, {near_sql(10, where='a.label IN (1, 3)')} SELECT query_id, doc_id, score, rank FROM near")
+def cosine_topk_acl(spark, sf_dir):
+    v = vectors_of(spark, sf_dir).withColumn("allowed_groups", F.array(F.concat(F.lit("team-"), F.col("label"))))
+    return D.exact_search(v, query_vectors_of(spark, sf_dir), 10, ["team-1", "team-3"])
+
+
+@query(f"WITH a AS (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 25 = 0), {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
+def mrl_truncate_cosine(spark, sf_dir):
+    short = vectors_of(spark, sf_dir).withColumn("vec", V.shorten(F.col("vec"), 16))
+    return D.exact_search(short, short.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec")), 10)
+
+
+@query(f"WITH {VECTORS_SQL}, {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
+def int8_rescore_topk(spark, sf_dir):
+    return D.two_phase_search(vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 10)
+
+
+def routes_of(spark, sf_dir):
+    return vectors_of(spark, sf_dir).filter("doc_id % 25 <> 0").select(F.col("doc_id").alias("utt_id"), "vec", F.concat(F.lit("route-"), F.col("label")).alias("label"))
+
+
+@query(f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 25 <> 0')} SELECT query_id, 'route-' || label AS label FROM near JOIN embeddings ON vec_id = doc_id")
+def semantic_route_k1(spark, sf_dir):
+    return D.semantic_route(routes_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 1)
+
+
+@query(f"""WITH {VECTORS_SQL}, {near_sql(5, where='a.vec_id % 25 <> 0')},
+votes AS (SELECT query_id, 'route-' || label AS label, round(sum(1 + (5 - (rank - 1)) * 1e-6), 9) AS votes, min(rank) AS first FROM near JOIN embeddings ON vec_id = doc_id GROUP BY ALL)
+SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first) AS k FROM votes) WHERE k = 1""")
+def semantic_route_k5(spark, sf_dir):
+    return D.semantic_route(routes_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 5)
+
+
+def _cache_of(spark, sf_dir):
+    return vectors_of(spark, sf_dir).filter("doc_id % 25 <> 0").select(F.col("doc_id").alias("entry_id"), "vec", F.concat(F.lit("answer "), F.col("doc_id")).alias("response"))
+
+
+CACHE_SQL = f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 25 <> 0')}, hits AS (SELECT q.vec_id AS query_id, n.doc_id AS entry_id, n.score AS similarity FROM q LEFT JOIN near n ON n.query_id = q.vec_id AND n.score >= 0.7)"
+
+
+@query(f"{CACHE_SQL} SELECT query_id, entry_id, similarity, 'answer ' || entry_id AS response FROM hits")
+def cache_lookup(spark, sf_dir):
+    return D.cache_lookup(_cache_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 0.7)
+
+
+@query(f"{CACHE_SQL} SELECT count(*)::BIGINT AS n, round(avg((entry_id IS NOT NULL)::INT), 6)::DOUBLE AS hit_rate FROM hits")
+def cache_hit_rate(spark, sf_dir):
+    found = D.cache_lookup(_cache_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 0.7)
+    return found.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("entry_id").isNotNull().cast("double")), 6).alias("hit_rate"))
+
+
+@query("""
+WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id, [e[1:16], e[17:32], e[33:48], e[49:64]] AS p FROM a),
+s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(q.p, lambda x: list_max(list_transform(d.p, lambda y: list_dot_product(x, y))))), 6)::DOUBLE AS score
+  FROM v d, v q WHERE q.vec_id % 25 = 0)
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5""")
+def maxsim_topk(spark, sf_dir):
+    parts = F.array(*[F.slice("vec", 1 + 16 * i, 16) for i in range(4)])
+    pages = vectors_of(spark, sf_dir).select("doc_id", parts.alias("patches"))
+    return D.max_sim_search(pages, pages.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("patches").alias("parts")), 5)
+
+
+@query(f"WITH {bm25_sql('sparse', DOCS_SQL, 50, 'SELECT item_id AS query_id, text AS query FROM benchmark')}, {VECTORS_SQL.replace('q AS (SELECT * FROM a WHERE vec_id % 25 = 0)', 'q AS (SELECT * FROM a WHERE vec_id IN (SELECT item_id FROM benchmark))')}, {near_sql(50, 'dense')}, {fuse_sql(['sparse', 'dense'])} SELECT * FROM fused WHERE rank <= 20")
+def hybrid_bm25_dense(spark, sf_dir):
+    q = asked_of(spark, sf_dir)
+    v = vectors_of(spark, sf_dir)
+    qv = v.join(q.select(F.col("query_id").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"))
+    return pipeline.hybrid_search(docs_of(spark, sf_dir), q, 50, 20, v, qv)
+
+
+CHUNKS_SQL = "SELECT doc_id || '::' || (i - 1) AS doc_id, parts[i] AS text FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))"
+
+
+def line_chunks(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "text"))
+    return lines.select(F.concat_ws("::", F.col("doc_id").cast("string"), F.col("i").cast("string")).alias("doc_id"), "text")
+
+
+@query(f"""WITH {bm25_sql('r', CHUNKS_SQL, 30)}, f AS (SELECT query_id, string_split(doc_id, '::')[1] AS doc_id, min(rank) AS first, max(score) AS score FROM r GROUP BY ALL)
+SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY first)::INTEGER AS rank FROM f""")
+def chunk_to_doc_collapse(spark, sf_dir):
+    return chunks_to_documents(bm25(line_chunks(spark, sf_dir), asked_of(spark, sf_dir), 30))
+
+
+RANKED_SQL = f"{bm25_sql('r', DOCS_SQL, 10)}, p AS (SELECT query_id, doc_id, rank, text FROM r JOIN documents USING (doc_id))"
+
+
+def _passages(spark, sf_dir, k=10):
+    docs = docs_of(spark, sf_dir)
+    return bm25(docs, asked_of(spark, sf_dir), k).join(docs, "doc_id").select("query_id", "doc_id", "rank", "text")
+
+
+FOLD = "CASE WHEN (rank - 1) % 2 = 0 THEN (rank - 1) // 2 ELSE n - 1 - (rank - 2) // 2 END"
+
+
+@query(f"WITH {RANKED_SQL}, c AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n FROM p) SELECT query_id, doc_id, ({FOLD})::INTEGER AS position FROM c")
+def fold_positions(spark, sf_dir):
+    return C.fold(_passages(spark, sf_dir)).select("query_id", "doc_id", "position")
+
+
+BUDGET_SQL = rf"""{RANKED_SQL},
+b AS (SELECT query_id, doc_id, rank, text, sum(w) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING)::BIGINT AS used
+  FROM (SELECT *, len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS w FROM p)),
+k AS (SELECT * FROM b WHERE used <= 1500 OR rank = 1)"""
+
+
+@query(f"WITH {BUDGET_SQL} SELECT query_id, doc_id, used FROM k")
+def budget_truncate(spark, sf_dir):
+    return C.within_budget(_passages(spark, sf_dir), 1500).select("query_id", "doc_id", "used")
+
+
+@query(f"""WITH {BUDGET_SQL}, c AS (SELECT query_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM k),
+f AS (SELECT query_id, text, {FOLD} AS position FROM c)
+SELECT query_id, count(*)::BIGINT AS n_passages, md5(string_agg(text, chr(10) || chr(10) ORDER BY position)) AS digest FROM f GROUP BY query_id""")
+def context_build(spark, sf_dir):
+    return C.build_context(_passages(spark, sf_dir), 1500).select("query_id", "n_passages", F.md5("context").alias("digest"))
+
+
+@query()
+def mmr_select(spark, sf_dir):
+    v, q = vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir)
+    short = D.exact_search(v, q, 30).join(v.select("doc_id", "vec"), "doc_id").join(q.select("query_id", "qvec"), "query_id")
+    return C.diversify(short, 5)
+
+
+@query(f"""WITH {bm25_sql('r', CHUNKS_SQL, 30)}, f AS (SELECT query_id, string_split(doc_id, '::')[1]::BIGINT AS parent_id, min(rank) AS first FROM r WHERE doc_id NOT LIKE '%7::%' GROUP BY ALL)
+SELECT query_id, parent_id, md5(text) AS digest, row_number() OVER (PARTITION BY query_id ORDER BY first)::INTEGER AS position FROM f JOIN documents ON doc_id = parent_id""")
+def parent_expand(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+    hits = bm25(line_chunks(spark, sf_dir), asked_of(spark, sf_dir), 30)
+    children = line_chunks(spark, sf_dir).filter("doc_id not like '%7::%'").select(F.col("doc_id").alias("child_id"), F.substring_index("doc_id", "::", 1).cast("long").alias("parent_id"), F.lit(0).alias("ord"))
+    return C.expand_to_parents(hits, children, docs.withColumnRenamed("doc_id", "parent_id")).select("query_id", "parent_id", F.md5("text").alias("digest"), "position")
+
+
+@query(f"WITH {bm25_sql('r', CHUNKS_SQL, 30)} SELECT query_id, doc_id AS child_id FROM r WHERE doc_id LIKE '%7::%'")
+def parent_expand_missing(spark, sf_dir):
+    hits = bm25(line_chunks(spark, sf_dir), asked_of(spark, sf_dir), 30).select("query_id", F.col("doc_id").alias("child_id"))
+    children = line_chunks(spark, sf_dir).filter("doc_id not like '%7::%'").select(F.col("doc_id").alias("child_id"))
+    return hits.join(children, "child_id", "left_anti").select("query_id", "child_id")
+
+
+@query("SELECT source, doc_id, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS k FROM documents) WHERE k = 1")
+def first_per_source(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "n_chars")
+    return first_per_key(d, ["source"], [F.col("n_chars").desc(), "doc_id"])
+
+
+# Entities and graphs
+
+
+@query(r"""
+WITH alias AS (SELECT trim(regexp_replace(lower(s_name), '[^\p{L}\p{N}_]+', ' ', 'g')) AS key, 'S' || s_suppkey AS canonical_id FROM supplier),
+m AS (SELECT s_suppkey AS mention_id, trim(regexp_replace(upper(s_name) || ' Ltd.', '\s+', ' ', 'g')) AS name FROM supplier UNION ALL SELECT -s_suppkey, s_name || ' Holding' FROM supplier),
+n AS (SELECT mention_id, regexp_replace(trim(regexp_replace(lower(name), '[^\p{L}\p{N}_]+', ' ', 'g')), '\s+ltd$', '') AS key FROM m)
+SELECT mention_id, canonical_id FROM n LEFT JOIN alias USING (key)""")
+def crosswalk_exact(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier")
+    walk = E.crosswalk(s.select(F.concat(F.lit("S"), "s_suppkey").alias("canonical_id"), F.array("s_name").alias("aliases"), F.col("s_suppkey").alias("ord")))
+    m = s.select(F.col("s_suppkey").alias("mention_id"), F.concat(F.upper("s_name"), F.lit(" Ltd.")).alias("name")).union(s.select(-F.col("s_suppkey"), F.concat("s_name", F.lit(" Holding"))))
+    return m.select("mention_id", E.normalize_name(F.col("name")).alias("alias_norm")).join(walk.select("alias_norm", "canonical_id"), "alias_norm", "left").select("mention_id", "canonical_id")
+
+
+def _resolved(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    walk = E.crosswalk(n.select(F.concat(F.lit("N"), "n_nationkey").alias("canonical_id"), F.array("n_name").alias("aliases"), F.col("n_nationkey").alias("ord")))
+    m = n.select(F.col("n_nationkey").cast("long").alias("mention_id"), F.concat(F.initcap("n_name"), F.lit(" Inc.")).alias("name"))
+    m = m.union(n.select((F.col("n_nationkey") + 100).cast("long"), F.concat("n_name", F.lit("S")))).union(n.select((F.col("n_nationkey") + 200).cast("long"), F.substring("n_name", 1, 4)))
+    return E.resolve(m, walk)
+
+
+@query()
+def crosswalk_fuzzy(spark, sf_dir):
+    return _resolved(spark, sf_dir)
+
+
+@query()
+def er_accuracy(spark, sf_dir):
+    truth = _resolved(spark, sf_dir).select("mention_id", F.concat(F.lit("N"), F.col("mention_id") % 100).alias("expected"))
+    return E.resolution_accuracy(_resolved(spark, sf_dir), truth)
+
+
+def _triples(spark, sf_dir):
+    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    a = n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").cast("long").alias("ord"), F.col("n_name").alias("subject"), F.lit("in").alias("relation"), F.col("r_name").alias("object"))
+    b = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select((F.col("s_suppkey") + 1000).alias("ord"), F.col("s_name").alias("subject"), F.lit("based  in").alias("relation"), F.lower("n_name").alias("object"))
+    c = a.select((F.col("ord") + 1_000_000).alias("ord"), F.lower("subject").alias("subject"), F.lit(" IN ").alias("relation"), "object")
+    d = spark.createDataFrame([(2_000_000, "", "x", "y")], "ord long, subject string, relation string, object string")
+    return a.union(b).union(c).union(d)
+
+
+EDGES_SQL = """
+t AS (SELECT n_nationkey::BIGINT AS ord, n_name AS s, 'in' AS r, r_name AS o FROM nation JOIN region ON n_regionkey = r_regionkey
+  UNION ALL SELECT s_suppkey + 1000, s_name, 'based in', n_name FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+edges AS (SELECT ord, s AS subject, r AS relation, o AS object FROM t),
+pairs AS (SELECT subject AS a, object AS b FROM edges UNION ALL SELECT object, subject FROM edges)"""
+
+
+@query(f"WITH {EDGES_SQL} SELECT ord, subject, relation, object FROM edges")
+def graph_edges_dedup(spark, sf_dir):
+    return G.edges_from_triples(_triples(spark, sf_dir))
+
+
+@query(f"WITH {EDGES_SQL} SELECT DISTINCT a AS entity FROM pairs")
+def graph_entities(spark, sf_dir):
+    return G.entities(G.edges_from_triples(_triples(spark, sf_dir)))
+
+
+def _seeds(spark):
+    return spark.createDataFrame([("france",), ("ASIA",), ("nowhere",)], "seed string")
+
+
+def _walk_sql(hops: int) -> str:
+    parts = ["w0 AS (SELECT DISTINCT seed, a AS entity, 0 AS hop FROM pairs JOIN (VALUES ('france'), ('ASIA'), ('nowhere')) v(seed) ON lower(a) = lower(seed))"]
+    for h in range(1, hops + 1):
+        parts.append(f"w{h} AS (SELECT * FROM w{h - 1} UNION ALL SELECT DISTINCT w.seed, b.b AS entity, {h} AS hop FROM w{h - 1} w JOIN pairs b ON b.a = w.entity WHERE (w.seed, b.b) NOT IN (SELECT (seed, entity) FROM w{h - 1}))")
+    return ", ".join(parts)
+
+
+@query(f"WITH {EDGES_SQL}, {_walk_sql(1)} SELECT seed, entity, hop FROM w1")
+def graph_one_hop(spark, sf_dir):
+    return G.neighbourhood(G.edges_from_triples(_triples(spark, sf_dir)), _seeds(spark), 1)
+
+
+@query(f"WITH {EDGES_SQL}, {_walk_sql(2)} SELECT seed, entity, hop FROM w2")
+def graph_two_hop(spark, sf_dir):
+    return G.neighbourhood(G.edges_from_triples(_triples(spark, sf_dir)), _seeds(spark), 2)
+
+
+@query(f"WITH {EDGES_SQL}, {_walk_sql(2)} SELECT x.seed, ord, subject, relation, object FROM edges JOIN w2 x ON x.entity = subject JOIN w2 y ON y.entity = object AND y.seed = x.seed")
+def graph_subgraph_edges(spark, sf_dir):
+    edges = G.edges_from_triples(_triples(spark, sf_dir))
+    return G.inner_edges(edges, G.neighbourhood(edges, _seeds(spark), 2))
+
+
+@query()
+def greedy_cluster(spark, sf_dir):
+    v = vectors_of(spark, sf_dir).select(F.col("label").alias("tree_id"), F.col("doc_id").alias("node_id"), "vec")
+    return T.cluster(v, 5)
+
+
+@query(f"WITH {VECTORS_SQL}, {near_sql(10, where='a.label < 5')} SELECT query_id, doc_id, score, rank FROM near")
+def collapsed_tree_topk(spark, sf_dir):
+    nodes = vectors_of(spark, sf_dir).filter("label < 5").select(F.col("doc_id").alias("node_id"), (F.col("label") % 3).alias("layer"), "vec")
+    return T.collapsed_search(nodes, query_vectors_of(spark, sf_dir), 10)
+
+
+@query()
+def summary_tree(spark, sf_dir):
+    leaves = table(spark, sf_dir, "conversations").filter("text is not null").select(F.col("conv_id").alias("tree_id"), F.concat_ws(":", F.lit("turn"), F.col("turn").cast("string")).alias("node_id"), "text")
+    return T.build_tree(leaves, lambda d: d.withColumn("vec", embed(F.col("text"))), T.first_sentence).select("tree_id", "node_id", "layer", F.length("text").alias("n_chars"))
+
+
+# Metrics: vectors of the same label are relevant.
+
+
+def _golden(spark, sf_dir):
+    v, q = vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir)
+    pairs = q.join(v, q["qlabel"] == v["label"]).filter("doc_id <> query_id and doc_id % 7 = 1")
+    lists = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
+    gains = F.map_from_arrays("relevant", F.transform("relevant", lambda d: F.when(d.cast("long") % 2 == 0, 2.0).otherwise(1.0)))
+    return q.select("query_id").join(lists, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), gains.alias("gains"))
+
+
+def _ranking(spark, sf_dir):
+    near = D.exact_search(vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 20)
+    return near.withColumn("doc_id", F.col("doc_id").cast("string"))
+
+
+METRICS_SQL = f"""{VECTORS_SQL}, {near_sql(20)},
+g AS (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, CASE WHEN a.vec_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM q JOIN a ON a.label = q.label AND a.vec_id <> q.vec_id AND a.vec_id % 7 = 1),
+h AS (SELECT g.query_id, g.doc_id, g.gain, n.rank FROM g LEFT JOIN near n ON n.query_id = g.query_id AND n.doc_id = g.doc_id),
+m AS (SELECT query_id, count(*) FILTER (rank <= 10)::DOUBLE / count(*) AS recall, coalesce(1.0 / min(rank), 0) AS rr, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM h GROUP BY query_id),
+i AS (SELECT query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM g) WHERE k <= 10 GROUP BY query_id),
+per AS (SELECT q.vec_id AS query_id, round(coalesce(recall, 0), 6)::DOUBLE AS recall, round(coalesce(rr, 0), 6)::DOUBLE AS rr, round(coalesce(dcg, 0), 6)::DOUBLE AS dcg, round(CASE WHEN ideal > 0 THEN coalesce(dcg, 0) / ideal ELSE 0 END, 6)::DOUBLE AS ndcg
+  FROM q LEFT JOIN m ON m.query_id = q.vec_id LEFT JOIN i ON i.query_id = q.vec_id)"""
+
+
+def _metric(name):
+    def run(spark, sf_dir):
+        return M.per_query(_ranking(spark, sf_dir), _golden(spark, sf_dir), 10).select("query_id", name)
+
+    return run
+
+
+for _name, _metric_name in (("recall_at_k", "recall"), ("mrr", "rr"), ("dcg_at_k", "dcg"), ("ndcg_at_k", "ndcg")):
+    _run = _metric(_metric_name)
+    _run.__name__ = _name
+    query(f"WITH {METRICS_SQL} SELECT query_id, {_metric_name} FROM per")(_run)
+
+CARD = "count(*)::BIGINT AS n, round(avg(ndcg), 6)::DOUBLE AS ndcg, round(avg(recall), 6)::DOUBLE AS recall, round(avg(rr), 6)::DOUBLE AS mrr"
+
+
+@query(f"WITH {METRICS_SQL} SELECT 'cosine' AS name, {CARD} FROM per")
+def scorecard(spark, sf_dir):
+    return M.scorecard("cosine", _ranking(spark, sf_dir), _golden(spark, sf_dir), 10)
+
+
+@query(f"WITH {METRICS_SQL} SELECT 'cosine' AS name, {CARD} FROM per UNION ALL SELECT 'nothing', count(*)::BIGINT, 0.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM per")
+def scorecard_compare(spark, sf_dir):
+    r = _ranking(spark, sf_dir)
+    return M.compare({"nothing": r.filter("false"), "cosine": r}, _golden(spark, sf_dir), 10)
+
+
+PSI_SQL = """
+x AS (SELECT value AS x FROM events WHERE event_id % 2 = 0 AND value IS NOT NULL), y AS (SELECT value * 1.2 AS x FROM events WHERE event_id % 2 = 1 AND value IS NOT NULL),
+o AS (SELECT x, row_number() OVER (ORDER BY x) - 1 AS i FROM x), n AS (SELECT count(*) AS n FROM x),
+e AS (SELECT k, lo.x + (k * n / 10.0::DOUBLE - floor(k * n / 10.0::DOUBLE)) * (hi.x - lo.x) AS cut FROM range(1, 10) r(k), n
+  JOIN o lo ON lo.i = floor(k * n / 10.0::DOUBLE) JOIN o hi ON hi.i = least(floor(k * n / 10.0::DOUBLE) + 1, n - 1)),
+bx AS (SELECT (SELECT count(*) FROM e WHERE x.x > e.cut) AS b, count(*)::DOUBLE AS c FROM x GROUP BY 1), byy AS (SELECT (SELECT count(*) FROM e WHERE y.x > e.cut) AS b, count(*)::DOUBLE AS c FROM y GROUP BY 1),
+s AS (SELECT greatest(coalesce(bx.c / (SELECT sum(c) FROM bx), 0), 1e-6) AS p, greatest(coalesce(byy.c / (SELECT sum(c) FROM byy), 0), 1e-6) AS q FROM bx FULL JOIN byy ON bx.b = byy.b),
+v AS (SELECT round(sum((q - p) * ln(q / p)), 6)::DOUBLE AS psi FROM s)"""
+
+
+def _psi(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return M.psi(e.filter("event_id % 2 = 0").select(F.col("value").alias("x")), e.filter("event_id % 2 = 1").select((F.col("value") * F.lit(1.2)).alias("x")), 10)
+
+
+@query(f"WITH {PSI_SQL} SELECT psi FROM v")
+def psi_value(spark, sf_dir):
+    return _psi(spark, sf_dir)
+
+
+@query(f"WITH {PSI_SQL} SELECT psi, CASE WHEN psi < 0.1 THEN 'none' WHEN psi <= 0.2 THEN 'moderate' ELSE 'significant' END AS band FROM v")
+def psi_band(spark, sf_dir):
+    return _psi(spark, sf_dir).select("psi", M.psi_band(F.col("psi")).alias("band"))
+
+
+# Answers
+
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in __import__("larkspur.functions.backends", fromlist=["STOPWORDS"]).STOPWORDS) + "]"
+
+
+def _words_sql(column: str) -> str:
+    return rf"list_filter(list_distinct(regexp_extract_all(lower({column}), '[\p{{L}}\p{{N}}_]+')), lambda x: NOT list_contains({STOP_SQL}, x))"
+
+
+@query(f"""WITH {RANKED_SQL},
+s AS (SELECT p.query_id, rank - 1 AS position, len(list_intersect({_words_sql('p.text')}, {_words_sql('b.text')})) AS shared, p.text FROM p JOIN benchmark b ON b.item_id = p.query_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, position) AS k FROM s WHERE shared > 0)
+SELECT b.item_id AS query_id, md5(CASE WHEN k.text IS NULL THEN 'I don''t have enough information to answer that.' ELSE k.text || ' [' || (position + 1) || ']' END) AS digest, k.text IS NULL AS abstained
+FROM benchmark b LEFT JOIN k ON k.query_id = b.item_id AND k.k = 1""")
+def extractive_answer(spark, sf_dir):
+    p = _passages(spark, sf_dir).withColumn("position", F.col("rank") - 1)
+    return extract_answers(p, asked_of(spark, sf_dir)).select("query_id", F.md5("text").alias("digest"), "abstained")
+
+
+@query()
+def pipeline_answer(spark, sf_dir):
+    return pipeline.answer(docs_of(spark, sf_dir), asked_of(spark, sf_dir))
+
+
+@query()
+def rerank_overlap(spark, sf_dir):
+    return rerank(_passages(spark, sf_dir, 20), asked_of(spark, sf_dir), 5)
+
+
+FEEDBACK = [("q1", "['d1']", "note", "reason"), ("q2", "NULL", "", "why"), ("", "['d2']", "x", "y"), (None, "NULL", None, None), ("q3", "[]::VARCHAR[]", None, "")]
+
+
+@query(f"WITH v(query, relevant, note, reason) AS (VALUES {', '.join('(' + ', '.join(['NULL' if q is None else repr(q), r, 'NULL' if n is None else repr(n), 'NULL' if w is None else repr(w)]) + ')' for q, r, n, w in FEEDBACK)}) SELECT query, array_to_string(coalesce(relevant, []), ',') AS relevant, coalesce(nullif(note, ''), nullif(reason, '')) AS note FROM v WHERE nullif(query, '') IS NOT NULL")
+def feedback_golden(spark, sf_dir):
+    rows = [("q1", ["d1"], {"d1": 2.0}, "note", "reason"), ("q2", None, None, "", "why"), ("", ["d2"], None, "x", "y"), (None, None, None, None, None), ("q3", [], {}, None, "")]
+    df = spark.createDataFrame(rows, "query string, relevant array<string>, gains map<string,double>, note string, reason string")
+    return feedback_to_golden(df).select("query", F.array_join("relevant", ",").alias("relevant"), "note")
+
+
+def _retriever(spark, sf_dir):
+    docs = docs_of(spark, sf_dir)
+
+    def run(queries):
+        return bm25(docs, queries, 3).join(docs, "doc_id").join(queries, "query_id").select("query_id", "query", "text", "rank")
+
+    return run
+
+
+@query()
+def agent_loop(spark, sf_dir):
+    out = agents.agentic(asked_of(spark, sf_dir), _retriever(spark, sf_dir))
+    return out.select("query_id", "looped", "terminated", F.size("hops").alias("n_hops"), F.size("evidence").alias("n_evidence"))
+
+
+@query()
+def adaptive_run(spark, sf_dir):
+    out = agents.adaptive(asked_of(spark, sf_dir), _retriever(spark, sf_dir))
+    return out.select("query_id", "route", F.size("passages").alias("n_passages"))
