@@ -3,8 +3,8 @@
 Markup is stripped so that every block element leaves lines of its own; scripts,
 styles, forms, comments and containers that name themselves boilerplate (menus,
 headers, footers, sidebars, notices, adverts, reader comments) leave nothing.
-The remaining lines' text lengths, links not counted, are summed over sliding
-windows.  Text surges where a window passes the threshold and dives where
+The remaining lines' text lengths, links and lines mostly of links not counted,
+are summed over sliding windows.  Text surges where a window passes the threshold and dives where
 windows have fallen to nothing; what lies between surge and dive points is kept.
 Where the page marks an article, lines of the article that touch a kept stretch
 belong to it, and an article too short for any surge is taken whole.
@@ -134,7 +134,7 @@ def _lines(html: str) -> list[tuple[str, int, int]]:
     for line in lines:
         words = _SPACE.sub(" ", unescape("".join(line.parts))).strip()
         if words:
-            out.append((words, max(0, len(words) - line.linked), line.article))
+            out.append((words, 0 if 2 * line.linked > len(words) else len(words) - line.linked, line.article))
     return out
 
 
