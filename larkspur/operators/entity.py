@@ -40,14 +40,15 @@ def resolve(mentions: DataFrame, aliases: DataFrame, threshold: float = 0.85, re
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)], dtype="float64")
 
-    # Names sharing the first word's first letter are together; startswith decides.
-    first = F.substring_index("key", " ", 1)
-    keyed = rest.filter("key <> ''").withColumn("head", first)
+    # A first word has no blank, so an alias begins with it if it is one of the beginnings of the alias's own first word.
+    keyed = rest.filter("key <> ''").withColumn("head", F.substring_index("key", " ", 1))
+    stored = aliases.select("alias_norm", F.col("canonical_id").alias("found"), "first")
     if blocking:
-        stored = aliases.select("alias_norm", F.col("canonical_id").alias("found"), "first", F.substring("alias_norm", 1, 1).alias("letter"))
-        pairs = keyed.withColumn("letter", F.substring("head", 1, 1)).join(stored, "letter").filter(F.startswith("alias_norm", F.col("head")))
+        word = F.substring_index("alias_norm", " ", 1)
+        beginnings = F.transform(F.sequence(F.lit(1), F.length(word)), lambda n: F.substring(word, F.lit(1), n))
+        pairs = keyed.join(stored.withColumn("head", F.explode(beginnings)), "head")
     else:
-        pairs = keyed.crossJoin(aliases.select("alias_norm", F.col("canonical_id").alias("found"), "first"))
+        pairs = keyed.crossJoin(stored)
     scored = pairs.withColumn("score", F.round(ratio("key", "alias_norm"), 9)).filter("score > 0")
     best = scored.groupBy("mention_id").agg(F.max_by(F.struct("found", "alias_norm", "score"), F.struct("score", (-F.col("first.ord")).alias("o"), (-F.col("first.at")).alias("a"))).alias("b"))
     method = F.when(F.col("b.score") >= threshold, "fuzzy").when(F.col("b.score") >= review_low, "review").otherwise("none")

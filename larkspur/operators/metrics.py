@@ -49,20 +49,36 @@ def compare(rankings: dict[str, DataFrame], golden: DataFrame, k: int) -> DataFr
     return out.orderBy(F.col("ndcg").desc(), "place").drop("place")
 
 
+def _positions(values: DataFrame) -> DataFrame:
+    """x, lo, upto: how many items of (x, c) come before each x, and up to it.
+
+    Pieces of the value range are summed up one by one, and only their totals,
+    as many as there are shuffle partitions, are ordered as a whole.
+    """
+    session = values.sparkSession
+    placed = values.repartitionByRange(int(session.conf.get("spark.sql.shuffle.partitions")), "x").withColumn("piece", F.spark_partition_id())
+    placed = placed.checkpoint() if session.sparkContext.getCheckpointDir() else placed.persist()
+    pieces = placed.groupBy("piece").agg(F.sum("c").alias("total"))
+    pieces = pieces.select("piece", (F.sum("total").over(Window.orderBy("piece")) - F.col("total")).alias("before"))
+    inside = F.sum("c").over(Window.partitionBy("piece").orderBy("x"))
+    out = placed.withColumn("inside", inside).join(F.broadcast(pieces), "piece")
+    return out.select("x", (F.col("before") + F.col("inside") - F.col("c")).alias("lo"), (F.col("before") + F.col("inside")).alias("upto"))
+
+
 def psi(expected: DataFrame, actual: DataFrame, bins: int = 10) -> DataFrame:
     """One row (psi): population stability of actual (x) against expected (x).
 
     Edge i of the expected sample lies at position i * n / bins of its sorted
     values, between neighbours in proportion.  The edges are found from the
     order statistics they need: a value's position is the count of smaller
-    values, over a table of distinct values and their counts.
+    values, over a table of distinct values and their counts, numbered in
+    range-partitioned pieces.
     """
     e, a = (s.filter("x is not null").select(F.col("x").cast("double").alias("x")) for s in (expected, actual))
     if bins < 1:
         return e.agg(F.lit(0.0).alias("psi"))
     values = e.groupBy("x").agg(F.count(F.lit(1)).alias("c"))
-    spans = values.withColumn("upto", F.sum("c").over(Window.orderBy("x"))).withColumn("n", F.sum("c").over(Window.partitionBy()))
-    spans = spans.select("x", (F.col("upto") - F.col("c")).alias("lo"), "upto", "n")
+    spans = _positions(values)
     edges = e.agg(F.count(F.lit(1)).alias("n")).select("n", F.explode(F.sequence(F.lit(0), F.lit(bins))).alias("i")).filter((F.col("i") > 0) & (F.col("i") < bins))
     edges = edges.select("i", "n", (F.col("i") * F.col("n") / bins).alias("pos"))
     edges = edges.select("i", F.floor("pos").alias("low"), F.least(F.floor("pos") + 1, F.col("n") - 1).alias("high"), (F.col("pos") - F.floor("pos")).alias("part"))
