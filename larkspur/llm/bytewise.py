@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _BASE_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
-SLICE_BYTES = 2 << 20
+#: Texts handled at once; bounds the arrays a worker holds, a longer text is handled alone.
+SLICE_BYTES = 1 << 19
 
 
 def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
