@@ -31,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -46,8 +47,12 @@ _LARGEST = np.uint64((1 << 60) - 2)
 _PAD = FIELDS[0][0]
 _HEAD = struct.Struct("<4sIQIII")
 _MAGIC = b"S8B1"
-#: New words whose ids a worker keeps; beyond that it drops those not used since the last time.
+#: Words as they stand whose ids a worker keeps before it starts anew; they are soon put together again from
+#: letter runs and signs, of which it drops those not used since it has last learned so many.
 CACHED_WORDS = 300_000
+CACHED_RUNS = 200_000
+#: Text that is encoded at once; the more, the fewer distinct words there are in it.
+ENCODE_BYTES = 1 << 21
 
 
 _SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -174,7 +179,8 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return parts[0], parts[1], parts[2], unpack(parts[4], parts[3], n)
 
 
-_SIMPLE = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?*%&$#|]*)")
+_SIGNS = ".,;:!?*%&$#|"
+_LETTERS = re.compile(r"[a-zß-öø-ÿ]*")
 
 
 class WordEncoder:
@@ -191,9 +197,10 @@ class WordEncoder:
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [by_space, as_bytes]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
         self.known: dict[str, bytes] = {}
+        self.runs: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _encode_each(self, words: list[str], plain: bool) -> None:
+    def _encode_each(self, words: list[str], plain: bool, into: dict[str, bytes]) -> None:
         for a in range(0, len(words), 4096):
             some = words[a : a + 4096]
             if plain:
@@ -202,46 +209,89 @@ class WordEncoder:
                 e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            self.known.update((w, ids[i:j]) for w, i, j in zip(some, ends, ends[1:]))
+            into.update((w, ids[i:j]) for w, i, j in zip(some, ends, ends[1:]))
 
     def _learn(self, words: set[str]) -> None:
-        known, older = self.known, self.older
-        for w in words & older.keys():
-            known[w] = older[w]
-        simple: set[str] = set()
-        other, joined = [], []
-        for w in words - older.keys():
-            m = _SIMPLE.fullmatch(w)
-            if m is None:
+        if len(self.runs) > CACHED_RUNS:
+            self.runs, self.older = {"": b""}, self.runs
+        known, runs, older = self.known, self.runs, self.older
+        later, other = [], []
+        new: set[str] = set()
+        for w in words:
+            letters = w.rstrip(_SIGNS)  # letters, then signs: the tokenizer parts these too
+            signs = w[len(letters) :]
+            a, b = runs.get(letters), runs.get(signs)
+            if a is not None and b is not None:
+                known[w] = a + b
+                continue
+            if a is None and _LETTERS.fullmatch(letters) is None:
                 other.append(w)
-            elif m[2]:  # letters, then signs: the tokenizer parts these too
-                joined.append((w, m[1], m[2]))
-                simple.update((m[1], m[2]))
-            else:
-                simple.add(w)
-        self._encode_each(list(simple - known.keys()), True)
-        self._encode_each(other, False)
-        for w, a, b in joined:
-            known[w] = known[a] + known[b]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
-        split = []
-        for text in texts:
-            try:  # below U+0100 the tokenizer's lower case is Python's, and texts are composed already
-                text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
-            split.append(text.replace("\n", " ").split(" "))
-        missing = set().union(*split) - self.known.keys()
+                continue
+            later.append((w, letters, signs))
+            for run in (letters, signs):
+                if run not in runs:
+                    if run in older:
+                        runs[run] = older[run]
+                    else:
+                        new.add(run)
+        self._encode_each(list(new), True, runs)
+        self._encode_each(other, False, known)
+        for w, letters, signs in later:
+            known[w] = runs[letters] + runs[signs]
+
+    def _plain_words(self, raw: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+        """Ids of texts below U+0100, where lower case is a change of bytes; each distinct word is looked up once."""
+        data = _FOLD[raw[offsets[0] : offsets[-1]]]
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1  # A-grave to Thorn, without the times sign
+        after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
+        data[after] += 0x20
+        ends = pa.py_buffer((offsets - offsets[0]).astype(np.int64).tobytes())
+        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, ends, pa.py_buffer(data))
+        lists = pc.split_pattern(texts, " ")
+        words = lists.flatten().dictionary_encode()
+        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        missing = set(distinct) - self.known.keys()
         if missing:
             self._learn(missing)
-        find = self.known.__getitem__
-        return [b"".join(map(find, words)) for words in split]
-
+        found = [self.known[w] for w in distinct]
+        size = np.array([len(f) for f in found], np.int64) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        at = words.indices.to_numpy()
+        length = size[at]
+        upto = np.cumsum(length)
+        ids = flat[np.repeat((np.cumsum(size) - size)[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
+        bounds = 4 * np.r_[0, upto][np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        out = memoryview(ids.tobytes())
+        return [out[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+
+    def _any_words(self, text: str) -> bytes:
+        words = text.replace("\n", " ").split(" ")
+        missing = set(words) - self.known.keys()
+        if missing:
+            self._learn(missing)
+        return b"".join(map(self.known.__getitem__, words))
 
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian uint32."""
+        if len(self.known) > CACHED_WORDS:
+            self.known = {}
+        raw, offsets = text_buffers(column)
+        wide = np.r_[0, np.cumsum(raw[offsets[0] : offsets[-1]] >= 0xC4)][offsets - offsets[0]]
+        odd = np.flatnonzero(np.diff(wide)).tolist()  # texts with characters from U+0100 on
+        out: list[bytes] = []
+        at = 0
+        for i in [*odd, len(column)]:
+            if i > at:
+                out += self._plain_words(raw, offsets[at : i + 1])
+            if i < len(column):
+                out.append(self._any_words(column[i].as_py()))
+            at = i + 1
+        return out
+
+
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_FOLD[ord("\n")] = ord(" ")
 _ENCODERS: dict[int, WordEncoder] = {}
 
 
@@ -282,10 +332,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
 
         for batch in batches:
             _, offsets = text_buffers(batch.column(1))
-            for a, b in slices(offsets):
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(texts)):
-                    held.append((doc, ids + ending))
+            for a, b in slices(offsets, ENCODE_BYTES):
+                for doc, ids in zip(batch.column(0).slice(a, b - a).to_pylist(), encoder.encode(batch.column(1).slice(a, b - a))):
+                    held.append((doc, b"".join((ids, ending))))
                     size += len(held[-1][1]) // 4
                     if size >= SEGMENT_IDS:
                         yield out()
