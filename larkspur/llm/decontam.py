@@ -22,9 +22,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.bytewise import PLAIN_WORDS, Words, slices, text_buffers, shingle_hashes
+from larkspur.llm.bytewise import PLAIN_WORDS, Words, shingle_hashes, slices, text_buffers
+from larkspur.llm.frames import small_batches
 
 K1, B = 1.5, 0.75
 WINDOW, STRIDE = 64, 32
@@ -237,7 +239,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_i
     tables give an empty result.  Other columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
     for index in item_indexes(benchmark, id_column):
@@ -251,7 +253,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_i
                 found = []
                 for a, b in slices(offsets, SEARCH_BYTES):
                     ids = batch.column(0).slice(a, b - a)
-                    raw, ends = text_buffers(lowered(column.slice(a, b - a)))
+                    raw, ends = text_buffers(pc.utf8_lower(column.slice(a, b - a)))
                     for text, item, *scores in index.search(Words(raw, ends, PLAIN_WORDS)):
                         found.append((ids[text].as_py(), index.ids[item], *scores))
                 if found:
@@ -262,19 +264,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_i
     return out
 
 
-def lowered(column: pa.Array) -> pa.Array:
-    import pyarrow.compute as pc
-
-    return pc.utf8_lower(column)
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, in one pass per index and without a shuffle.
 
     Rows with a null doc_id or text are kept like any others.
     """
     spark = docs.sparkSession
-    out = docs
+    out = small_batches(docs)
     for index in item_indexes(benchmark, id_column):
         shared = spark.sparkContext.broadcast(index)
         place = out.columns.index("text")
@@ -285,7 +281,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_
                 _, offsets = text_buffers(column)
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in slices(offsets, SEARCH_BYTES):
-                    raw, ends = text_buffers(lowered(column.slice(a, b - a)))
+                    raw, ends = text_buffers(pc.utf8_lower(column.slice(a, b - a)))
                     for text, *_ in shared.value.search(Words(raw, ends, PLAIN_WORDS)):
                         keep[a + text] = False
                 yield batch.filter(pa.array(keep))

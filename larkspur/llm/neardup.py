@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm.bytewise import SPACED_WORDS, Words, shingle_sets, slices, text_buffers
-from larkspur.llm.frames import cut, shuffle_width
+from larkspur.llm.frames import cut, shuffle_width, small_batches
 
 BUCKET_BITS = 7
 BUCKETS = 1 << BUCKET_BITS
@@ -149,7 +149,7 @@ def signatures(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFr
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, n_shingles long, set_key binary, registers binary" + ", shingles binary" * with_sets
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
+    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def _verify(pairs: DataFrame, percent: int) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.llm.bytewise import slices, text_buffers
-from larkspur.llm.frames import shuffle_width
+from larkspur.llm.frames import shuffle_width, small_batches
 
 #: Values per word and bits per value for the selectors 0 to 15.
 FIELDS = [(240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60)]
@@ -49,8 +49,8 @@ _HEAD = struct.Struct("<4sIQIII")
 _MAGIC = b"S8B1"
 #: Words as they stand whose ids a worker keeps before it starts anew; they are soon put together again from
 #: letter runs and signs, of which it drops those not used since it has last learned so many.
-CACHED_WORDS = 300_000
-CACHED_RUNS = 200_000
+CACHED_WORDS = 150_000
+CACHED_RUNS = 120_000
 #: Text that is encoded at once; the more, the fewer distinct words there are in it.
 ENCODE_BYTES = 1 << 21
 
@@ -341,7 +341,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
         if held:
             yield out()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     rows.mapInArrow(run, "piece int, segment int, base long, n_ids long, data binary").write.parquet(path)
 
