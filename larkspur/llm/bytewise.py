@@ -35,7 +35,12 @@ PLAIN_WORDS = byte_table(bytes(b for b in range(128) if not (chr(b).isalnum() or
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; null counts as empty."""
+    """Bytes and offsets of a string column; null counts as empty.
+
+    What Arrow has kept of earlier batches goes back to the system first: workers
+    live long, and their memory counts beside the executor's.
+    """
+    pa.default_memory_pool().release_unused()
     if column.null_count:
         column = pc.fill_null(column, "")
     if not pa.types.is_large_string(column.type):
