@@ -18,7 +18,11 @@ the token is random:
 * serial correlation of neighbours.
 
 A token is random if none of them rejects it at ``RANDOM_LEVEL``.  What it must
-also be is unlike text: under text the chi-squared statistic grows with the
+also be is unlike text.  Of encodings in one case, an alternative is given per
+character: words with a few digits, or numbers with a few letters.  The chance
+that either makes a token as much likelier to be random is at most the inverse of
+the likelihood ratio, which is thus a p-value for each; the larger one counts.  Of
+encodings in both cases, the chi-squared statistic grows under text with the
 length by the unevenness of letters, so its left tail is a p-value that short
 tokens can't make small.  These p-values go through the Benjamini-Hochberg
 procedure per document, with the level shared in proportion to the tokens'
@@ -27,6 +31,8 @@ lengths, which controls the false discoveries of the document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -50,6 +56,12 @@ ENCODINGS = [
 ]
 #: Sum of squared letter frequencies of text in European languages, about the same in all of them.
 TEXT_COINCIDENCE = 0.067
+#: Encodings in one case, which are held against words and numbers character by character.
+ONE_CASE = {"hex", "hex_upper", "base32"}
+#: Per mille of letters a to z in text of European languages.
+LETTERS = (80, 14, 33, 43, 140, 14, 17, 25, 75, 4, 6, 45, 26, 77, 65, 24, 5, 66, 67, 71, 34, 11, 11, 3, 9, 4)
+#: Share of digits among words, and of letters among numbers.
+WORD_DIGITS, NUMBER_LETTERS = 0.05, 0.1
 
 _SPAN = "struct<kind:string,order:int,start:long,end:long,hit:string>"
 
@@ -79,12 +91,26 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
 
 
+def _unlike_text(body: Column, k: Column, n: Column) -> Column:
+    """The p-value of a token in one case over an alphabet of ``k``."""
+
+    def count(chars: str) -> Column:
+        return n - F.length(F.translate(body, chars, ""))
+
+    digits = count(_DIGITS)
+    letters = F.array(*[count(c + c.upper()) * math.log((1 - WORD_DIGITS) * f / sum(LETTERS)) for c, f in zip(_LOWER, LETTERS)])
+    words = F.aggregate(letters, digits * math.log(WORD_DIGITS / 10), lambda a, x: a + x)
+    numbers = digits * math.log((1 - NUMBER_LETTERS) / 10) + (n - digits) * math.log(NUMBER_LETTERS / 26)
+    return F.least(F.lit(1.0), F.exp(n * F.log(k) + F.greatest(words, numbers)))
+
+
 def _battery(hit: Column) -> Column:
     """struct(random, p, n): whether no test rejects the token, its p-value under text, and its length."""
     body = F.rtrim(F.regexp_replace(hit, "=+$", ""))
     alphabet = F.lit(None).cast("string")
     for _, pattern, chars in reversed(ENCODINGS):
         alphabet = F.when(F.regexp_like(hit, F.lit(f"^{pattern}$")), F.lit(chars)).otherwise(alphabet)
+    one_case = alphabet.isin([chars for name, _, chars in ENCODINGS if name in ONE_CASE])
 
     def tests(e: Column) -> Column:
         chars, n = F.split(e["body"], ""), F.length(e["body"]).cast("double")
@@ -106,19 +132,23 @@ def _battery(hit: Column) -> Column:
         z_serial = together / power / F.sqrt(n - 1)
         random = (F.abs(z_chi) < RANDOM_LEVEL_Z) & (F.abs(z_runs) < RANDOM_LEVEL_Z) & (F.abs(z_serial) < RANDOM_LEVEL_Z)
         uneven = n * (TEXT_COINCIDENCE * k - 1)
-        p = F.when(uneven > 0, _tail((df + uneven - chi) / F.sqrt(2 * df + 4 * uneven))).otherwise(_tail((n - 16) / 4))
+        p = F.when(e["one_case"], _unlike_text(e["body"], k, n)).otherwise(_tail((df + uneven - chi) / F.sqrt(2 * df + 4 * uneven)))
         return F.struct(F.coalesce(random, F.lit(False)).alias("random"), F.coalesce(p, F.lit(1.0)).alias("p"), n.alias("n"))
 
-    out = F.transform(F.array(F.struct(body.alias("body"), alphabet.alias("alphabet"))), tests)
+    out = F.transform(F.array(F.struct(body.alias("body"), alphabet.alias("alphabet"), one_case.alias("one_case"))), tests)
     none = F.struct(F.lit(False).alias("random"), F.lit(1.0).alias("p"), F.length(hit).cast("double").alias("n"))
     return F.when(alphabet.isNotNull(), F.get(out, F.lit(0))).otherwise(none)
 
 
-def _discoveries(text: Column, base: Column) -> Column:
-    """Spans of kind random: tokens outside ``base`` that pass the battery under false-discovery control."""
+def _tested(text: Column, base: Column) -> Column:
+    """Spans of tokens outside ``base`` with what the battery says of them."""
     tokens = _spans(text, "random", 3, TOKEN, 0, 0, 24, F.regexp_like(text, F.lit(TOKEN)))
     free = F.filter(tokens, lambda t: ~F.exists(base, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])))
-    tested = F.transform(free, lambda t: F.struct(t.alias("span"), _battery(t["hit"]).alias("test")))
+    return F.transform(free, lambda t: F.struct(t.alias("span"), _battery(t["hit"]).alias("test")))
+
+
+def _discoveries(tested: Column) -> Column:
+    """Spans of kind random: tested tokens that pass the battery under false-discovery control."""
     # Weighted Benjamini-Hochberg: p / weight is compared, weights are lengths over their mean.
     total = F.aggregate(tested, F.lit(0.0), lambda a, t: a + t["test"]["n"])
     weighted = F.transform(tested, lambda t: F.struct((t["test"]["p"] * total / F.size(tested) / t["test"]["n"]).alias("p"), t["test"]["random"].alias("random"), t["span"].alias("span")))
@@ -146,7 +176,8 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     access = _spans(t, "access", 1, ACCESS, 0, 0, LEAST_ACCESS, F.contains(t, F.lit("AKIA")))
     hexes = _spans(t, "hex", 2, HEX, 0, 0, LEAST_HEX, F.regexp_like(t, F.lit("[0-9a-f]{16}")))
     rows = rows.select("doc_id", "text", F.concat(assign, access, hexes).alias("base"))
-    return rows.select("doc_id", "base", _discoveries(F.col("text"), F.col("base")).alias("extra"))
+    rows = rows.select("doc_id", "base", _tested(F.col("text"), F.col("base")).alias("tested"))
+    return rows.select("doc_id", "base", _discoveries(F.col("tested")).alias("extra"))
 
 
 def secret_report(docs: DataFrame) -> DataFrame:

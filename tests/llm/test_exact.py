@@ -159,6 +159,21 @@ def test_secrets(spark):
     assert all(got[i]["n_random"] == 0 for i in range(151, 155))
 
 
+def secret_recall(spark, alphabet, n, tokens=60):
+    rng = random.Random(n)
+    docs = spark.createDataFrame([(i, "".join(rng.choices(alphabet, k=n))) for i in range(tokens)], "doc_id long, text string")
+    return secretscan.secret_report(docs).filter("n_random > 0").count() / tokens
+
+
+def test_random_tokens_of_hex_and_base32_are_found(spark):
+    for alphabet in ("0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"):
+        for n in (24, 32, 64, 256):
+            assert secret_recall(spark, alphabet, n) >= (0.9 if n > 24 else 0.75), (alphabet, n)
+    plain = ["THEQUICKBROWNFOXJUMPSOVERTHELAZYDOG2", "INTERNATIONALORGANISATIONS2024REPORT", "FFFFFFFFFFFFFFFF0000000000000000", "20240131123045202401311230450A", "DEADBEEFDEADBEEFDEADBEEFDEADBEEF00"]
+    docs = spark.createDataFrame(list(enumerate(plain)), "doc_id long, text string")
+    assert secretscan.secret_report(docs).filter("n_random > 0").count() == 0
+
+
 def test_hamming_search(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
