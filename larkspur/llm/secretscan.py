@@ -8,7 +8,8 @@ matches that don't overlap, in one pass per pattern.
 
 Battery: candidates are runs of 24 or more letters, digits and ``+/_-`` that
 don't overlap a pattern's span.  The encoding is inferred from the characters in
-use (hex, base 32, letters and digits, base 64 and its URL form; of digits alone
+use (hex, base 32, letters of one case and digits, letters and digits, base 64
+and its URL form; of digits alone
 or letters of one case no test can tell a key, so these are left out).  Over the
 positions of the characters in the encoding's alphabet three tests ask whether
 the token is random:
@@ -49,6 +50,9 @@ ENCODINGS = [
     ("hex", r"(?:[0-9]*[a-f][0-9a-f]*[0-9][0-9a-f]*|[0-9a-f]*[0-9][0-9a-f]*[a-f][0-9a-f]*)", _DIGITS + "abcdef"),
     ("hex_upper", r"(?=[0-9A-F]*[A-F])(?=[0-9A-F]*[0-9])[0-9A-F]+", _DIGITS + "ABCDEF"),
     ("base32", r"(?=[A-Z2-7]*[2-7])(?=[A-Z2-7]*[A-Z])[A-Z2-7]+={0,2}", _LOWER.upper() + "234567"),
+    ("base32_lower", r"(?=[a-z2-7]*[2-7])(?=[a-z2-7]*[a-z])[a-z2-7]+={0,2}", _LOWER + "234567"),
+    ("base36", r"(?=[a-z]*[0-9])(?=[0-9]*[a-z])[a-z0-9]+={0,2}", _DIGITS + _LOWER),
+    ("base36_upper", r"(?=[A-Z]*[0-9])(?=[0-9]*[A-Z])[A-Z0-9]+={0,2}", _DIGITS + _LOWER.upper()),
     ("alphanumeric", r"(?=[a-zA-Z]*[0-9])(?=.*[a-zA-Z])[a-zA-Z0-9]+={0,2}", _LOWER.upper() + _LOWER + _DIGITS),
     ("letters", r"(?=.*[a-z])(?=.*[A-Z].*[A-Z].*[A-Z])[a-zA-Z]+={0,2}", _LOWER.upper() + _LOWER),
     ("base64", r"(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[a-zA-Z0-9+/]+={0,2}", _LOWER.upper() + _LOWER + _DIGITS + "+/"),
@@ -57,7 +61,7 @@ ENCODINGS = [
 #: Sum of squared letter frequencies of text in European languages, about the same in all of them.
 TEXT_COINCIDENCE = 0.067
 #: Encodings in one case, which are held against words and numbers character by character.
-ONE_CASE = {"hex", "hex_upper", "base32"}
+ONE_CASE = {"hex", "hex_upper", "base32", "base32_lower", "base36", "base36_upper"}
 #: Per mille of letters a to z in text of European languages.
 LETTERS = (80, 14, 33, 43, 140, 14, 17, 25, 75, 4, 6, 45, 26, 77, 65, 24, 5, 66, 67, 71, 34, 11, 11, 3, 9, 4)
 #: Share of digits among words, and of letters among numbers.

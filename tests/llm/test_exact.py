@@ -174,6 +174,13 @@ def test_random_tokens_of_hex_and_base32_are_found(spark):
     assert secretscan.secret_report(docs).filter("n_random > 0").count() == 0
 
 
+def test_longer_tokens_in_one_case_are_found_more_often(spark):
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    for alphabet in (lower + digits, lower.upper() + digits, lower + "234567"):
+        short, long = (secret_recall(spark, alphabet, n) for n in (24, 64))
+        assert long >= 0.9 and long >= short - 0.1, (alphabet, short, long)
+
+
 def test_hamming_search(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 1 << 63, 5, dtype=np.uint64)
