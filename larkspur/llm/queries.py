@@ -14,7 +14,7 @@ from larkspur.llm.licenses import license_report, licenses_sql
 from larkspur.llm.mixing import MIXTURE_SQL, mixture
 from larkspur.llm.neardup import near_duplicates
 from larkspur.llm.quality import judge
-from larkspur.llm.secretscan import secret_report
+from larkspur.llm.secretscan import secret_report, secrets_sql
 from larkspur.llm.tokenstore import read_tokens, write_tokens
 from larkspur.llm.urlrules import RULES, VERDICTS_SQL, url_verdicts
 
@@ -100,5 +100,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_hamming_topk": TOP_K_SQL,
         "op3_license_scan": licenses_sql(),
         "op4_source_mixing": MIXTURE_SQL,
+        "op5_secret_scan": secrets_sql(),
         "op10_url_rules": VERDICTS_SQL,
     }
