@@ -11,22 +11,28 @@ Retrieved items are verified on the whole text: the shares of the words of the
 item's question (first half) and answer (second half) that lie in runs of four
 words that the text has too.
 
-The index lives in each worker.  Items beyond ``MOST_POSTINGS`` are split into
-several indexes, each with a pass of its own over the texts, under the same
-statistics of all items.
+Both sides' words are those of one function: lower case by code point (final sigma
+as sigma), runs of letters, marks, digits and underscores, and each Han, Hiragana,
+Katakana, Thai, Lao, Khmer or Myanmar character a word of its own.
+
+The index is built in shards of ``MOST_POSTINGS`` words by the executors, under
+the statistics of all items, and kept in the shared folder.  The driver holds one
+shard at a time, to send it out; each shard takes a pass over the texts.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from larkspur.llm.bytewise import PLAIN_WORDS, Words, shingle_hashes, slices, text_buffers
-from larkspur.llm.frames import small_batches
+from larkspur.llm.frames import cut, small_batches
 
 K1, B = 1.5, 0.75
 WINDOW, STRIDE = 64, 32
@@ -36,50 +42,80 @@ OVERLAP = 0.5
 POSTING_BLOCK = 16
 #: Stretches of items with a bound of their own; words of items in one index (its bounds take 256 bytes a term).
 STRETCHES = 64
-MOST_POSTINGS = 500_000
+MOST_POSTINGS = 2_000_000
+#: Postings that a worker keeps as lists for walking.
+LISTED_POSTINGS = 1 << 19
 SEARCH_BYTES = 1 << 19
 
+_NO_WORD = r"[^\x00-\x7F\p{L}\p{M}\p{N}]+"
+_SYLLABLES = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])"
+
+
+def plain_text(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, in which spaces stand for non-ASCII signs and around characters that are words."""
+    low = pc.utf8_lower(texts)
+    if pc.all(pc.string_is_ascii(low)).as_py() is not False:
+        return low
+    low = pc.replace_substring(low, "\u03c2", "\u03c3")
+    return pc.replace_substring_regex(pc.replace_substring_regex(low, _NO_WORD, " "), _SYLLABLES, r" \1 ")
+
 
 def text_words(texts: list[str | None]) -> list[np.ndarray]:
-    """Hashes of the lower-cased words (runs of letters, digits and underscores) of each text."""
-    raw, offsets = text_buffers(pa.array([t.lower() if t else "" for t in texts], pa.large_string()))
+    """Hashes of the words of each text."""
+    raw, offsets = text_buffers(plain_text(pa.array([t or "" for t in texts], pa.large_string())))
     words = Words(raw, offsets, PLAIN_WORDS)
     return [words.hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
 
 
 class ItemIndex:
-    """Posting lists, their block maxima, and what verification needs, for some of the items."""
+    """Posting lists, their block maxima, and what verification needs, for some of the items.
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], df: dict[int, int], n: int, mean_length: float):
+    ``df_terms`` (sorted) and ``df_counts`` tell in how many of all ``n`` items a
+    term occurs, for the terms of these items at least.
+    """
+
+    def __init__(self, ids: list[int], words: list[np.ndarray], df_terms: np.ndarray, df_counts: np.ndarray, n: int, mean_length: float):
         self.ids = ids
-        postings: dict[int, list[tuple[int, float]]] = {}
-        self.runs = []
+        self.runs, postings = [], []
         for i, w in enumerate(words):
             terms, tf = np.unique(w, return_counts=True)
-            dfs = np.array([df[t] for t in terms.tolist()], float)
+            dfs = df_counts[np.searchsorted(df_terms, terms)].astype(float)
             idf = np.log((n - dfs + 0.5) / (dfs + 0.5) + 1)
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(w) / mean_length))
             norm = impact.sum() * min(1.0, 1.5 * STRIDE / len(w))
-            for t, x in zip(terms.tolist(), (impact / norm).tolist()):
-                postings.setdefault(t, []).append((i, x))
+            postings.append((terms, np.full(len(terms), i, np.int32), impact / norm))
             self.runs.append(shingle_hashes(w, min(RUN, len(w))))
         self.lengths = [len(w) for w in words]
-        self.terms = np.array(sorted(postings), np.uint64)
-        self.docs, self.scores, self.block_max, self.block_end = [], [], [], []
-        for t in self.terms.tolist():
-            docs, scores = zip(*postings[t])
-            blocks = range(0, len(docs), POSTING_BLOCK)
-            self.docs.append(list(docs))
-            self.scores.append(list(scores))
-            self.block_max.append([max(scores[b : b + POSTING_BLOCK]) for b in blocks])
-            self.block_end.append([docs[min(b + POSTING_BLOCK, len(docs)) - 1] for b in blocks])
-        self.most = np.array([max(s) for s in self.scores], float)
+        term, item, score = (np.concatenate(x) for x in zip(*postings))
+        order = np.lexsort((item, term))
+        self.docs, self.scores = item[order], score[order]
+        self.terms, begin = np.unique(term[order], return_index=True)
+        self.begin = np.r_[begin, len(order)]
+        self.most = np.maximum.reduceat(self.scores, begin)
+        slot = np.repeat(np.arange(len(self.terms)), np.diff(self.begin))
         self.stretch_max = np.zeros((len(self.terms), STRETCHES), np.float32)
-        for t, (docs, scores) in enumerate(zip(self.docs, self.scores)):
-            np.maximum.at(self.stretch_max[t], np.array(docs) * STRETCHES // len(ids), np.array(scores, np.float32))
+        np.maximum.at(self.stretch_max, (slot, self.docs.astype(np.int64) * STRETCHES // len(ids)), self.scores.astype(np.float32))
         self.filter = np.zeros(1 << 20, bool)
         self.filter[(self.terms & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-        self.run_set = np.unique(np.concatenate(self.runs)) if self.runs else np.empty(0, np.uint64)
+        self.listed: dict[int, tuple] = {}
+        self.held = 0
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"listed": {}, "held": 0}
+
+    def lists(self, t: int) -> tuple[list[int], list[float], list[float], list[int]]:
+        """Items, scores, and each block's greatest score and last item, of term number ``t``."""
+        found = self.listed.get(t)
+        if found is None:
+            a, b = int(self.begin[t]), int(self.begin[t + 1])
+            if self.held + b - a > LISTED_POSTINGS:
+                self.listed, self.held = {}, 0
+            docs, scores = self.docs[a:b], self.scores[a:b]
+            blocks = np.arange(0, b - a, POSTING_BLOCK)
+            last = np.minimum(blocks + POSTING_BLOCK, b - a) - 1
+            found = self.listed[t] = (docs.tolist(), scores.tolist(), np.maximum.reduceat(scores, blocks).tolist(), docs[last].tolist())
+            self.held += b - a
+        return found
 
     def wand(self, terms: list[int], threshold: float) -> list[tuple[int, float]]:
         """All items that score at least ``threshold`` for the distinct terms."""
@@ -87,19 +123,19 @@ class ItemIndex:
         at = [0] * len(terms)
         blk = [0] * len(terms)
         lists = list(range(len(terms)))
+        walked = [self.lists(t) for t in terms]
         found = []
 
         def seek(j: int, item: int) -> None:
-            t = terms[j]
-            while blk[j] < len(self.block_end[t]) and self.block_end[t][blk[j]] < item:
+            docs, _, _, block_end = walked[j]
+            while blk[j] < len(block_end) and block_end[blk[j]] < item:
                 blk[j] += 1
             at[j] = max(at[j], blk[j] * POSTING_BLOCK)
-            docs = self.docs[t]
             while at[j] < len(docs) and docs[at[j]] < item:
                 at[j] += 1
 
         def here(j: int) -> int:
-            docs = self.docs[terms[j]]
+            docs = walked[j][0]
             return docs[at[j]] if at[j] < len(docs) else end
 
         while True:
@@ -118,12 +154,13 @@ class ItemIndex:
                 pivot += 1
             near, block_bound, next_end = lists[: pivot + 1], 0.0, end
             for j in near:
-                t, b = terms[j], blk[j]
-                while b < len(self.block_end[t]) and self.block_end[t][b] < item:
+                _, _, block_max, block_end = walked[j]
+                b = blk[j]
+                while b < len(block_end) and block_end[b] < item:
                     b += 1
-                if b < len(self.block_end[t]):
-                    block_bound += self.block_max[t][b]
-                    next_end = min(next_end, self.block_end[t][b] + 1)
+                if b < len(block_end):
+                    block_bound += block_max[b]
+                    next_end = min(next_end, block_end[b] + 1)
             if block_bound < threshold:
                 skip = min([next_end] + [here(j) for j in lists[pivot + 1 : pivot + 2]])
                 for j in near:
@@ -131,7 +168,7 @@ class ItemIndex:
                 continue
             for j in near:
                 seek(j, item)
-            score = sum(self.scores[terms[j]][at[j]] for j in near if here(j) == item)
+            score = sum(walked[j][1][at[j]] for j in near if here(j) == item)
             if score >= threshold:
                 found.append((item, score))
             for j in near:
@@ -197,38 +234,47 @@ class ItemIndex:
         return out
 
 
-def item_indexes(benchmark: DataFrame, id_column: str = "item_id", most: int | None = None) -> list[ItemIndex]:
-    """Indexes over all items with words, each of at most ``most`` words unless one item has more.
+def item_shards(benchmark: DataFrame, id_column: str = "item_id", most: int | None = None) -> DataFrame:
+    """shard, data: pickled indexes over all items with words, each of about ``most`` words unless one item has more.
 
-    Items stream through the driver in the order of their ids; of null ids and
-    texts none is indexed, and an id that comes again is indexed again.
+    Of null ids and texts none is indexed, and an id that comes again is indexed
+    again.  Words are counted, joined with their counts over all items, and put
+    together by shard; no step gathers more than a shard in one place.
     """
     most = most or MOST_POSTINGS
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [w.view(np.int64) for w in text_words(batch.column(1).to_pylist())]
+            some = [i for i, w in enumerate(words) if len(w)]
+            yield pa.RecordBatch.from_pydict({"id": batch.column(0).take(pa.array(some, pa.int64())), "words": pa.array([words[i] for i in some], pa.list_(pa.int64()))})
+
     rows = benchmark.select(F.col(id_column).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null")
-    n, length, df = 0, 0, {}
-    for row in rows.select("text").toLocalIterator():
-        w = text_words([row["text"]])[0]
-        if len(w):
-            n, length = n + 1, length + len(w)
-            for t in np.unique(w).tolist():
-                df[t] = df.get(t, 0) + 1
-    indexes: list[ItemIndex] = []
-    ids: list[int] = []
-    words: list[np.ndarray] = []
-    held = 0
-    for row in rows.orderBy("id", "text").toLocalIterator():
-        w = text_words([row["text"]])[0]
-        if not len(w):
-            continue
-        if ids and held + len(w) > most:
-            indexes.append(ItemIndex(ids, words, df, n, length / n))
-            ids, words, held = [], [], 0
-        ids.append(row["id"])
-        words.append(w)
-        held += len(w)
-    if ids:
-        indexes.append(ItemIndex(ids, words, df, n, length / n))
-    return indexes
+    items = cut(small_batches(rows).mapInArrow(split, "id long, words array<long>"))
+    n, length = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("words")), F.lit(0))).first()
+    shards = max(1, -(-length // most))
+    keyed = items.withColumn("shard", F.pmod(F.xxhash64("id", "words"), F.lit(shards)).cast("int"))
+    terms = keyed.select("shard", F.explode(F.array_distinct("words")).alias("term")).groupBy("term", "shard").agg(F.count(F.lit(1)).alias("n"))
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    terms = terms.select("term", F.col("shard").alias("place")).join(df.hint("merge"), "term")
+
+    def build(mine: pd.DataFrame, counts: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty:
+            return pd.DataFrame({"shard": pd.Series(dtype="int32"), "data": pd.Series(dtype=object)})
+        mine = mine.sort_values("id", kind="stable")
+        term = counts["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        index = ItemIndex(mine["id"].tolist(), [np.asarray(w, np.int64).view(np.uint64) for w in mine["words"]], term[order], counts["df"].to_numpy()[order], n, length / n)
+        return pd.DataFrame({"shard": [int(mine["shard"].iloc[0])], "data": [pickle.dumps(index)]})
+
+    return cut(keyed.groupBy("shard").cogroup(terms.groupBy("place")).applyInPandas(build, "shard int, data binary"))
+
+
+def item_indexes(benchmark: DataFrame, id_column: str = "item_id", most: int | None = None) -> Iterator[ItemIndex]:
+    """The indexes of ``item_shards`` one after the other."""
+    shards = item_shards(benchmark, id_column, most)
+    for (shard,) in shards.select("shard").orderBy("shard").collect():
+        yield pickle.loads(shards.filter(F.col("shard") == shard).first()["data"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
@@ -253,7 +299,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_i
                 found = []
                 for a, b in slices(offsets, SEARCH_BYTES):
                     ids = batch.column(0).slice(a, b - a)
-                    raw, ends = text_buffers(pc.utf8_lower(column.slice(a, b - a)))
+                    raw, ends = text_buffers(plain_text(column.slice(a, b - a)))
                     for text, item, *scores in index.search(Words(raw, ends, PLAIN_WORDS)):
                         found.append((ids[text].as_py(), index.ids[item], *scores))
                 if found:
@@ -267,7 +313,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_i
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
     """The rows of ``docs`` whose text holds no item, in one pass per index and without a shuffle.
 
-    Rows with a null doc_id or text are kept like any others.
+    Rows with a null doc_id, or with a null or empty text, are kept like any
+    others; a row that repeats stays or goes as often as it comes.  All columns,
+    whatever their names, stay as they are.  An empty table gives an empty one,
+    and without items every row stays.
     """
     spark = docs.sparkSession
     out = small_batches(docs)
@@ -281,7 +330,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_
                 _, offsets = text_buffers(column)
                 keep = np.ones(batch.num_rows, bool)
                 for a, b in slices(offsets, SEARCH_BYTES):
-                    raw, ends = text_buffers(pc.utf8_lower(column.slice(a, b - a)))
+                    raw, ends = text_buffers(plain_text(column.slice(a, b - a)))
                     for text, *_ in shared.value.search(Words(raw, ends, PLAIN_WORDS)):
                         keep[a + text] = False
                 yield batch.filter(pa.array(keep))

@@ -1,6 +1,7 @@
 """Operators that SQL can't express, against brute force."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -24,7 +25,7 @@ def low(t):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text(alphabet="aB cé\n\t\x0b😀", max_size=30), max_size=8))
+@given(st.lists(st.text(alphabet="aB cé\n\t\x0b\x00\x01😀", max_size=30), max_size=8))
 def test_shingle_sets_have_the_right_sizes_and_overlaps(texts):
     raw, offsets = text_buffers(pa.array(texts, pa.string()))
     got = [s for a, b in slices(offsets, 16) for s in shingle_sets(Words(raw, offsets[a : b + 1], SPACED_WORDS), 2)]
@@ -118,7 +119,7 @@ def test_token_files(spark, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    texts = ["Hello, WORLD! it's", None, "", "don't 12 ab  cd\n\nx,.y", "é́ ΣΑΣ İx ﬁ ½ <|endoftext|> z", "word " * 3000, "a\x1cb\tc"]
+    texts = ["Hello, WORLD! it's", None, "", "don't 12 ab  cd\n\nx,.y", "é́ ΣΑΣ İx ﬁ ½ <|endoftext|> z", "word " * 3000, "a\x1cb\tc", "<|ENDOFTEXT|>", "x<|EndOfText|>. É", "A<|endoftext|>B"]
     rows = [(i * 3, t) for i, t in enumerate(texts)]
     file = public_tokenizers.path("word_bpe_49k.json")
     path = str(tmp_path / "t")
@@ -132,6 +133,24 @@ def test_token_files(spark, tmp_path):
         at += len(ids)
 
 
+def test_encoders_against_the_library():
+    import json
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(3)
+    parts = ["<|ENDOFTEXT|>", "<|endoftext|>", "<|EndOfText|>", "x", "The", " ", ".", "É", "e\u0301", "\n", "'S", "'s", " it's", "<", "|", "|>", "12", "\xa0", "\u0085", "İ", "ΑΣ", "ﬁ", "\x00", "\t", "ß", "ẞ", "中文", "µ", "ÿ", "Ÿ"]
+    for name, fast in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        with open(public_tokenizers.path(name), encoding="utf-8") as f:
+            config = f.read()
+        assert tokenstore.by_words(json.loads(config)) is fast
+        encoder, library = tokenstore._encoder(config), Tokenizer.from_str(config)
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(1500)]
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(pa.array(texts))]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_damaged_segments_are_refused():
     data = bytearray(tokenstore.write_segment(np.array([1]), np.array([False]), np.array([3], np.uint64), np.array([1, 2, 3], np.uint64)))
     data[-1] ^= 1
@@ -205,17 +224,14 @@ def test_wand_finds_all_above_the_threshold():
     vocabulary = [f"t{i}" for i in range(60)]
     texts = [" ".join(rng.choices(vocabulary, k=rng.randint(3, 30))) for _ in range(120)]
     words = decontam.text_words(texts)
-    df = {}
-    for w in words:
-        for t in set(w.tolist()):
-            df[t] = df.get(t, 0) + 1
-    index = decontam.ItemIndex(list(range(120)), words, df, 120, sum(map(len, words)) / 120)
+    df = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True)
+    index = decontam.ItemIndex(list(range(120)), words, *df, 120, sum(map(len, words)) / 120)
     for _ in range(150):
         terms = sorted(rng.sample(range(len(index.terms)), rng.randint(1, 25)))
         threshold = rng.choice([0.05, 0.2, 0.5])
         scores = {}
         for t in terms:
-            for d, s in zip(index.docs[t], index.scores[t]):
+            for d, s in zip(*index.lists(t)[:2]):
                 scores[d] = scores.get(d, 0.0) + s
         assert {d for d, s in scores.items() if s >= threshold + 1e-9} <= {d for d, _ in index.wand(terms, threshold)} <= {d for d, s in scores.items() if s >= threshold - 1e-9}
 
@@ -239,10 +255,71 @@ def test_contamination(spark):
     assert got == planted
     kept = {r["doc_id"] for r in decontam.decontaminate(table, bench).collect()}
     assert kept == set(range(60)) - {d for d, _ in planted}
-    split = decontam.item_indexes(bench, most=500)
+    split = list(decontam.item_indexes(bench, most=500))
     assert len(split) > 3 and sum(len(x.ids) for x in split) == 30
 
 
+def test_contamination_in_other_scripts_and_cases(spark):
+    items = ["ΟΔΟΣ ΤΩΝ ΦΙΛΩΝ ΠΡΟΣ ΤΟΝ ΚΟΣΜΟ", "İstanbul Boğazı üzerinde uzun bir köprü", "Er sagte: \u201eDas ist gut\u201c und ging nach Hause.", "他在大学里学习了四年的物理学", "l\u2019été dernier nous étions à la mer"]
+    docs = [
+        *items,
+        "x " + "οδος των φιλων προς τον κοσμο" + " y",
+        'a b. er sagte: "das ist gut" und ging nach hause - dann',
+        "昨天他说他在大学里学习了四年的物理学然后工作",
+        "L'ÉTÉ DERNIER NOUS ÉTIONS À LA MER\u00a0!",
+        "他在大学里吃饭",
+    ]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench).collect()}
+    assert got == {(i, i) for i in range(5)} | {(5, 0), (6, 2), (7, 3), (8, 4)}
+
+
+def bm25_contamination(docs, items):
+    """(text, item) of all pairs whose best window reaches the threshold and whose overlaps hold, without an index."""
+    words = [re.findall(r"\w+", t.lower()) for t in items]
+    n, mean = len(words), sum(map(len, words)) / len(words)
+    df = {}
+    for w in words:
+        for t in set(w):
+            df[t] = df.get(t, 0) + 1
+    out = set()
+    for i, w in enumerate(words):
+        impact = {t: math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in set(w)}
+        norm = sum(impact.values()) * min(1.0, 48 / len(w))
+        for d, text in enumerate(docs):
+            h = re.findall(r"\w+", text.lower())
+            starts = range(0, max(1, -(-(len(h) - 64) // 32) + 1) * 32, 32)
+            score = max(sum(impact.get(t, 0.0) for t in set(h[a : a + 64])) / norm for a in starts)
+            r = min(4, len(w))
+            present = {tuple(h[a : a + r]) for a in range(len(h) - r + 1)}
+            covered = [any(tuple(w[a : a + r]) in present for a in range(max(0, k - r + 1), min(k, len(w) - r) + 1)) for k in range(len(w))]
+            half = (len(w) + 1) // 2
+            answer = covered[half:] or covered[:1]
+            if score >= decontam.THRESHOLD and sum(covered[:half]) / half >= 0.5 and sum(answer) / len(answer) >= 0.5:
+                out.add((d, i))
+    return out
+
+
+def test_contamination_against_brute_force(spark):
+    rng = random.Random(33)
+    vocabulary = [f"w{i}" for i in range(80)]
+    items = [" ".join(rng.choices(vocabulary, k=rng.choice([1, 3, 8, 20, 70, 150]))) for _ in range(40)]
+    docs = []
+    for _ in range(80):
+        h = rng.choices(vocabulary, k=rng.choice([1, 5, 40, 65, 200]))
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(items).split()
+            w = [t if rng.random() < rng.choice([1, 0.95, 0.7]) else "zz" for t in w]
+            at = rng.randint(0, len(h))
+            h[at:at] = w[rng.choice([0, 0, len(w) // 3]) :]
+        docs.append(" ".join(h))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    table = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.contaminated(table, bench).collect()}
+    assert got == bm25_contamination(docs, items) and len(got) > 60
+
+
 def test_model_sums_to_one_and_scores_as_the_formula(spark):
     texts = ["abab abba", "the cat sat on the mat.", "The dog sat.", ""] * 3
     docs = spark.createDataFrame([(t,) for t in texts], "text string")
