@@ -16,14 +16,15 @@ longer document has a segment of its own)::
 
 Segments are rows of a Parquet table, with their place in the order: it is what
 Spark can write to any store as a whole or not at all.  Words are encoded once
-each: text is cut at spaces and line feeds, at which this kind of tokenizer
-never joins, and ids are looked up per word; words not yet seen go to the
-tokenizers library in a batch.
+each where the tokenizer's file says that it never joins them: text is cut at
+spaces and line feeds, and ids are looked up per word; words not yet seen go to
+the tokenizers library in a batch.  Any other tokenizer is given whole texts.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 import struct
 import zlib
@@ -183,13 +184,45 @@ _SIGNS = ".,;:!?*%&$#|"
 _LETTERS = re.compile(r"[a-zß-öø-ÿ]*")
 
 
-class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, by way of their words."""
+#: The normalizer and pre-tokenizer of tokenizers that words can be looked up for one by one.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+
+
+def by_words(config: dict) -> bool:
+    """Whether a tokenizer gives each word of a text the ids it gives the word alone, in lower case."""
+
+    def apart(token: dict) -> bool:
+        text = token["content"]
+        return text.startswith("<|") and not any(c.isspace() for c in text) and not any(token[k] for k in ("single_word", "lstrip", "rstrip", "normalized"))
+
+    same = config.get("normalizer") == _NORMALIZER and config.get("pre_tokenizer") == _PRE_TOKENIZER and config["model"]["type"] == "BPE" and not config["model"].get("dropout")
+    return same and not config.get("truncation") and not config.get("padding") and all(map(apart, config.get("added_tokens") or []))
+
+
+class TextEncoder:
+    """Ids of whole texts as little-endian uint32 bytes, by any tokenizer of the library."""
 
     def __init__(self, tokenizer_json: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has its core
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
+
+    def encode(self, column: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian uint32."""
+        texts = [t or "" for t in column.to_pylist()]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+class WordEncoder(TextEncoder):
+    """The same by way of the texts' words, for tokenizers that ``by_words`` tells."""
+
+    def __init__(self, tokenizer_json: str):
+        super().__init__(tokenizer_json)
+        from tokenizers import Tokenizer
+
         # The same model for runs of lower-case letters or of signs, which need no normalising and no pattern.
         plain = json.loads(tokenizer_json) | {"normalizer": None, "added_tokens": []}
         by_space = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
@@ -276,8 +309,11 @@ class WordEncoder:
         if len(self.known) > CACHED_WORDS:
             self.known = {}
         raw, offsets = text_buffers(column)
-        wide = np.r_[0, np.cumsum(raw[offsets[0] : offsets[-1]] >= 0xC4)][offsets - offsets[0]]
-        odd = np.flatnonzero(np.diff(wide)).tolist()  # texts with characters from U+0100 on
+        data = raw[offsets[0] : offsets[-1]]
+        special = data >= 0xC4
+        special[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        special = np.r_[0, np.cumsum(special)][offsets - offsets[0]]
+        odd = np.flatnonzero(np.diff(special)).tolist()  # with characters from U+0100 on, or with what may be an added token, whose case counts
         out: list[bytes] = []
         at = 0
         for i in [*odd, len(column)]:
@@ -292,14 +328,14 @@ class WordEncoder:
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[ord("A") : ord("Z") + 1] += 32
 _FOLD[ord("\n")] = ord(" ")
-_ENCODERS: dict[int, WordEncoder] = {}
+_ENCODERS: dict[int, TextEncoder] = {}
 
 
-def _encoder(tokenizer_json: str) -> WordEncoder:
+def _encoder(tokenizer_json: str) -> TextEncoder:
     key = hash(tokenizer_json)
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = WordEncoder(tokenizer_json)
+        _ENCODERS[key] = (WordEncoder if by_words(json.loads(tokenizer_json)) else TextEncoder)(tokenizer_json)
     return _ENCODERS[key]
 
 
@@ -308,6 +344,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
 
     A null text counts as empty (only the end id, if there is one); null doc_ids
     come first; rows that repeat a doc_id follow each other by their text's hash.
+    Ids are those of the tokenizers library without special tokens added.
     Other columns are ignored; an empty table gives files without segments.
     """
     spark = docs.sparkSession
@@ -342,7 +379,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_file: str, end_id: int |
             yield out()
 
     rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.repartitionByRange(shuffle_width(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    # The text's hash parts rows without an id, or with one id, among partitions.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.col("text").asc_nulls_first()]
+    rows = rows.repartitionByRange(shuffle_width(spark), *order[:2]).sortWithinPartitions(*order)
     rows.mapInArrow(run, "piece int, segment int, base long, n_ids long, data binary").write.parquet(path)
 
 
