@@ -20,8 +20,9 @@ SLICE_BYTES = 1 << 19
 
 
 def byte_table(separators: bytes, lower: bool = True) -> np.ndarray:
-    """256 byte classes: 0 for a separator, else the (lower-cased ASCII) byte itself."""
+    """256 byte classes: 0 for a separator, else the (lower-cased ASCII) byte itself, or FF, which no text holds, for byte 0."""
     table = np.arange(256, dtype=np.uint8)
+    table[0] = 0xFF
     if lower:
         table[ord("A") : ord("Z") + 1] += 32
     table[list(separators)] = 0

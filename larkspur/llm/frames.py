@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one is set only where none is named."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where none is named a local one is set in local mode; on a cluster, whose
+    executors share no local folder, that is an error.
+    """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if re.fullmatch(r"local(\[[^\]]*\])?", sc.master) is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="larkspur-checkpoint-")
         sc.setCheckpointDir(named)
     elif sc.getCheckpointDir() is None:
