@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
-from larkspur.llm import decontam, hamming, htmlmain, licenses, neardup, quality, secretscan, tokenstore, urlrules
+from larkspur.llm import decontam, hamming, htmlmain, licenses, neardup, secretscan, tokenstore, urlrules
 from larkspur.llm.bytewise import PLAIN_WORDS, SPACED_WORDS, Words, shingle_sets, slices, text_buffers
 from larkspur.llm.mixing import mixture
 
@@ -320,78 +320,6 @@ def test_contamination_against_brute_force(spark):
     assert got == bm25_contamination(docs, items) and len(got) > 60
 
 
-def test_model_sums_to_one_and_scores_as_the_formula(spark):
-    texts = ["abab abba", "the cat sat on the mat.", "The dog sat.", ""] * 3
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
-    counts = quality.gram_counts(docs)
-    scores = np.exp(quality.score_table(counts).astype(float)).reshape(-1, quality.CLASSES)
-    assert np.allclose(scores.sum(axis=1), 1.0, atol=1e-4)
-    n = {r["gram"]: r["n"] for r in counts.collect()}
-    brute = {}
-    for t in texts:
-        s = [0, 0, 0] + [int(quality._TABLE[b]) for b in t.encode()]
-        for i in range(3, len(s)):
-            g = 0
-            for x in s[i - 3 : i + 1]:
-                g = g * quality.CLASSES + x
-            brute[g] = brute.get(g, 0) + 1
-    assert n == brute
-    expected = kneser_ney(brute)
-    for gram in list(brute)[:50] + [12345, 999999]:
-        assert scores.reshape(-1)[gram] == pytest.approx(expected(gram), rel=1e-3)
-
-
-def kneser_ney(counts):
-    orders = {4: counts}
-    for k in (3, 2, 1):
-        lower = {}
-        for g in orders[k + 1]:
-            lower[g % quality.CLASSES**k] = lower.get(g % quality.CLASSES**k, 0) + 1
-        orders[k] = lower
-
-    def discount(k):
-        n = [sum(c == i for c in orders[k].values()) for i in range(5)]
-        if not (n[1] and n[2]):
-            return [0.5] * 3
-        y = n[1] / (n[1] + 2 * n[2])
-        d = [1 - 2 * y * n[2] / n[1], 2 - 3 * y * n[3] / n[2], 3 - 4 * y * n[4] / n[3] if n[3] else 1.5]
-        return [min(max(x, 0.05), m - 0.05) for x, m in zip(d, (1, 2, 3))]
-
-    d = {k: discount(k) for k in orders}
-
-    def p(k, gram):
-        if k == 0:
-            return 1 / quality.CLASSES
-        context = gram // quality.CLASSES
-        mine = {g: c for g, c in orders[k].items() if g // quality.CLASSES == context}
-        below = p(k - 1, gram % quality.CLASSES ** (k - 1))
-        if not mine:
-            return below
-        cost = {g: d[k][min(c, 3) - 1] for g, c in mine.items()}
-        total = sum(mine.values())
-        return (mine[gram] - cost[gram] if gram in mine else 0.0) / total + sum(cost.values()) / total * below
-
-    return lambda gram: p(4, gram)
-
-
-def test_quality_on_held_out_labels(spark):
-    rng = random.Random(8)
-    syllables = ["ta", "re", "mi", "so", "lan", "der", "ing", "tion"]
-
-    def clean():
-        return " ".join("".join(rng.choices(syllables, k=rng.randint(1, 3))) for _ in range(rng.randint(20, 120))).capitalize() + "."
-
-    rows = [(i, clean() if i % 5 else "".join(rng.choices("#$%&*|!", k=200)) + clean().upper(), "en") for i in range(300)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, int(i % 5 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
-    judged = {r["doc_id"]: r["kept"] for r in quality.judge(docs, labels).collect()}
-    held = range(150, 300)
-    assert all(not judged[i] for i in held if i % 5 == 0)
-    assert sum(judged[i] for i in held if i % 5) >= 0.97 * sum(1 for i in held if i % 5)
-    kept = {r["doc_id"] for r in quality.keep_good(docs, labels).collect()}
-    assert kept == {i for i, k in judged.items() if k}
-
-
 def test_mixture_against_exact_fractions(spark):
     rng = random.Random(6)
     rows = [(i, " ".join("w" * 1 for _ in range(rng.choice([0, 1, 5, 60])))) for i in range(300)]
