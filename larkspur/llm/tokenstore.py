@@ -17,15 +17,15 @@ longer document has a segment of its own)::
 Segments are rows of a Parquet table, with their place in the order: it is what
 Spark can write to any store as a whole or not at all.  Words are encoded once
 each where the tokenizer's file says that it never joins them: text is cut at
-spaces and line feeds, and ids are looked up per word; words not yet seen go to
-the tokenizers library in a batch.  Any other tokenizer is given whole texts.
+white space and between letters, digits and signs, and ids are looked up per run;
+runs not yet seen go to the tokenizers library in a batch.  Any other tokenizer is
+given whole texts.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -48,12 +48,10 @@ _LARGEST = np.uint64((1 << 60) - 2)
 _PAD = FIELDS[0][0]
 _HEAD = struct.Struct("<4sIQIII")
 _MAGIC = b"S8B1"
-#: Words as they stand whose ids a worker keeps before it starts anew; they are soon put together again from
-#: letter runs and signs, of which it drops those not used since it has last learned so many.
-CACHED_WORDS = 150_000
-CACHED_RUNS = 120_000
+#: Words whose ids a worker keeps before it starts anew, with those of the last as many at hand.
+CACHED_WORDS = 300_000
 #: Text that is encoded at once; the more, the fewer distinct words there are in it.
-ENCODE_BYTES = 1 << 21
+ENCODE_BYTES = 1 << 22
 
 
 _SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -180,10 +178,6 @@ def read_segment(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     return parts[0], parts[1], parts[2], unpack(parts[4], parts[3], n)
 
 
-_SIGNS = ".,;:!?*%&$#|"
-_LETTERS = re.compile(r"[a-zß-öø-ÿ]*")
-
-
 #: The normalizer and pre-tokenizer of tokenizers that words can be looked up for one by one.
 _NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -216,8 +210,24 @@ class TextEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+# Kinds of bytes of folded texts: white space, letters, signs but for the apostrophe, digits, anything else.
+_SPACE, _LETTER, _SIGN, _DIGIT, _OTHER = range(5)
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[ord("A") : ord("Z") + 1] += 32
+_FOLD[0x09:0x0E] = ord(" ")
+_KIND = np.full(256, _OTHER, np.uint8)
+_KIND[ord(" ")] = _SPACE
+_KIND[ord("a") : ord("z") + 1] = _LETTER
+_KIND[ord("0") : ord("9") + 1] = _DIGIT
+_KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = _SIGN
+
+
 class WordEncoder(TextEncoder):
-    """The same by way of the texts' words, for tokenizers that ``by_words`` tells."""
+    """The same by way of the texts' words, for tokenizers that ``by_words`` tells.
+
+    Such a tokenizer parts letters, single digits and signs, but for words with an
+    apostrophe; so runs of those are looked up, and other words as a whole.
+    """
 
     def __init__(self, tokenizer_json: str):
         super().__init__(tokenizer_json)
@@ -229,11 +239,10 @@ class WordEncoder(TextEncoder):
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [by_space, as_bytes]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
-        self.known: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def _encode_each(self, words: list[str], plain: bool, into: dict[str, bytes]) -> None:
+    def _encode_each(self, words: list[str], plain: bool) -> None:
         for a in range(0, len(words), 4096):
             some = words[a : a + 4096]
             if plain:
@@ -242,72 +251,77 @@ class WordEncoder(TextEncoder):
                 e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, "<u4").tobytes()
             ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            into.update((w, ids[i:j]) for w, i, j in zip(some, ends, ends[1:]))
-
-    def _learn(self, words: set[str]) -> None:
-        if len(self.runs) > CACHED_RUNS:
-            self.runs, self.older = {"": b""}, self.runs
-        known, runs, older = self.known, self.runs, self.older
-        later, other = [], []
-        new: set[str] = set()
-        for w in words:
-            letters = w.rstrip(_SIGNS)  # letters, then signs: the tokenizer parts these too
-            signs = w[len(letters) :]
-            a, b = runs.get(letters), runs.get(signs)
-            if a is not None and b is not None:
-                known[w] = a + b
-                continue
-            if a is None and _LETTERS.fullmatch(letters) is None:
-                other.append(w)
-                continue
-            later.append((w, letters, signs))
-            for run in (letters, signs):
-                if run not in runs:
-                    if run in older:
-                        runs[run] = older[run]
-                    else:
-                        new.add(run)
-        self._encode_each(list(new), True, runs)
-        self._encode_each(other, False, known)
-        for w, letters, signs in later:
-            known[w] = runs[letters] + runs[signs]
-
-    def _plain_words(self, raw: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
-        """Ids of texts below U+0100, where lower case is a change of bytes; each distinct word is looked up once."""
+            self.known.update((w, ids[i:j]) for w, i, j in zip(some, ends, ends[1:]))
+
+    def _ids(self, words: list[str], plain: list[bool] | None = None) -> list[bytes]:
+        """Ids of distinct words; ``plain`` tells runs of letters, of signs or of digits."""
+        found = list(map(self.known.get, words))
+        if None not in found:
+            return found
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {"": b""}, self.known
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        older = list(map(self.older.get, [words[i] for i in missing]))
+        self.known.update((words[i], ids) for i, ids in zip(missing, older) if ids is not None)
+        fresh = [i for i, ids in zip(missing, older) if ids is None]
+        self._encode_each([words[i] for i in fresh if plain and plain[i]], True)
+        self._encode_each([words[i] for i in fresh if not (plain and plain[i])], False)
+        for i, ids in zip(missing, map(self.known.__getitem__, [words[i] for i in missing])):
+            found[i] = ids
+        return found
+
+    def _narrow_texts(self, raw: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
+        """Ids of texts below U+0100, where lower case is a change of bytes; each distinct run is looked up once."""
         data = _FOLD[raw[offsets[0] : offsets[-1]]]
-        after = np.flatnonzero(data[:-1] == 0xC3) + 1  # A-grave to Thorn, without the times sign
-        after = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]
-        data[after] += 0x20
-        ends = pa.py_buffer((offsets - offsets[0]).astype(np.int64).tobytes())
-        texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, ends, pa.py_buffer(data))
-        lists = pc.split_pattern(texts, " ")
-        words = lists.flatten().dictionary_encode()
-        distinct = words.dictionary.to_numpy(zero_copy_only=False).tolist()
-        missing = set(distinct) - self.known.keys()
-        if missing:
-            self._learn(missing)
-        found = [self.known[w] for w in distinct]
-        size = np.array([len(f) for f in found], np.int64) // 4
+        bounds, n = offsets - offsets[0], int(offsets[-1] - offsets[0])
+        if not n:
+            return [memoryview(b"")] * (len(offsets) - 1)
+        after = np.flatnonzero(data[:-1] == 0xC3) + 1
+        capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]  # A-grave to Thorn, without the times sign
+        data[capital] += 0x20
+        kind = _KIND[data]
+        letter = after[(data[after] >= 0x9F) & (data[after] != 0xB7)]  # sharp s to y-diaeresis, without the division sign
+        kind[letter] = kind[letter - 1] = _LETTER
+        starts = bounds[bounds < n]
+        odd = np.flatnonzero(kind == _OTHER)
+        if len(odd):  # all of their words
+            gap = kind == _SPACE
+            gap[starts] = True
+            word = np.cumsum(gap)
+            whole = np.zeros(int(word[-1]) + 1, bool)
+            whole[word[odd]] = True
+            kind[whole[word] & (kind != _SPACE)] = _OTHER
+        turn = kind[1:] != kind[:-1]
+        turn |= kind[1:] == _DIGIT
+        turn = np.r_[True, turn]
+        turn[starts] = True
+        full = np.flatnonzero(kind)  # white space goes
+        data, kind, turn = data[full], kind[full], turn[full]
+        bounds = np.searchsorted(full, bounds)
+        edges = np.r_[np.flatnonzero(turn), len(data)]
+        runs = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data)).dictionary_encode()
+        at = runs.indices.to_numpy()
+        distinct = runs.dictionary.to_pylist()
+        kinds = np.zeros(len(distinct), np.uint8)
+        kinds[at] = kind[edges[:-1]]
+        found = self._ids(distinct, (kinds != _OTHER).tolist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         flat = np.frombuffer(b"".join(found), "<u4")
-        at = words.indices.to_numpy()
         length = size[at]
-        upto = np.cumsum(length)
-        ids = flat[np.repeat((np.cumsum(size) - size)[at] - (upto - length), length) + np.arange(upto[-1] if len(upto) else 0)]
-        bounds = 4 * np.r_[0, upto][np.asarray(lists.offsets) - lists.offsets[0].as_py()]
+        upto = np.r_[0, np.cumsum(length)]
+        ids = flat[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], length) + np.arange(upto[-1])]
         out = memoryview(ids.tobytes())
-        return [out[a:b] for a, b in zip(bounds.tolist(), bounds[1:].tolist())]
+        ends = (4 * upto[np.searchsorted(edges, bounds)]).tolist()
+        return [out[a:b] for a, b in zip(ends, ends[1:])]
 
-    def _any_words(self, text: str) -> bytes:
+    def _any_text(self, text: str) -> bytes:
         words = text.replace("\n", " ").split(" ")
-        missing = set(words) - self.known.keys()
-        if missing:
-            self._learn(missing)
-        return b"".join(map(self.known.__getitem__, words))
+        distinct = list(set(words))
+        ids = dict(zip(distinct, self._ids(distinct)))
+        return b"".join(map(ids.__getitem__, words))
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian uint32."""
-        if len(self.known) > CACHED_WORDS:
-            self.known = {}
         raw, offsets = text_buffers(column)
         data = raw[offsets[0] : offsets[-1]]
         special = data >= 0xC4
@@ -318,16 +332,13 @@ class WordEncoder(TextEncoder):
         at = 0
         for i in [*odd, len(column)]:
             if i > at:
-                out += self._plain_words(raw, offsets[at : i + 1])
+                out += self._narrow_texts(raw, offsets[at : i + 1])
             if i < len(column):
-                out.append(self._any_words(column[i].as_py()))
+                out.append(self._any_text(column[i].as_py()))
             at = i + 1
         return out
 
 
-_FOLD = np.arange(256, dtype=np.uint8)
-_FOLD[ord("A") : ord("Z") + 1] += 32
-_FOLD[ord("\n")] = ord(" ")
 _ENCODERS: dict[int, TextEncoder] = {}
 
 
