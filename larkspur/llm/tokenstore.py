@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from larkspur.llm.bytewise import slices, text_buffers
+from larkspur.llm.bytewise import slices, span_hashes, text_buffers
 from larkspur.llm.frames import shuffle_width, small_batches
 
 #: Values per word and bits per value for the selectors 0 to 15.
@@ -48,10 +48,10 @@ _LARGEST = np.uint64((1 << 60) - 2)
 _PAD = FIELDS[0][0]
 _HEAD = struct.Struct("<4sIQIII")
 _MAGIC = b"S8B1"
-#: Words whose ids a worker keeps before it starts anew, with those of the last as many at hand.
-CACHED_WORDS = 300_000
+#: Words whose ids a worker keeps; beyond them the half used last stays.
+KNOWN_WORDS = 700_000
 #: Text that is encoded at once; the more, the fewer distinct words there are in it.
-ENCODE_BYTES = 1 << 22
+ENCODE_BYTES = 1 << 21
 
 
 _SMALL_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
@@ -239,36 +239,69 @@ class WordEncoder(TextEncoder):
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [by_space, as_bytes]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _encode_each(self, words: list[str], plain: bool) -> None:
+        self._keep(np.empty(0, np.int64), pa.array([], pa.large_string()), np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, "<u4"))
+        self.turn = 0
+
+    def _keep(self, some: np.ndarray, strings: pa.Array, hashes: np.ndarray, used: np.ndarray, begin: np.ndarray, ids: np.ndarray) -> None:
+        """Known words from now on: their strings, hashes, last use and ids (from ``begin`` on), all or ``some``."""
+        if len(some):
+            strings, hashes, used, size = strings.take(pa.array(some)), hashes[some], used[some], np.diff(begin)[some]
+            place = np.repeat(begin[some] - (np.cumsum(size) - size), size)
+            ids, begin = ids[place + np.arange(len(place))], np.r_[0, np.cumsum(size)]
+        self.strings, self.hashes, self.used, self.begin, self.ids = strings, hashes, used, begin, ids
+        self.order = np.argsort(hashes, kind="stable")
+        self.sorted = hashes[self.order]
+
+    def _encode_each(self, words: list[str], plain: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of all words in pieces, and how many each has."""
+        ids, sizes = [], []
         for a in range(0, len(words), 4096):
             some = words[a : a + 4096]
             if plain:
                 e = self.plain.encode(" ".join(some), add_special_tokens=False)
             else:
                 e = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ids = np.array(e.ids, "<u4").tobytes()
-            ends = (4 * np.searchsorted(np.array(e.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            self.known.update((w, ids[i:j]) for w, i, j in zip(some, ends, ends[1:]))
-
-    def _ids(self, words: list[str], plain: list[bool] | None = None) -> list[bytes]:
-        """Ids of distinct words; ``plain`` tells runs of letters, of signs or of digits."""
-        found = list(map(self.known.get, words))
-        if None not in found:
-            return found
-        if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {"": b""}, self.known
-        missing = [i for i, ids in enumerate(found) if ids is None]
-        older = list(map(self.older.get, [words[i] for i in missing]))
-        self.known.update((words[i], ids) for i, ids in zip(missing, older) if ids is not None)
-        fresh = [i for i, ids in zip(missing, older) if ids is None]
-        self._encode_each([words[i] for i in fresh if plain and plain[i]], True)
-        self._encode_each([words[i] for i in fresh if not (plain and plain[i])], False)
-        for i, ids in zip(missing, map(self.known.__getitem__, [words[i] for i in missing])):
-            found[i] = ids
-        return found
+            ids.append(np.array(e.ids, "<u4"))
+            sizes.append(np.bincount(np.array(e.word_ids, np.int64), minlength=len(some)))
+        return ids, sizes
+
+    def _places(self, words: pa.Array, plain: np.ndarray) -> np.ndarray:
+        """Numbers of distinct words that aren't empty among those known, which they are then; ``plain`` tells runs of letters, signs or digits.
+
+        Words are found by a hash and compared as a whole.
+        """
+        self.turn += 1
+        if len(self.hashes) > KNOWN_WORDS:
+            self._keep(np.flatnonzero(self.used >= np.median(self.used)), self.strings, self.hashes, self.used, self.begin, self.ids)
+        raw, offsets = text_buffers(words)
+        hashes = span_hashes(raw[: offsets[-1]], offsets[:-1], offsets[1:])
+        place, known = np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+        if len(self.hashes):
+            at = np.searchsorted(self.sorted, hashes)
+            at[at == len(self.sorted)] = 0
+            place = self.order[at]
+            known = (self.sorted[at] == hashes) & pc.equal(words, self.strings.take(pa.array(place))).to_numpy(zero_copy_only=False)
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = np.r_[new[plain[new]], new[~plain[new]]]
+            fresh, n = words.take(pa.array(new)), int(plain[new].sum())
+            both = fresh.to_pylist()
+            parts = [self._encode_each(both[:n], True), self._encode_each(both[n:], False)]
+            place[new] = len(self.hashes) + np.arange(len(new))
+            sizes = np.concatenate([x for _, s in parts for x in s])
+            begin = np.r_[self.begin, self.begin[-1] + np.cumsum(sizes)]
+            self._keep(new[:0], pa.concat_arrays([self.strings, fresh]), np.r_[self.hashes, hashes[new]], np.r_[self.used, np.zeros(len(new), np.int32)], begin, np.concatenate([self.ids, *(x for i, _ in parts for x in i)]))
+        self.used[place] = self.turn
+        return place
+
+    def _gathered(self, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words by their numbers, one after the other, and where each word's begin."""
+        size = np.diff(self.begin)[place]
+        upto = np.r_[0, np.cumsum(size)]
+        kind = np.int32 if max(upto[-1], len(self.ids)) < 1 << 31 else np.int64
+        at = np.repeat((self.begin[place] - upto[:-1]).astype(kind), size)
+        at += np.arange(upto[-1], dtype=kind)
+        return self.ids[at], upto
 
     def _narrow_texts(self, raw: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
         """Ids of texts below U+0100, where lower case is a change of bytes; each distinct run is looked up once."""
@@ -287,7 +320,7 @@ class WordEncoder(TextEncoder):
         if len(odd):  # all of their words
             gap = kind == _SPACE
             gap[starts] = True
-            word = np.cumsum(gap)
+            word = np.cumsum(gap, dtype=np.int32 if n < 1 << 31 else np.int64)
             whole = np.zeros(int(word[-1]) + 1, bool)
             whole[word[odd]] = True
             kind[whole[word] & (kind != _SPACE)] = _OTHER
@@ -295,30 +328,26 @@ class WordEncoder(TextEncoder):
         turn |= kind[1:] == _DIGIT
         turn = np.r_[True, turn]
         turn[starts] = True
-        full = np.flatnonzero(kind)  # white space goes
+        full = kind != _SPACE  # white space goes
+        before = np.r_[0, np.cumsum(np.add.reduceat(full, starts, dtype=np.int64))]
         data, kind, turn = data[full], kind[full], turn[full]
-        bounds = np.searchsorted(full, bounds)
+        bounds = before[np.searchsorted(starts, bounds)]
         edges = np.r_[np.flatnonzero(turn), len(data)]
         runs = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data)).dictionary_encode()
         at = runs.indices.to_numpy()
-        distinct = runs.dictionary.to_pylist()
-        kinds = np.zeros(len(distinct), np.uint8)
-        kinds[at] = kind[edges[:-1]]
-        found = self._ids(distinct, (kinds != _OTHER).tolist())
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        flat = np.frombuffer(b"".join(found), "<u4")
-        length = size[at]
-        upto = np.r_[0, np.cumsum(length)]
-        ids = flat[np.repeat((np.cumsum(size) - size)[at] - upto[:-1], length) + np.arange(upto[-1])]
+        plain = np.zeros(len(runs.dictionary), bool)
+        plain[at] = kind[edges[:-1]] != _OTHER
+        ids, upto = self._gathered(self._places(runs.dictionary, plain)[at])
         out = memoryview(ids.tobytes())
         ends = (4 * upto[np.searchsorted(edges, bounds)]).tolist()
         return [out[a:b] for a, b in zip(ends, ends[1:])]
 
     def _any_text(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        distinct = list(set(words))
-        ids = dict(zip(distinct, self._ids(distinct)))
-        return b"".join(map(ids.__getitem__, words))
+        words = pa.array([w for w in text.replace("\n", " ").split(" ") if w], pa.large_string()).dictionary_encode()
+        if not len(words):
+            return b""
+        distinct = words.dictionary
+        return self._gathered(self._places(distinct, np.zeros(len(distinct), bool))[words.indices.to_numpy()])[0].tobytes()
 
     def encode(self, column: pa.Array) -> list[bytes]:
         """Ids of each text (null: empty) as little-endian uint32."""
