@@ -315,7 +315,7 @@ class WordEncoder(TextEncoder):
         kind = _KIND[data]
         letter = after[(data[after] >= 0x9F) & (data[after] != 0xB7)]  # sharp s to y-diaeresis, without the division sign
         kind[letter] = kind[letter - 1] = _LETTER
-        starts = bounds[bounds < n]
+        starts = np.unique(bounds[bounds < n])
         odd = np.flatnonzero(kind == _OTHER)
         if len(odd):  # all of their words
             gap = kind == _SPACE
