@@ -1,29 +1,48 @@
 """BM25 over a corpus, for all queries of a batch in one plan.
 
-Documents are tokenised in one pass that keeps only tokens some query asks for;
-term frequencies are summed up before anything is shuffled by document, and
-document lengths come along from the same pass.
+The corpus is read and tokenised once.  Of a document's tokens only those that
+some query asks for go on, with one row more for the document itself, which holds
+its length; term frequencies are summed up per task, and this small table is kept
+in the shared folder.  Document frequencies, the corpus' statistics and the scores
+come from it.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from larkspur.frames import cut, is_small, join_small
 from larkspur.functions.text import tokens
 from larkspur.operators.ranking import PLACES, ranked
 
 K1, B = 1.5, 0.75
+#: Stands for the document itself among its terms; no token is empty.
+_DOCUMENT = ""
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """query_id, term, qtf of (query_id, query); a repeated term counts as often as it comes."""
-    return queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    words = queries.select("query_id", F.explode_outer(tokens(F.col("query"))).alias("term")).filter("term is not null")
+    return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """term, doc_id, tf, dl of (doc_id, text)."""
-    split = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    return split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    return _frequencies(docs).filter(F.col("term") != _DOCUMENT)
+
+
+def _frequencies(docs: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """term, doc_id, dl, tf, of asked terms (term) if given, and a row of each document for itself.
+
+    The list is exploded with its mark, so it is never empty and the plan needs no
+    filter on its size, for which texts would be tokenised once more.
+    """
+    split = docs.select("doc_id", F.concat(F.array(F.lit(_DOCUMENT)), tokens(F.col("text"))).alias("t"))
+    rows = split.select("doc_id", (F.size("t") - 1).alias("dl"), F.explode_outer("t").alias("term"))
+    if asked is not None:
+        wanted = asked.unionByName(asked.sparkSession.range(1).select(F.lit(_DOCUMENT).alias("term")))
+        rows = join_small(rows, wanted, "term", "left_semi")
+    return rows.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -37,20 +56,26 @@ def idf(df, n):
 
 def term_weights(docs: DataFrame) -> DataFrame:
     """term, df, idf of all terms."""
-    terms = docs.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return terms.crossJoin(F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))).select("term", "df", F.round(idf(F.col("df"), F.col("n")), PLACES).alias("idf"))
+    marked = F.concat(F.array(F.lit(_DOCUMENT)), F.array_distinct(tokens(F.col("text"))))
+    terms = cut(docs.select(F.explode_outer(marked).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    n = terms.filter(F.col("term") == _DOCUMENT).select(F.col("df").alias("n"))
+    return terms.filter(F.col("term") != _DOCUMENT).crossJoin(F.broadcast(n)).select("term", "df", F.round(idf(F.col("df"), F.col("n")), PLACES).alias("idf"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = K1, b: float = B) -> DataFrame:
-    """The ``k`` best documents with a score above 0 of each query."""
-    asked = query_terms(queries)
-    # Tokens that no query asks for go before the aggregation.
-    split = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    hits = split.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    hits = hits.groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    """The ``k`` best documents with a score above 0 of each query.
+
+    Rows that repeat a doc_id with a text of the same length count as one document
+    of both; a null text has no terms.
+    """
+    asked = cut(query_terms(queries))
+    table = cut(_frequencies(docs, asked.select("term").distinct()))
+    own = F.col("term") == _DOCUMENT
+    stats = table.filter(own).agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))  # one row
+    hits = table.filter(~own)
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = F.broadcast(corpus_stats(docs))  # one row
-    terms = asked.join(df, "term").crossJoin(stats).select("query_id", "term", "qtf", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
+    terms = asked.join(df, "term").crossJoin(F.broadcast(stats)).select("query_id", "term", "qtf", "avgdl", idf(F.col("df"), F.col("n")).alias("idf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    terms = F.broadcast(terms) if is_small(asked) else terms
     scores = hits.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), PLACES).alias("score"))
     return ranked(scores.filter("score > 0"), k)

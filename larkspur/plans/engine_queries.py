@@ -32,10 +32,10 @@ def left_join_orders(spark, sf_dir):
     return c.join(o, F.col("o_custkey") == F.col("c_custkey"), "left").select("c_custkey", "o_orderkey")
 
 
-@query("SELECT c_custkey, s_suppkey FROM (SELECT * FROM customer WHERE c_custkey % 3 = 0) c FULL JOIN (SELECT * FROM supplier WHERE s_suppkey % 2 = 0) s ON c_custkey = s_suppkey")
+@query("SELECT c_custkey, s_suppkey FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2 AND c_nationkey = s_nationkey")
 def full_join_keys(spark, sf_dir):
-    c, s = table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0"), table(spark, sf_dir, "supplier").filter("s_suppkey % 2 = 0")
-    return c.join(s, F.col("c_custkey") == F.col("s_suppkey"), "full").select("c_custkey", "s_suppkey")
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    return c.join(s, (F.col("c_custkey") == F.col("s_suppkey") * 2) & (F.col("c_nationkey") == F.col("s_nationkey")), "full").select("c_custkey", "s_suppkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 100000)")

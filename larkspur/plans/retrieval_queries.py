@@ -100,12 +100,12 @@ def vectors_of(spark, sf_dir):
 
 
 def query_vectors_of(spark, sf_dir):
-    """Every 25th vector asks."""
-    return vectors_of(spark, sf_dir).filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
+    """Every 20th vector asks."""
+    return vectors_of(spark, sf_dir).filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 COSINE = "round(CASE WHEN list_dot_product(a.e, a.e) > 0 AND list_dot_product(q.e, q.e) > 0 THEN list_cosine_similarity(a.e, q.e) ELSE 0 END, 6)::DOUBLE"
-VECTORS_SQL = "a AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 25 = 0)"
+VECTORS_SQL = "a AS (SELECT vec_id, embedding::DOUBLE[] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 20 = 0)"
 
 
 def near_sql(k: int, name: str = "near", where: str = "TRUE") -> str:
@@ -123,10 +123,10 @@ def cosine_topk_acl(spark, sf_dir):
     return D.exact_search(v, query_vectors_of(spark, sf_dir), 10, ["team-1", "team-3"])
 
 
-@query(f"WITH a AS (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 25 = 0), {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
+@query(f"WITH a AS (SELECT vec_id, (embedding::DOUBLE[])[1:16] AS e, label FROM embeddings), q AS (SELECT * FROM a WHERE vec_id % 20 = 0), {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
 def mrl_truncate_cosine(spark, sf_dir):
     short = vectors_of(spark, sf_dir).withColumn("vec", V.shorten(F.col("vec"), 16))
-    return D.exact_search(short, short.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec")), 10)
+    return D.exact_search(short, short.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("vec").alias("qvec")), 10)
 
 
 @query(f"WITH {VECTORS_SQL}, {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
@@ -135,15 +135,15 @@ def int8_rescore_topk(spark, sf_dir):
 
 
 def routes_of(spark, sf_dir):
-    return vectors_of(spark, sf_dir).filter("doc_id % 25 <> 0").select(F.col("doc_id").alias("utt_id"), "vec", F.concat(F.lit("route-"), F.col("label")).alias("label"))
+    return vectors_of(spark, sf_dir).filter("doc_id % 20 <> 0").select(F.col("doc_id").alias("utt_id"), "vec", F.concat(F.lit("route-"), F.col("label")).alias("label"))
 
 
-@query(f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 25 <> 0')} SELECT query_id, 'route-' || label AS label FROM near JOIN embeddings ON vec_id = doc_id")
+@query(f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 20 <> 0')} SELECT query_id, 'route-' || label AS label FROM near JOIN embeddings ON vec_id = doc_id")
 def semantic_route_k1(spark, sf_dir):
     return D.semantic_route(routes_of(spark, sf_dir), query_vectors_of(spark, sf_dir), 1)
 
 
-@query(f"""WITH {VECTORS_SQL}, {near_sql(5, where='a.vec_id % 25 <> 0')},
+@query(f"""WITH {VECTORS_SQL}, {near_sql(5, where='a.vec_id % 20 <> 0')},
 votes AS (SELECT query_id, 'route-' || label AS label, round(sum(1 + (5 - (rank - 1)) * 1e-6), 9) AS votes, min(rank) AS first FROM near JOIN embeddings ON vec_id = doc_id GROUP BY ALL)
 SELECT query_id, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, first) AS k FROM votes) WHERE k = 1""")
 def semantic_route_k5(spark, sf_dir):
@@ -151,10 +151,10 @@ def semantic_route_k5(spark, sf_dir):
 
 
 def _cache_of(spark, sf_dir):
-    return vectors_of(spark, sf_dir).filter("doc_id % 25 <> 0").select(F.col("doc_id").alias("entry_id"), "vec", F.concat(F.lit("answer "), F.col("doc_id")).alias("response"))
+    return vectors_of(spark, sf_dir).filter("doc_id % 20 <> 0").select(F.col("doc_id").alias("entry_id"), "vec", F.concat(F.lit("answer "), F.col("doc_id")).alias("response"))
 
 
-CACHE_SQL = f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 25 <> 0')}, hits AS (SELECT q.vec_id AS query_id, n.doc_id AS entry_id, n.score AS similarity FROM q LEFT JOIN near n ON n.query_id = q.vec_id AND n.score >= 0.7)"
+CACHE_SQL = f"WITH {VECTORS_SQL}, {near_sql(1, where='a.vec_id % 20 <> 0')}, hits AS (SELECT q.vec_id AS query_id, n.doc_id AS entry_id, n.score AS similarity FROM q LEFT JOIN near n ON n.query_id = q.vec_id AND n.score >= 0.7)"
 
 
 @query(f"{CACHE_SQL} SELECT query_id, entry_id, similarity, 'answer ' || entry_id AS response FROM hits")
@@ -172,15 +172,15 @@ def cache_hit_rate(spark, sf_dir):
 WITH a AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
 v AS (SELECT vec_id, [e[1:16], e[17:32], e[33:48], e[49:64]] AS p FROM a),
 s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_sum(list_transform(q.p, lambda x: list_max(list_transform(d.p, lambda y: list_dot_product(x, y))))), 6)::DOUBLE AS score
-  FROM v d, v q WHERE q.vec_id % 25 = 0)
+  FROM v d, v q WHERE q.vec_id % 20 = 0)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s) WHERE rank <= 5""")
 def maxsim_topk(spark, sf_dir):
     parts = F.array(*[F.slice("vec", 1 + 16 * i, 16) for i in range(4)])
     pages = vectors_of(spark, sf_dir).select("doc_id", parts.alias("patches"))
-    return D.max_sim_search(pages, pages.filter("doc_id % 25 = 0").select(F.col("doc_id").alias("query_id"), F.col("patches").alias("parts")), 5)
+    return D.max_sim_search(pages, pages.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("patches").alias("parts")), 5)
 
 
-@query(f"WITH {bm25_sql('sparse', DOCS_SQL, 50, 'SELECT item_id AS query_id, text AS query FROM benchmark')}, {VECTORS_SQL.replace('q AS (SELECT * FROM a WHERE vec_id % 25 = 0)', 'q AS (SELECT * FROM a WHERE vec_id IN (SELECT item_id FROM benchmark))')}, {near_sql(50, 'dense')}, {fuse_sql(['sparse', 'dense'])} SELECT * FROM fused WHERE rank <= 20")
+@query(f"WITH {bm25_sql('sparse', DOCS_SQL, 50, 'SELECT item_id AS query_id, text AS query FROM benchmark')}, {VECTORS_SQL.replace('q AS (SELECT * FROM a WHERE vec_id % 20 = 0)', 'q AS (SELECT * FROM a WHERE vec_id IN (SELECT item_id FROM benchmark))')}, {near_sql(50, 'dense')}, {fuse_sql(['sparse', 'dense'])} SELECT * FROM fused WHERE rank <= 20")
 def hybrid_bm25_dense(spark, sf_dir):
     q = asked_of(spark, sf_dir)
     v = vectors_of(spark, sf_dir)
@@ -358,9 +358,9 @@ def greedy_cluster(spark, sf_dir):
     return T.cluster(v, 5)
 
 
-@query(f"WITH {VECTORS_SQL}, {near_sql(10, where='a.label < 5')} SELECT query_id, doc_id, score, rank FROM near")
+@query(f"WITH {VECTORS_SQL}, {near_sql(10)} SELECT query_id, doc_id, score, rank FROM near")
 def collapsed_tree_topk(spark, sf_dir):
-    nodes = vectors_of(spark, sf_dir).filter("label < 5").select(F.col("doc_id").alias("node_id"), (F.col("label") % 3).alias("layer"), "vec")
+    nodes = vectors_of(spark, sf_dir).select(F.col("doc_id").alias("node_id"), (F.col("label") % 3).alias("layer"), "vec")
     return T.collapsed_search(nodes, query_vectors_of(spark, sf_dir), 10)
 
 
@@ -375,7 +375,7 @@ def summary_tree(spark, sf_dir):
 
 def _golden(spark, sf_dir):
     v, q = vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir)
-    pairs = q.join(v, q["qlabel"] == v["label"]).filter("doc_id <> query_id and doc_id % 7 = 1")
+    pairs = q.join(v, q["qlabel"] == v["label"]).filter("doc_id <> query_id")
     lists = pairs.groupBy("query_id").agg(F.array_sort(F.collect_list(F.col("doc_id").cast("string"))).alias("relevant"))
     gains = F.map_from_arrays("relevant", F.transform("relevant", lambda d: F.when(d.cast("long") % 2 == 0, 2.0).otherwise(1.0)))
     return q.select("query_id").join(lists, "query_id", "left").select("query_id", F.coalesce("relevant", F.array().cast("array<string>")).alias("relevant"), gains.alias("gains"))
@@ -387,7 +387,7 @@ def _ranking(spark, sf_dir):
 
 
 METRICS_SQL = f"""{VECTORS_SQL}, {near_sql(20)},
-g AS (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, CASE WHEN a.vec_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM q JOIN a ON a.label = q.label AND a.vec_id <> q.vec_id AND a.vec_id % 7 = 1),
+g AS (SELECT q.vec_id AS query_id, a.vec_id AS doc_id, CASE WHEN a.vec_id % 2 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS gain FROM q JOIN a ON a.label = q.label AND a.vec_id <> q.vec_id),
 h AS (SELECT g.query_id, g.doc_id, g.gain, n.rank FROM g LEFT JOIN near n ON n.query_id = g.query_id AND n.doc_id = g.doc_id),
 m AS (SELECT query_id, count(*) FILTER (rank <= 10)::DOUBLE / count(*) AS recall, coalesce(1.0 / min(rank), 0) AS rr, coalesce(sum(gain / log2(rank + 1)) FILTER (rank <= 10), 0) AS dcg FROM h GROUP BY query_id),
 i AS (SELECT query_id, sum(gain / log2(k + 1)) AS ideal FROM (SELECT query_id, gain, row_number() OVER (PARTITION BY query_id ORDER BY gain DESC) AS k FROM g) WHERE k <= 10 GROUP BY query_id),
