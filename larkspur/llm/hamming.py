@@ -1,83 +1,42 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
 Vectors become 64-bit codes of their signs.  A code is cut into four segments of
-16 bits, each with a table from segment value to codes.  A query looks up all
-segment values within radius 0, then 1, 2 and so on: once radius r is done in
-every segment, every code within distance ``4 * (r + 1) - 1`` has been seen
-(pigeonhole), so the search ends as soon as the k-th verified distance is within
-that.
+16 bits, each with a table from segment value to codes, which is one DataFrame
+sharded by (segment, value).  A query looks up all segment values within radius 0,
+then 1, 2 and so on: once radius r is done in every segment, every code within
+distance ``4 * (r + 1) - 1`` has been seen (pigeonhole), so a query leaves the
+search as soon as its k-th verified distance is within that.
+
+A round is one join: the values to look up, of the queries that are still
+searching, meet the table by (segment, value).  A code counts in the round of the
+least of its four segment distances and in the first segment that has it, so none
+is verified twice.  Each query's best are cut per task before they are shuffled.
 
 Codes, not rows, are indexed: rows of equal code share one entry that carries
 their k smallest ids, which is all that a top k with ties by id can take from
-them.  Index shards of bounded size each answer blocks of the distinct query
-codes, and their lists are merged per query; a shard's answer is exact for its
-own codes, so the merged one is exact for all.
+them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from larkspur.llm.frames import cut, shuffle_width
+from larkspur.llm.frames import cut
 
 SEGMENTS = 4
 SEGMENT_BITS = 16
-#: Codes in one shard of the index, and queries that meet it in one task.
-SHARD_CODES = 1 << 17
-QUERY_BLOCK = 1 << 11
-
-_MASKS = [np.array([sum(1 << b for b in some) for some in combinations(range(SEGMENT_BITS), r)], np.int64) for r in range(SEGMENT_BITS + 1)]
-
-
-class CodeIndex:
-    """Segment tables over an array of distinct codes (uint64)."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order, self.start = [], []
-        for s in range(SEGMENTS):
-            part = self.segment(codes, s)
-            self.order.append(np.argsort(part, kind="stable"))
-            self.start.append(np.searchsorted(part[self.order[-1]], np.arange((1 << SEGMENT_BITS) + 1)))
-
-    @staticmethod
-    def segment(codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(s * SEGMENT_BITS)) & np.uint64((1 << SEGMENT_BITS) - 1)).astype(np.int64)
-
-    def search(self, query: int, enough: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of all codes up to the distance at which ``enough`` rows are found.
-
-        weights: rows behind each code (those that can count).
-        """
-        q = np.uint64(query)
-        parts = [int(self.segment(np.array([q]), s)[0]) for s in range(SEGMENTS)]
-        seen = np.empty(0, np.int64)
-        for radius in range(SEGMENT_BITS + 1):
-            found = [seen]
-            for s in range(SEGMENTS):
-                keys = _MASKS[radius] ^ parts[s]
-                a, b = self.start[s][keys], self.start[s][keys + 1]
-                some = b > a
-                a, n = a[some], (b - a)[some]
-                at = np.repeat(a - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-                found.append(self.order[s][at])
-            seen = np.unique(np.concatenate(found))
-            distance = np.bitwise_count(self.codes[seen] ^ q).astype(np.int64)
-            per_distance = np.cumsum(np.bincount(distance, weights=weights[seen], minlength=65))
-            covered = SEGMENTS * (radius + 1) - 1
-            reached = np.flatnonzero(per_distance >= enough)
-            if len(reached) and reached[0] <= covered:
-                near = distance <= reached[0]
-                return seen[near], distance[near]
-            if covered >= 64:
-                break
-        return seen, distance
+
+
+def masks(radius: int) -> list[int]:
+    """All segment values with ``radius`` bits."""
+    return [sum(1 << b for b in some) for some in combinations(range(SEGMENT_BITS), radius)]
+
+
+def _segment(code: Column, s: int) -> Column:
+    return F.call_function("shiftright", code, F.lit(SEGMENT_BITS * s)).bitwiseAND(F.lit((1 << SEGMENT_BITS) - 1)).cast("int")
 
 
 def sign_codes(vectors: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding") -> DataFrame:
@@ -95,46 +54,49 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     ``codes`` and ``queries`` have id and code (long); a query's own id is not
     among its answers.  Rows with a null id or code neither ask nor answer; ids
     are taken to be unique, and of an id that comes twice with one code one row
-    counts.  With fewer than k other rows all are returned.
+    counts.  With fewer than k other rows all are returned; an empty table on
+    either side gives an empty result.  Other columns are ignored.
     """
-    rows = codes.filter("id is not null and code is not null")
+    rows = codes.filter("id is not null and code is not null").select("id", "code")
     # One id more than k: the query's own may be among them.
+    few = k + 1
     salted = Window.partitionBy("code", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("id")
-    few = rows.distinct().withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("r") <= k + 1)
-    entries = cut(few.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    n = entries.count()
-    shards = max(1, -(-n // SHARD_CODES))
-    asked = cut(queries.filter("id is not null and code is not null").distinct())
-    distinct = cut(asked.select("code").distinct())
-    blocks = max(1, min(shuffle_width(codes.sparkSession), distinct.count() // 64), -(-distinct.count() // QUERY_BLOCK))
-
-    shard = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")
-    index = entries.select(shard.alias("shard"), "code", "ids")
-    asks = distinct.select("code", F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    # A shard's codes go with each of its query blocks.
-    index = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def answer(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"code": pd.Series(dtype="int64"), "answers": pd.Series(dtype=object)})
-        stored = right["code"].to_numpy().view(np.uint64)
-        ids = right["ids"].to_numpy()
-        weights = np.array([len(x) for x in ids], float)
-        table = CodeIndex(stored)
-        codes, answers = left["code"].to_numpy(), []
-        for code in codes.view(np.uint64).tolist():
-            at, distance = table.search(code, k + 1, weights)
-            flat = sorted((d, i) for p, d in zip(at.tolist(), distance.tolist()) for i in ids[p].tolist())[: k + 1]
-            answers.append([{"distance": d, "id": i} for d, i in flat])
-        return pd.DataFrame({"code": codes, "answers": answers})
-
-    lists = asks.groupBy("shard", "block").cogroup(index.groupBy("shard", "block")).applyInPandas(answer, "code long, answers array<struct<distance:int,id:long>>")
-    merged = lists.groupBy("code").agg(F.slice(F.array_sort(F.flatten(F.collect_list("answers"))), 1, k + 1).alias("answers"))
-    out = asked.select(F.col("id").alias("query_id"), "code").join(merged.hint("merge"), "code")
-    mine = F.slice(F.filter("answers", lambda a: a["id"] != F.col("query_id")), 1, k)
-    out = out.select("query_id", F.posexplode(mine).alias("rank", "a"))
-    return out.select("query_id", F.col("a.id").alias("id"), F.col("a.distance").alias("distance"), (F.col("rank") + 1).cast("int").alias("rank"))
+    least = rows.distinct().withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= few)
+    least = least.withColumn("r", F.row_number().over(Window.partitionBy("code").orderBy("id"))).filter(F.col("r") <= few)
+    entries = least.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    places = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)]))
+    index = cut(entries.select("code", "ids", places.alias("place")).select("place.*", "code", "ids"))
+    asked = cut(queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), "code").distinct())
+    active = cut(asked.select(F.col("code").alias("query")).distinct())
+    best: DataFrame | None = None
+    done: list[DataFrame] = []
+    in_order = Window.partitionBy("query").orderBy("distance", "id")
+    for radius in range(SEGMENT_BITS + 1):
+        if active.isEmpty():
+            break
+        looked = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)]))
+        probes = active.select("query", looked.alias("l")).select("query", "l.*", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
+        probes = probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        hits = probes.join(index, ["segment", "value"])
+        apart = [F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), s)) for s in range(SEGMENTS)]
+        first = F.lit(True)
+        for s, d in enumerate(apart):
+            first = first & ((d > radius) | ((d == radius) & (F.col("segment") <= s)))
+        found = hits.filter(first).select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("id"))
+        every = found if best is None else found.unionByName(best)
+        best = cut(every.withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= few).drop("place"))
+        covered = SEGMENTS * (radius + 1) - 1
+        sizes = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
+        ended = sizes.filter(((F.col("n") == few) & (F.col("far") <= covered)) | F.lit(covered >= 64)).select("query")
+        done.append(best.join(ended, "query", "left_semi"))
+        active = cut(active.join(ended, "query", "left_anti"))
+        best = best.join(active, "query", "left_semi")
+    if not done:
+        return asked.select("query_id", F.col("query_id").alias("id"), F.lit(0).alias("distance"), F.lit(1).alias("rank")).filter("false")
+    answers = reduce(DataFrame.unionByName, done)
+    out = asked.join(answers.withColumnRenamed("query", "code"), "code").filter("id <> query_id")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "id")).cast("int"))
+    return out.filter(F.col("rank") <= k).select("query_id", "id", "distance", "rank")
 
 
 TOP_K_SQL = """

@@ -16,7 +16,7 @@ from larkspur.llm.neardup import near_duplicates
 from larkspur.llm.quality import judge
 from larkspur.llm.secretscan import secret_report, secrets_sql
 from larkspur.llm.tokenstore import read_tokens, write_tokens
-from larkspur.llm.urlrules import RULES, VERDICTS_SQL, url_verdicts
+from larkspur.llm.urlrules import RULES, VERDICTS_SQL, rules_frame, url_verdicts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -77,7 +77,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts on all page URLs."""
-    return url_verdicts(table(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "host string, path string, verdict string"))
+    return url_verdicts(table(spark, sf_dir, "pages"), rules_frame(spark, RULES))
 
 
 def queries() -> dict[str, Query]:

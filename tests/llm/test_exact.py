@@ -219,6 +219,19 @@ def test_hamming_search(spark):
         assert [x[1:] for x in sorted(got[q])] == want
 
 
+@pytest.mark.parametrize("n", [1, 3, 12])
+def test_hamming_search_of_few_and_far_codes(spark, n):
+    rng = np.random.default_rng(n)
+    codes = [int(x) for x in rng.integers(-(1 << 63), (1 << 63) - 1, n)]
+    df = spark.createDataFrame(list(enumerate(codes)), "id long, code long")
+    got = sorted(map(tuple, hamming.hamming_top_k(df, df, 10).collect()))
+    want = []
+    for q in range(n):
+        near = sorted((bin((codes[q] ^ c) & ((1 << 64) - 1)).count("1"), i) for i, c in enumerate(codes) if i != q)[:10]
+        want += [(q, i, d, r + 1) for r, (d, i) in enumerate(near)]
+    assert got == sorted(want)
+
+
 def test_wand_finds_all_above_the_threshold():
     rng = random.Random(9)
     vocabulary = [f"t{i}" for i in range(60)]
@@ -357,7 +370,7 @@ def test_nested_url_rules(spark):
     rules = [(h, p, rng.choice(["allow", "block"])) for h in hosts for p in paths if rng.random() < 0.5]
     urls = [(i, f"http://{rng.choice(['', 'www.'])}{rng.choice(hosts).upper()}{rng.choice(paths)}{rng.choice(['', 'c', '/b/c', '?q', '#f'])}") for i in range(300)]
     df = spark.createDataFrame(urls, "page_id long, url string")
-    got = {r["page_id"]: r for r in urlrules.url_verdicts(df, spark.createDataFrame(rules, "host string, path string, verdict string"), "allow", salts=3).collect()}
+    got = {r["page_id"]: r for r in urlrules.url_verdicts(df, spark.createDataFrame(rules, "host string, path string, verdict string"), "allow", swept=7).collect()}
     for i, u in urls:
         rest = u.split("://", 1)[1]
         host = re.match(r"[^/?#]*", rest)[0]
@@ -368,6 +381,20 @@ def test_nested_url_rules(spark):
         assert (got[i]["rule"], got[i]["verdict"]) == ((best[2], best[3]) if best else (None, "allow")), u
 
 
+def test_a_host_with_many_rules(spark):
+    import time
+
+    rules = urlrules.rules_frame(spark, [("a.com", "/" + "/".join(str(x) for x in (i % 40, i)), "block" if i % 2 else "allow") for i in range(4000)] + [("a.com", "/it's\\\\", "block")])
+    pages = spark.createDataFrame([(i, f"http://a.com/{i % 40}/{i}/x") for i in range(4100)] + [(-1, "http://a.com/it's\\\\x")], "page_id long, url string")
+    began = time.time()
+    got = {r["page_id"]: r for r in urlrules.url_verdicts(pages, rules).collect()}
+    assert time.time() - began < 30
+    for i in range(4000):
+        prefixes = [j for j in {int(str(i)[:n]) for n in range(1, 5)} if j % 40 == i % 40 and j < 4000]
+        assert got[i]["rule"] == f"a.com/{i % 40}/{max(prefixes)}"
+    assert got[-1]["verdict"] == "block"
+
+
 def test_main_text():
     body = "A sentence long enough to count as text of the article. " * 3
     page = f"<html><head><title>t</title><style>p{{}}</style><script>var x='</p>'</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav><div class='ad'>Buy now {body}</div><article><h1>Head &amp; more</h1><p>{body}<p>Short.<br>Tail</p></article><div id='comments'><p>{body}</p></div><footer>&copy; x</footer></body></html>"
