@@ -59,7 +59,7 @@ def sampled_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
     ``docs`` has doc_id, text and source; other columns are ignored.  A null text
     has size 0; null is a source of its own; sources without words are given and
     take nothing.  Rows that repeat a doc_id are sampled one by one.  An empty
-    table gives an empty result.
+    table gives an empty result.  Texts of any length are counted as a whole.
     """
     rows = cut(docs.select(F.col("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_key"), word_count(F.col("text")).alias("size")))
     targets = source_targets(rows, weights, share, most)
@@ -81,21 +81,31 @@ def sampled_copies(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share:
 
 
 def mix_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """The rows of ``docs``, each as often as it is taken."""
-    columns = docs.columns
-    plan = sampled_copies(docs, weights, share, most, seed).groupBy("doc_id", "text_key", "source").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    plan = plan.filter("__copies > 0").select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("source").alias("__source"), "__copies", "__rows")
-    keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    on = keyed["doc_id"].eqNullSafe(plan["__id"]) & (keyed["__text_key"] == plan["__key"]) & keyed["source"].cast("string").eqNullSafe(plan["__source"])
-    joined = keyed.join(plan.hint("merge"), on)
-    turn = F.row_number().over(Window.partitionBy("__id", "__key", "__source").orderBy("doc_id"))
-    joined = joined.withColumn("__turn", F.when(F.col("__rows") > 1, turn).otherwise(1))
-    times = F.floor(F.col("__turn") * F.col("__copies") / F.col("__rows")) - F.floor((F.col("__turn") - 1) * F.col("__copies") / F.col("__rows"))
-    return joined.select(*[F.col(c) for c in columns], F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("__copy")).drop("__copy")
+    """The rows of ``docs``, each as often as it is taken, with all their columns, whatever these are called.
+
+    Rows that repeat a doc_id and source with the same text share out their
+    copies.  A document without words, as of a null or empty text, is taken like
+    any other of its source, unless the source has no words at all, which then
+    gives nothing; a null source is one of its own, and null doc_ids do no harm.
+    An empty table gives an empty one.
+    """
+    plan = sampled_copies(docs, weights, share, most, seed).groupBy(F.struct("doc_id", "text_key", "source").alias("key")).agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")).filter("copies > 0")
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    own = own.select("row", F.struct(F.col("row.doc_id").alias("doc_id"), F.xxhash64("row.text").alias("text_key"), F.col("row.source").cast("string").alias("source")).alias("key"))
+    # The join has dealt rows out by key, as the window needs them; rows rarely share one.
+    joined = own.join(plan.hint("merge"), "key")
+    turn = F.when(F.col("rows") > 1, F.row_number().over(Window.partitionBy("key").orderBy("key"))).otherwise(1)
+    joined = joined.select("row", "copies", "rows", turn.alias("turn"))
+    times = F.floor(F.col("turn") * F.col("copies") / F.col("rows")) - F.floor((F.col("turn") - 1) * F.col("copies") / F.col("rows"))
+    return joined.select("row", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias("copy")).select("row.*")
 
 
 def mixture(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 0) -> DataFrame:
-    """doc_id, size, source_size, target, taken, copies and source for every row of ``docs``."""
+    """doc_id, size, source_size, target, taken, copies and source for every row of ``docs``.
+
+    What ``sampled_copies`` says of nulls, repeats and empty tables holds; taken is
+    0 for a text without words however often it is taken.
+    """
     plan = sampled_copies(docs, weights, share, most, seed)
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"), F.col("copies").cast("int").alias("copies"), "source")
 

@@ -18,9 +18,12 @@ The plan, none of whose steps gathers an unbounded group in one task:
 3. what is still apart in some bucket is compared there, a pair only in the first
    band that it shares.  Buckets of up to 32 classes send registers alone and
    return the pairs whose estimate allows a link, to be verified.  In larger ones
-   members are dealt into blocks with their sets, those outside the bucket's
-   largest component meet every block once, and a union-find keeps a block's
-   confirmed links to a spanning forest, so a group of n near copies yields O(n)
+   members are dealt into blocks, those outside the bucket's largest component
+   meet every block once, and again registers alone are sent.  Two blocks return
+   their promising pairs if these are fewer than half of their members, else only
+   word that they are dense: then the members' sets are sent, each once, and a
+   union-find keeps the confirmed links to a spanning forest.  So no more sets are
+   read than there are promising pairs, and a group of n near copies yields O(n)
    rows, never n^2;
 4. large-star/small-star rounds join the components.
 
@@ -199,12 +202,12 @@ def _unseen(rows: list[tuple], i: int, comps: np.ndarray, sides: np.ndarray, reg
     return at[_promising(same.sum(axis=1), sizes[at], np.full(len(at), sizes[i]), percent)]
 
 
-def _links(rows: list[tuple], percent: int, verify: bool) -> list[tuple]:
+def _links(rows: list[tuple], percent: int, verify: bool, most: float = np.inf) -> list[tuple] | None:
     """Of the rows (band, side, comp, doc_id, n_shingles, registers, set) of one or two blocks:
 
     links between components as a spanning forest, or without ``verify`` all
-    pairs to verify with their components.  Sides 0 and 1 tell two blocks apart;
-    within 2 all pairs count.
+    pairs to verify with their components, None if these are more than ``most``.
+    Sides 0 and 1 tell two blocks apart; within 2 all pairs count.
     """
     comps, sides, sizes = (np.array([r[k] for r in rows]) for k in (2, 1, 4))
     regs = np.stack([np.frombuffer(r[5], np.uint16) for r in rows])
@@ -214,20 +217,38 @@ def _links(rows: list[tuple], percent: int, verify: bool) -> list[tuple]:
             a, b = int(comps[i]), int(comps[j])
             if not verify:
                 out.append((rows[i][3], rows[j][3], a, b))
+                if len(out) > most:
+                    return None
             elif forest.find(a) != forest.find(b) and _similar(np.frombuffer(rows[i][6], np.uint64), np.frombuffer(rows[j][6], np.uint64), percent):
                 forest.join(a, b)
                 out.append((a, b))
     return out
 
 
-def _compare_blocks(members: DataFrame, percent: int, verify: bool) -> DataFrame:
-    """members come sorted by (bucket, first, second, band); a group has at most two blocks."""
-    names = ["doc_id", "partner"] if verify else ["left", "right", "doc_id", "partner"]
+_PAIR = ["left", "right", "doc_id", "partner", "bucket", "first", "second", "band"]
+
+
+def _compare_blocks(members: DataFrame, percent: int, verify: bool, dense: bool = False) -> DataFrame:
+    """members come sorted by (bucket, first, second, band); a group has at most two blocks.
+
+    With ``verify`` confirmed links (doc_id, partner); else pairs (left, right and
+    their components) and, if ``dense`` is allowed, a row with the block's keys
+    alone where there are more pairs than half of the members.
+    """
+    names = ["doc_id", "partner"] if verify else _PAIR
     keys = ("bucket", "first", "second", "band", "side", "comp", "doc_id", "n_shingles", "registers") + ("shingles",) * verify
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, rows = None, []
 
+        def found_in() -> list[tuple]:
+            if len(rows) < 2:
+                return []
+            links = _links(rows, percent, verify, len(rows) / 2 if dense else np.inf)
+            if verify:
+                return links
+            return [(None,) * 4 + key] if links is None else [x + (None,) * 4 for x in links]
+
         def out(found: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found)], names)
 
@@ -236,13 +257,12 @@ def _compare_blocks(members: DataFrame, percent: int, verify: bool) -> DataFrame
             found: list[tuple] = []
             for row in zip(*[d[k] for k in keys]):
                 if row[:4] != key:
-                    if len(rows) > 1:
-                        found += _links(rows, percent, verify)
+                    found += found_in()
                     key, rows = row[:4], []
                 rows.append(row[3:])
             if found:
                 yield out(found)
-        if len(rows) > 1 and (found := _links(rows, percent, verify)):
+        if found := found_in():
             yield out(found)
 
     return members.mapInArrow(run, ", ".join(f"{n} long" for n in names))
@@ -352,7 +372,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     with_major = F.transform(F.sequence(F.lit(0), F.col("major_blocks") - 1), lambda i: task(mine, -1 - i, F.lit(0)))
     from_major = F.transform(F.sequence(F.lit(0), F.col("minor_blocks") - 1), lambda i: task(i, -1 - mine, F.lit(1)))
     dealt = apart.select("band", "bucket", "doc_id", "comp", F.explode(F.when(F.col("minor"), F.concat(with_minor, with_major)).otherwise(from_major)).alias("t")).select("band", "bucket", "doc_id", "comp", "t.*")
-    large_links = _compare_blocks(sorted_by_block(dealt.join(full, "doc_id")), percent, verify=True)
+    dealt = cut(dealt)
+    told = cut(_compare_blocks(sorted_by_block(dealt.join(classes.select("doc_id", "n_shingles", "registers"), "doc_id")), percent, verify=False, dense=True))
+    dense = told.filter("left is null").select("bucket", "first", "second", "band")
+    crowded = dealt.join(dense, ["bucket", "first", "second", "band"], "left_semi")
+    large_links = verified(told.filter("left is not null")).union(_compare_blocks(sorted_by_block(crowded.join(full, "doc_id")), percent, verify=True))
 
     merged = components(small_links.union(large_links)).withColumnRenamed("doc_id", "comp").withColumnRenamed("root", "least")
     rooted = roots.select("doc_id", F.col("root").alias("comp"))

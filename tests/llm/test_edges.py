@@ -21,7 +21,7 @@ DOCS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use inside.
-CLASH = ["size", "rank", "key", "n", "piece", "term", "score", "kept", "root", "band", "shingles", "item_id", "copies", "target", "spans", "base"]
+CLASH = ["size", "rank", "key", "n", "term", "score", "kept", "root", "band", "shingles", "item_id", "copies", "target", "spans", "base", "row", "copy", "rows", "turn", "text_key", "key1", "key2", "held", "piece", "__id", "__key", "__low", "__copies", "__turn", "__text"]
 
 
 @pytest.fixture(scope="module")

@@ -67,9 +67,14 @@ def components(texts, size, percent):
             x = up[x]
         return x
 
+    having: dict = {}
     for i in sets:
-        for j in range(i):
-            both = len(sets[i] & sets[j])
+        shared: dict = {}
+        for g in sets[i]:
+            for j in having.get(g, ()):
+                shared[j] = shared.get(j, 0) + 1
+            having.setdefault(g, []).append(i)
+        for j, both in shared.items():
             if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 up[max(a, b)] = min(a, b)
@@ -87,6 +92,39 @@ def test_near_duplicates(spark, monkeypatch, size, small):
     assert got == components(texts, size, 80)
 
 
+def test_blocks_that_are_dense_and_those_that_are_not(spark, monkeypatch):
+    """Families of texts below the threshold that share a band by force, among some links."""
+    monkeypatch.setattr(neardup, "SMALL", 0)
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    rng = random.Random(7)
+    texts = []
+    for family in range(3):
+        base = [f"f{family}w{i}" for i in range(150)]
+        for i in range(24):
+            w = list(base)
+            for _ in range((4, 11, 30)[family]):
+                w[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    assert got == components(texts, 4, 80)
+
+
+def test_recall_on_the_test_tables(spark):
+    """All links of brute force over distinct sets, by an inverted index of shingles."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    ids = sorted(texts)
+    want = components([texts[i] for i in ids], 4, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs, 4, 80).collect()}
+    assert got == {ids[i]: (n, ids[c]) for i, (n, c) in want.items()}
+
+
 def test_registers_estimate_the_similarity():
     rng = np.random.default_rng(1)
     for share in (0.5, 0.8, 0.95):
