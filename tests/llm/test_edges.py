@@ -63,6 +63,7 @@ def test_results_of_odd_rows(spark, folder):
     near = {r["doc_id"]: r for r in Q.op6_minhash_neardup(spark, at).collect()}
     assert near[2]["component_id"] == 1 and not near[2]["kept"] and near[1]["kept"]
     assert near[3]["n_shingles"] == 0 and near[3]["component_id"] == 3 and near[5]["component_id"] == 5
+    assert near[8]["n_shingles"] == 3  # NUL parts no words: six words
     assert near[None]["component_id"] is None and not near[None]["kept"]
     verdicts = {r["page_id"]: r for r in Q.op10_url_rules(spark, at).collect()}
     assert (verdicts[3]["host"], verdicts[3]["path"], verdicts[3]["rule"], verdicts[3]["verdict"]) == ("a.example.org", "/es/x", "example.org/es/", "block")
@@ -74,19 +75,28 @@ def test_results_of_odd_rows(spark, folder):
     secrets = {r["doc_id"]: r for r in Q.op5_secret_scan(spark, at).collect()}
     assert secrets[7]["n_assign"] == 1 and secrets[7]["spans"] == "assign:0:24" and secrets[3]["spans"] == ""
     licences = {r["doc_id"]: r for r in Q.op3_license_scan(spark, at).collect()}
-    assert licences[7]["license"] == "MIT" and licences[7]["line"] == 1 and licences[3]["license"] is None
+    assert licences[7]["license"] == "MIT" and licences[7]["start"] == 2 and licences[7]["n_words"] == 5 and licences[3]["license"] is None
     judged = {r["doc_id"]: r for r in Q.op1_quality_classifier(spark, at).collect()}
     assert not judged[3]["kept"] and judged[3]["log_perplexity"] is None and judged[1]["kept"]
 
 
+def test_copies_without_an_id_are_one_document(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(None, text, "en", "a", 1), (None, text, "en", "b", 2), (None, text + " end", "en", "a", 1), (7, text, "en", "a", 1), (None, "all by itself here", "en", "a", 1), (None, "all by itself here", "de", "a", 1), (None, None, "en", "a", 1), (None, None, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    kept = sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in corpus_pipeline.deduplicate(spark, docs, "").collect())
+    assert kept == [("7", "w0 w1"), ("None", "None"), ("None", "all b")]
+
+
 def test_stages_on_odd_rows_and_empty_tables(spark, folder):
     for kind in ("odd", "none"):
         docs = spark.read.parquet(f"{folder}/{kind}/documents.parquet")
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, f"{folder}/{kind}")
+            rows = out.collect()
             if name != corpus_pipeline.STAGES[-1][0]:
                 assert out.columns == docs.columns, name
-            rows = out.collect()
+                assert all(r[c] == "x" for r in rows for c in CLASH), name
             assert kind == "odd" or rows == [], name
 
 

@@ -444,13 +444,57 @@ def test_main_text():
     assert htmlmain.main_text("<article><p>&eacute;&#x41;</p></article>") == unescape("&eacute;A")
 
 
-def test_licence_groups_give_what_one_group_gives(spark):
-    docs = spark.createDataFrame([(1, "x\nLicensed under the Apache License, version 2.0\ny"), (2, "Licensed under CC BY-SA 4.0. Released under the MIT License."), (3, "licensed under the")], "doc_id long, text string")
-    one = licenses.scan_licenses(docs).drop("matches").collect()
-    many = licenses.scan_licenses(docs, most_bigrams=5).drop("matches").collect()
-    assert sorted(map(str, one)) == sorted(map(str, many))
-    assert {r["doc_id"]: r["license"] for r in one}[1] == "Apache-2.0"
+def licence_by_windows(text, templates, threshold):
+    """(licence, dice, start, words, licences), from every window that begins and ends with a bigram of the template."""
+    normal = lambda t: re.sub(r"[\W_]+", " ", t.lower()).split()
+    w = normal(text)
+    b = list(zip(w, w[1:]))
+    matches = []
+    for number, (name, body) in enumerate(templates):
+        t = normal(body)
+        want, pairs = set(zip(t, t[1:])), len(t) - 1
+        found = []
+        for i in [i for i, x in enumerate(b) if x in want]:
+            end = max(j for j in range(i, min(i + pairs, len(b))) if b[j] in want)
+            window = set(b[i : end + 1])
+            dice = 2 * len(window & want) / (len(window) + len(want))
+            if dice >= threshold:
+                found.append((len(window & want), dice, -number, -i, end - i + 2, name))
+        matches += [max(found)] if found else []
+    best = max(matches, default=None)
+    return (best[5], round(best[1], 6), -best[3], best[4], len({m[5] for m in matches})) if best else (None, None, None, None, 0)
+
+
+def test_licences_against_brute_force(spark):
+    rng = random.Random(17)
+    bodies = [t for _, t in licenses.TEMPLATES]
+    texts = [None, "", "license", "Licensed under CC BY-SA 4.0. Released under the MIT License."]
+    for _ in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 3)):
+            body = rng.choice(bodies).split(" ")
+            for _ in range(rng.choice([0, 0, 1, len(body) // 12, len(body) // 4])):
+                at = rng.randrange(len(body))
+                body[at : at + 1] = rng.choice([[], ["other"], [body[at], "more", "words"]])
+            width = rng.choice([3, 8, 1000])
+            lines = [" ".join(body[i : i + width]) for i in range(0, len(body), width)]
+            parts += ["some text before it", rng.choice(["\n", "\n# ", "\n * ", "\n// "]).join(lines), "and after"]
+        texts.append(rng.choice(["\n", " ", "; "]).join(parts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: tuple(r[c] for c in ("license", "dice", "start", "n_words", "n_licenses")) for r in licenses.license_report(docs).collect()}
+    assert got == {i: licence_by_windows(t or "", licenses.TEMPLATES, 0.8) for i, t in enumerate(texts)}
+    assert sum(g[0] is not None for g in got.values()) > 80
     assert licenses.scan_licenses(docs, templates=[]).filter("license is not null").count() == 0
+    assert licenses.scan_licenses(docs, templates=[("x", "word")]).filter("license is not null").count() == 0
+
+
+def test_a_long_text_full_of_licences(spark):
+    import time
+
+    text = "\n".join([licenses.TEMPLATES[0][1], "words between them " * 20] * 300)
+    began = time.time()
+    row = licenses.license_report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["license"], row["dice"], row["start"]) == ("MIT", 1.0, 0) and time.time() - began < 40
 
 
 def test_plain_words():
