@@ -19,33 +19,61 @@ from larkspur.llm.tokenstore import read_tokens, write_tokens
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity is that of trusted text; empty texts go too."""
+    """Documents whose perplexity is that of trusted text.
+
+    Null and empty texts and those of white space go; without trusted text only
+    these do.  A null language is one of its own, null doc_ids do no harm, rows
+    that repeat stay or go together, and an empty table gives an empty one.
+    """
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+#: Rows without a doc_id take the place of one from here on.
+_FIRST_OWN = 1 << 62
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares at least 80 % of its five-word shingles.
+    """One document of each group that shares at least 80 % of its five-word shingles: that of the smallest doc_id.
 
-    Rows that repeat a doc_id with the same text are one document; rows without
-    a doc_id can't be told apart and stay.
+    Rows that repeat a doc_id with the same text are one document.  Rows without a
+    doc_id stand after all others, those with the same text as one document.
+    Texts without words are linked with nothing and stay, null ones without a
+    doc_id as one.  An empty table gives an empty one.
     """
-    kept = near_duplicates(docs, shingle=5, percent=80).filter("kept").select("doc_id").distinct()
-    once = docs.withColumn("__text", F.xxhash64("text")).join(kept.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id", "__text"])
-    return once.select(*docs.columns).union(docs.filter("doc_id is null"))
+    own = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    text = F.col("row.text").cast("string")
+    number = F.coalesce(F.col("row.doc_id").cast("long"), F.lit(_FIRST_OWN) + F.pmod(F.xxhash64(F.lit("row"), text), F.lit(_FIRST_OWN)))
+    keyed = own.select("row", number.alias("doc_id"), text.alias("text"))
+    kept = near_duplicates(keyed.select("doc_id", "text"), shingle=5, percent=80).filter("kept").select("doc_id").distinct()
+    once = keyed.select("row", "doc_id", F.xxhash64("text").alias("text_key")).join(kept.hint("merge"), "doc_id", "left_semi")
+    return once.dropDuplicates(["doc_id", "text_key"]).select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without benchmark passages."""
+    """Documents without benchmark passages.
+
+    Null and empty texts hold none and stay, whatever their doc_id; rows that
+    repeat stay or go together.  Without items every row stays; an empty table
+    gives an empty one.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as its source's target weight asks for."""
+    """Every document as often as its source's target weight asks for.
+
+    A null source is one of its own; a source without words gives nothing; rows
+    that repeat share out their copies; an empty table gives an empty one.
+    """
     return mix_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in Simple-8b segments, and per document what reading them back gives."""
+    """Token ids in Simple-8b segments, and per document what reading them back gives.
+
+    A null text is an empty one, of the end id alone; null doc_ids come first and
+    rows that repeat are written as often as they come; an empty table gives none.
+    """
     path = scratch_path(spark, "tokens")
     write_tokens(docs, path, tokenizer_file(), end_id=2)
     return read_tokens(spark, path)
