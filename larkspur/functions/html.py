@@ -26,7 +26,7 @@ def sniff(text: Column) -> Column:
 
 def sniff_bytes(content: Column) -> Column:
     """Content type of a file's bytes."""
-    head = F.lower(F.try_validate_utf8(F.substring(content, 1, 1024).cast("string")))
+    head = F.lower(F.make_valid_utf8(F.substring(content, 1, 1024).cast("string")))
     inside = F.contains(head, F.lit("<table")) | F.contains(head, F.lit("<html")) | F.contains(head, F.lit("<body"))
     starts = F.startswith(F.regexp_replace(head, r"^\s+", ""), F.lit("<"))
     return F.when(F.substring(content, 1, 5) == F.lit(b"%PDF-"), "application/pdf").when(F.coalesce(starts & inside, F.lit(False)), "text/html").otherwise("text/plain")

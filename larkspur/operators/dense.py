@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from larkspur.functions.backends import embed
 from larkspur.functions.security import may_read
 from larkspur.functions.vectors import cosine, doubles, int8, max_sim, norm
 from larkspur.operators.ranking import PLACES, ranked
@@ -72,6 +73,25 @@ def semantic_route(routes: DataFrame, queries: DataFrame, k: int = 1) -> DataFra
     return votes.groupBy("query_id").agg(F.max_by("label", F.struct("votes", -F.col("first"))).alias("label"))
 
 
+class SemanticRouter:
+    """Routes named by example utterances, with the backend that embeds them and the queries."""
+
+    def __init__(self, provider: str = "hashing", k: int = 1):
+        self.provider, self.k, self.routes = provider, k, None
+
+    def add(self, utterances: DataFrame) -> "SemanticRouter":
+        """Adds (utt_id, label, utterance); returns the router."""
+        rows = utterances.select("utt_id", "label", embed(F.col("utterance"), self.provider).alias("vec"))
+        self.routes = rows if self.routes is None else self.routes.unionByName(rows)
+        return self
+
+    def route(self, queries: DataFrame) -> DataFrame:
+        """query_id, label of (query_id, query)."""
+        if self.routes is None:
+            raise ValueError("the router has no routes")
+        return semantic_route(self.routes, queries.select("query_id", embed(F.col("query"), self.provider).alias("qvec")), self.k)
+
+
 def cache_lookup(entries: DataFrame, queries: DataFrame, threshold: float = 0.85) -> DataFrame:
     """query_id, entry_id, similarity and response of the nearest entry (entry_id, vec, response); nulls below the threshold.
 

@@ -42,6 +42,6 @@ def values(rows: list[tuple], columns: str, name: str = "v") -> str:
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
-    from larkspur.plans import engine_queries, retrieval_queries, text_queries  # noqa: F401
+    from larkspur.plans import engine_queries, retrieval_queries, surface_queries, text_queries  # noqa: F401
 
     return QUERIES, SQL

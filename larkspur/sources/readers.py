@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from larkspur.functions.html import parse, sniff_bytes
@@ -34,8 +35,6 @@ def files(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_with(rows: DataFrame, content_type: str) -> DataFrame:
     """Fills the text of one content type by its registered parser (path, content, content_type, text)."""
-    import pandas as pd
-
     from larkspur.registry import backends
 
     parser = backends.get("parser", content_type)
