@@ -9,19 +9,21 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.functions.backends import embed
 from larkspur.functions.security import may_read
 from larkspur.functions.vectors import cosine, doubles, int8, max_sim, norm
 from larkspur.operators.ranking import PLACES, ranked
 
-#: Queries that go to every task at once.
-BATCH = 4096
+#: Numbers in the queries that go to every task at once, 16 MB of them.
+BATCH_NUMBERS = 1 << 21
 
 
-def _batches(queries: DataFrame, id_column: str = "query_id") -> list[DataFrame]:
-    n = -(-queries.count() // BATCH)
+def _batches(queries: DataFrame, numbers: Column, id_column: str = "query_id") -> list[DataFrame]:
+    """Queries in batches whose vectors (of ``numbers`` numbers each) together stay within the bound."""
+    total = queries.agg(F.coalesce(F.sum(numbers), F.lit(0))).first()[0]
+    n = -(-total // BATCH_NUMBERS)
     if n <= 1:
         return [queries]
     part = F.pmod(F.xxhash64(id_column), F.lit(n))
@@ -37,7 +39,7 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, caller_gro
     rows = vectors.filter(may_read(F.col("allowed_groups"), caller_groups)) if caller_groups else vectors
     rows = rows.select("doc_id", doubles(F.col("vec")).alias("vec"))
     legs = []
-    for some in _batches(queries):
+    for some in _batches(queries, F.size("qvec")):
         asked = F.broadcast(some.select("query_id", doubles(F.col("qvec")).alias("qvec")))
         legs.append(ranked(rows.crossJoin(asked).select("query_id", "doc_id", F.round(cosine(F.col("vec"), F.col("qvec")), PLACES).alias("score")), k))
     return reduce(DataFrame.unionByName, legs)
@@ -54,7 +56,7 @@ def two_phase_search(vectors: DataFrame, queries: DataFrame, k: int = 10, oversa
 def max_sim_search(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Late interaction over pages (doc_id, patches) for queries (query_id, parts)."""
     legs = []
-    for some in _batches(queries):
+    for some in _batches(queries, F.size(F.flatten("parts"))):
         both = pages.crossJoin(F.broadcast(some.select("query_id", "parts")))
         legs.append(ranked(both.select("query_id", "doc_id", F.round(max_sim(F.col("parts"), F.col("patches")), PLACES).alias("score")), k))
     return reduce(DataFrame.unionByName, legs)
@@ -100,7 +102,7 @@ def cache_lookup(entries: DataFrame, queries: DataFrame, threshold: float = 0.85
     stored = entries.withColumn("vec", doubles(F.col("vec"))).filter(norm(F.col("vec")) > 0)
     asked = queries.select("query_id", doubles(F.col("qvec")).alias("qvec")).filter(norm(F.col("qvec")) > 0)
     legs = []
-    for some in _batches(asked):
+    for some in _batches(asked, F.size("qvec")):
         both = stored.crossJoin(F.broadcast(some))
         sims = both.select("query_id", "entry_id", "response", F.round(cosine(F.col("vec"), F.col("qvec")), PLACES).alias("similarity"))
         legs.append(sims.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("e"), "response")).alias("best")))

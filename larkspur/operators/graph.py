@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.frames import cut
 from larkspur.functions.text import strip, triple_lines
 
 
@@ -42,7 +43,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """seed, entity, hop: what each seed (seed) reaches over edges in either direction, itself at hop 0.
 
     Each hop joins the last hop's entities with the edges and leaves out what has
-    been visited; lineage is cut in the shared checkpoint folder where one is set.
+    been visited; lineage is cut in the shared checkpoint folder.
     """
     both = edges.select(F.col("subject").alias("a"), F.col("object").alias("b")).union(edges.select("object", "subject"))
     names = entities(edges)
@@ -51,8 +52,7 @@ def neighbourhood(edges: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     for hop in range(1, hops + 1):
         found = last.select("seed", F.col("entity").alias("a")).join(both, "a").select("seed", F.col("b").alias("entity")).distinct()
         last = found.join(visited.select("seed", "entity"), ["seed", "entity"], "left_anti").withColumn("hop", F.lit(hop))
-        if edges.sparkSession.sparkContext.getCheckpointDir():
-            last = last.checkpoint()
+        last = cut(last)
         visited = visited.union(last)
     return visited
 

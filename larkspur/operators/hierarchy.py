@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from larkspur.frames import cut
 from larkspur.operators.dense import exact_search
 
 
@@ -58,8 +59,7 @@ def build_tree(leaves: DataFrame, embed: Callable[[DataFrame], DataFrame], summa
         parts = F.array_sort(F.collect_list(F.struct("node_id", "text")))
         texts = joined.groupBy("tree_id", "group").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "\n\n").alias("text"))
         layer = embed(summarize(texts).withColumn("layer", F.lit(number)))
-        if layer.sparkSession.sparkContext.getCheckpointDir():
-            layer = layer.checkpoint()
+        layer = cut(layer)
         out = out.unionByName(layer)
     return out
 

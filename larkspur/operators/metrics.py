@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larkspur.frames import cut
 from larkspur.operators.ranking import PLACES
 
 
@@ -57,7 +58,7 @@ def _positions(values: DataFrame) -> DataFrame:
     """
     session = values.sparkSession
     placed = values.repartitionByRange(int(session.conf.get("spark.sql.shuffle.partitions")), "x").withColumn("piece", F.spark_partition_id())
-    placed = placed.checkpoint() if session.sparkContext.getCheckpointDir() else placed.persist()
+    placed = cut(placed)
     pieces = placed.groupBy("piece").agg(F.sum("c").alias("total"))
     pieces = pieces.select("piece", (F.sum("total").over(Window.orderBy("piece")) - F.col("total")).alias("before"))
     inside = F.sum("c").over(Window.partitionBy("piece").orderBy("x"))

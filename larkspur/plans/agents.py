@@ -2,7 +2,7 @@
 
 Backends see all active queries of a step at once.  Loops run a bounded number of
 steps on the driver; each step is one plan over the queries still active, cut in
-the shared checkpoint folder where one is set.
+the shared checkpoint folder.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from larkspur.frames import cut
 from larkspur.functions import backends as B
 from larkspur.functions.routing import adaptive_route, is_compositional
 from larkspur.functions.text import dashed_lines, list_lines, number_passages
@@ -23,10 +24,6 @@ def _no_passages() -> Column:
     return F.array().cast("array<string>")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
-
-
 def _ask(queries: DataFrame, system: str, provider: str, prompt: Column | None = None) -> DataFrame:
     return queries.withColumn("reply", B.generate(F.lit(system), F.col("query") if prompt is None else prompt, provider))
 
@@ -72,14 +69,14 @@ def adaptive(queries: DataFrame, retrieve: Retriever, provider: str = "echo", ma
     Without retrieval, with one pass, or with passes repeated while they bring
     passages that are new; passages that repeat within one pass are kept.
     """
-    routed = _cut(queries.withColumn("route", adaptive_route(F.col("query"))).withColumn("passages", _no_passages()))
+    routed = cut(queries.withColumn("route", adaptive_route(F.col("query"))).withColumn("passages", _no_passages()))
     active = routed.filter("route <> 'no_retrieval'")
     state = routed.filter("route = 'no_retrieval'")
     for step in range(max(1, max_steps)):
         found = _passages(retrieve(active.select("query_id", "query")))
         rows = active.join(found, "query_id", "left")
         new = F.filter(F.coalesce("found", _no_passages()), lambda p: ~F.array_contains(F.col("passages"), p))
-        rows = _cut(rows.withColumn("new", new).withColumn("passages", F.concat("passages", "new")))
+        rows = cut(rows.withColumn("new", new).withColumn("passages", F.concat("passages", "new")))
         going = (F.col("route") == "multi") & (F.size("new") > 0) & F.lit(step + 1 < max_steps)
         state = state.unionByName(rows.filter(~going).select(*state.columns))
         active = rows.filter(going).select(*state.columns)
@@ -109,19 +106,19 @@ def corrective(queries: DataFrame, web_search: Retriever | None = None, provider
 
 def self_checked(queries: DataFrame, provider: str = "echo", critic: str = "echo", max_redrafts: int = 1) -> DataFrame:
     """query_id, answer, supported, redrafts of (query_id, query, passages): drafts until a critic finds support."""
-    rows = _cut(_answered(queries, provider).withColumn("redrafts", F.lit(0)))
+    rows = cut(_answered(queries, provider).withColumn("redrafts", F.lit(0)))
     prompt = F.concat(number_passages(F.col("passages")), F.lit("\n\nAnswer: "), F.col("answer"))
     done = None
     for step in range(max_redrafts + 1):
         said = F.lower(B.generate(F.lit("Is the answer supported by the passages? supported or unsupported"), prompt, critic))
         supported = (F.size("passages") > 0) & F.contains(said, F.lit("supported")) & ~F.contains(said, F.lit("unsupported"))
-        judged = _cut(rows.withColumn("supported", supported))
+        judged = cut(rows.withColumn("supported", supported))
         last = step == max_redrafts
         out = judged if last else judged.filter("supported")
         done = out if done is None else done.unionByName(out)
         if last:
             break
-        rows = _cut(_answered(judged.filter("not supported").drop("supported", "answer"), provider).withColumn("redrafts", F.lit(step + 1)).select(*rows.columns))
+        rows = cut(_answered(judged.filter("not supported").drop("supported", "answer"), provider).withColumn("redrafts", F.lit(step + 1)).select(*rows.columns))
         if rows.isEmpty():
             break
     return done.select("query_id", "answer", "supported", "redrafts")
@@ -133,17 +130,17 @@ def forward_looking(queries: DataFrame, retrieve: Retriever, provider: str = "ec
     done = None
     for _ in range(max_sentences):
         prompt = F.concat(number_passages(F.col("passages")), F.lit("\n\nQuestion: "), F.col("query"), F.lit("\nSo far: "), F.col("answer"))
-        drafted = _cut(_ask(rows, "Write the next sentence, or nothing at the end.", provider, prompt).withColumn("reply", F.trim("reply")))
+        drafted = cut(_ask(rows, "Write the next sentence, or nothing at the end.", provider, prompt).withColumn("reply", F.trim("reply")))
         if doubtful is not None:
             low = drafted.filter((F.col("reply") != "") & doubtful(F.col("reply")))
             found = _passages(retrieve(low.select("query_id", F.col("reply").alias("query"))))
             again = low.join(found, "query_id", "left").withColumn("passages", F.coalesce("found", _no_passages())).withColumn("retrievals", F.col("retrievals") + 1).drop("found", "reply")
             sure = drafted.join(low.select("query_id"), "query_id", "left_anti")
-            drafted = _cut(sure.unionByName(_ask(again, "Write the next sentence, or nothing at the end.", provider, prompt).withColumn("reply", F.trim("reply")).select(*sure.columns)))
+            drafted = cut(sure.unionByName(_ask(again, "Write the next sentence, or nothing at the end.", provider, prompt).withColumn("reply", F.trim("reply")).select(*sure.columns)))
         ended = (F.col("reply") == "") | F.contains("answer", F.col("reply"))
         out = drafted.filter(ended).drop("reply")
         done = out if done is None else done.unionByName(out)
-        rows = _cut(drafted.filter(~ended).withColumn("answer", F.trim(F.concat_ws(" ", "answer", "reply"))).drop("reply"))
+        rows = cut(drafted.filter(~ended).withColumn("answer", F.trim(F.concat_ws(" ", "answer", "reply"))).drop("reply"))
         if rows.isEmpty():
             break
     return done.unionByName(rows).select("query_id", "answer", "retrievals")
@@ -158,7 +155,7 @@ def agentic(queries: DataFrame, retrieve: Retriever, provider: str = "echo", pla
     """
     empty_hops = F.array().cast("array<struct<subquery:string,passages:array<string>>>")
     start = queries.select("query_id", "query", _no_passages().alias("passages"), empty_hops.alias("hops"), gate(F.col("query")).alias("looped"))
-    start = _cut(start)
+    start = cut(start)
     single = start.filter("not looped")
     found = _passages(retrieve(single.select("query_id", "query")).filter(F.col("rank") <= top_k))
     single = single.drop("passages").join(found.withColumnRenamed("found", "passages"), "query_id", "left").withColumn("passages", F.coalesce("passages", _no_passages())).withColumn("terminated", F.lit("single_shot"))
@@ -169,12 +166,12 @@ def agentic(queries: DataFrame, retrieve: Retriever, provider: str = "echo", pla
             break
         evidence = number_passages(F.col("passages"), "\n", "(none yet)")
         planned = active.withColumn("subquery", F.trim(B.generate(F.lit("Give the next sub-question."), F.concat(F.lit("Evidence:\n"), evidence, F.lit("\n\n"), F.col("query")), planner)))
-        planned = _cut(planned.withColumn("subquery", F.when(F.col("subquery") == "", F.col("query")).otherwise(F.col("subquery"))))
+        planned = cut(planned.withColumn("subquery", F.when(F.col("subquery") == "", F.col("query")).otherwise(F.col("subquery"))))
         found = _passages(retrieve(planned.select("query_id", F.col("subquery").alias("query"))).filter(F.col("rank") <= top_k))
         rows = planned.join(found, "query_id", "left").withColumn("found", F.coalesce("found", _no_passages()))
         rows = rows.withColumn("passages", F.concat("passages", "found")).withColumn("hops", F.concat("hops", F.array(F.struct("subquery", F.col("found").alias("passages")))))
         verdict = B.generate(F.lit("Reply ENOUGH if the evidence suffices, else MORE."), F.concat(number_passages(F.col("passages"), "\n", "(none yet)"), F.lit("\n\n"), F.col("query")), critic)
-        rows = _cut(rows.withColumn("enough", F.startswith(F.upper(F.trim(verdict)), F.lit("ENOUGH"))).drop("subquery", "found"))
+        rows = cut(rows.withColumn("enough", F.startswith(F.upper(F.trim(verdict)), F.lit("ENOUGH"))).drop("subquery", "found"))
         done = done.unionByName(rows.filter("enough").withColumn("terminated", F.lit("enough")).select(*columns))
         active = rows.filter("not enough").drop("enough")
     done = done.unionByName(active.withColumn("terminated", F.lit("turn_budget")).select(*columns))
@@ -186,7 +183,7 @@ ircot = agentic
 
 def self_ask(queries: DataFrame, retrieve: Retriever, provider: str = "echo", planner: str = "echo", max_hops: int = 3, top_k: int = 3) -> DataFrame:
     """query_id, answer, evidence, hops: sub-questions are listed once and each is looked up."""
-    said = _cut(_ask(queries, "List the follow-up questions, one per line.", planner))
+    said = cut(_ask(queries, "List the follow-up questions, one per line.", planner))
     parts = said.select("query_id", F.posexplode(F.slice(dashed_lines(F.col("reply"), F.col("query")), 1, max_hops)).alias("hop", "subquery"))
     keyed = parts.withColumn("part_id", F.concat_ws("#", F.col("query_id").cast("string"), F.col("hop").cast("string")))
     found = _passages(retrieve(keyed.select(F.col("part_id").alias("query_id"), F.col("subquery").alias("query"))).filter(F.col("rank") <= top_k))

@@ -236,7 +236,20 @@ def context_build(spark, sf_dir):
     return C.build_context(_passages(spark, sf_dir), 1500).select("query_id", "n_passages", F.md5("context").alias("digest"))
 
 
-@query()
+def mmr_sql(k: int, depth: int, weight: float = 0.7) -> str:
+    """Greedy picks, a pair of common table expressions for each."""
+    parts = [
+        VECTORS_SQL, near_sql(depth),
+        "s AS (SELECT query_id, doc_id, rank, a.e, list_cosine_similarity(a.e, q.e) AS rel FROM near JOIN a ON a.vec_id = doc_id JOIN q ON q.vec_id = query_id)",
+        "p0 AS (SELECT query_id, doc_id, e, 0 AS pick FROM s WHERE false)",
+    ]
+    for i in range(1, k + 1):
+        parts.append(f"g{i} AS (SELECT s.query_id, s.doc_id, s.e, s.rank, round({weight} * any_value(rel) - {1 - weight!r}::DOUBLE * coalesce(max(list_cosine_similarity(s.e, p.e)), 0), 12) AS gain FROM s LEFT JOIN p{i - 1} p USING (query_id) WHERE (s.query_id, s.doc_id) NOT IN (SELECT (query_id, doc_id) FROM p{i - 1}) GROUP BY ALL)")
+        parts.append(f"p{i} AS (SELECT * FROM p{i - 1} UNION ALL SELECT query_id, doc_id, e, {i} FROM g{i} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY gain DESC, rank) = 1)")
+    return f"WITH {', '.join(parts)} SELECT query_id, doc_id, pick FROM p{k}"
+
+
+@query(mmr_sql(5, 30))
 def mmr_select(spark, sf_dir):
     v, q = vectors_of(spark, sf_dir), query_vectors_of(spark, sf_dir)
     short = D.exact_search(v, q, 30).join(v.select("doc_id", "vec"), "doc_id").join(q.select("query_id", "qvec"), "query_id")
