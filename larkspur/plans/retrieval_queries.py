@@ -365,7 +365,15 @@ def graph_subgraph_edges(spark, sf_dir):
     return G.inner_edges(edges, G.neighbourhood(edges, _seeds(spark), 2))
 
 
-@query()
+@query("""
+WITH RECURSIVE a AS (SELECT vec_id, label, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings)),
+c AS (
+  SELECT label AS tree_id, list(vec_id ORDER BY vec_id) AS free, -1 AS grp, []::BIGINT[] AS members FROM a GROUP BY label
+  UNION ALL
+  SELECT tree_id, list_filter(free, lambda x: NOT list_contains(m, x)), grp + 1, m FROM (
+    SELECT c.tree_id, c.free, c.grp, list_concat([c.free[1]], coalesce((SELECT list(b.vec_id ORDER BY round(list_dot_product(b.u, z.u), 12) DESC, b.vec_id)[1:4] FROM a b, a z WHERE z.vec_id = c.free[1] AND list_contains(c.free[2:], b.vec_id)), [])) AS m
+    FROM c WHERE len(c.free) > 0))
+SELECT tree_id, unnest(members) AS node_id, grp AS "group" FROM c""")
 def greedy_cluster(spark, sf_dir):
     v = vectors_of(spark, sf_dir).select(F.col("label").alias("tree_id"), F.col("doc_id").alias("node_id"), "vec")
     return T.cluster(v, 5)
@@ -480,7 +488,8 @@ def extractive_answer(spark, sf_dir):
 
 @query()
 def pipeline_answer(spark, sf_dir):
-    return pipeline.answer(docs_of(spark, sf_dir), asked_of(spark, sf_dir))
+    out = pipeline.answer(docs_of(spark, sf_dir), asked_of(spark, sf_dir))
+    return out.select("query_id", "complexity", "text", F.array_join(F.transform("citations", lambda c: c.cast("string")), ",").alias("citations"), "abstained")
 
 
 @query()

@@ -16,9 +16,9 @@ from larkspur.operators.entity import accepted
 from larkspur.operators.multivector import index_pages, pooled
 from larkspur.plans import agents as A
 from larkspur.plans.catalogue import SQL, query, values
-from larkspur.plans.retrieval_queries import DOCS_SQL, HEADS_SQL, RANKED_SQL, _passages, _resolved, _retriever, _words_sql, asked_of, bm25_sql, fuse_sql
+from larkspur.plans.retrieval_queries import DOCS_SQL, FOLD, HEADS_SQL, RANKED_SQL, _passages, _resolved, _retriever, _words_sql, asked_of, bm25_sql, fuse_sql
 from larkspur.plans.suite import body_and_title, chunk_sweep
-from larkspur.plans.text_queries import ADAPTIVE_SQL, INLINE, Q, _any_sql
+from larkspur.plans.text_queries import ADAPTIVE_SQL, CLASSED_SQL, INLINE, RISK_SQL, Q, _any_sql, _redacted_sql
 from larkspur.registry import backends
 from larkspur.schema import CHUNK, with_context
 from larkspur.sources.cache import SemanticCache
@@ -397,3 +397,14 @@ SQL["rerank_overlap"] = f"""WITH {bm25_sql('r', DOCS_SQL, 20)},
 s AS (SELECT query_id, doc_id, {_words_sql('b.text')} AS q, list_distinct(regexp_extract_all(lower(d.text), '[\\p{{L}}\\p{{N}}_]+')) AS w FROM r JOIN benchmark b ON b.item_id = r.query_id JOIN documents d USING (doc_id)),
 x AS (SELECT query_id, doc_id, round(CASE WHEN len(q) > 0 THEN len(list_intersect(q, w))::DOUBLE / len(q) ELSE 0 END, 9)::DOUBLE AS score FROM s)
 SELECT * FROM (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM x) WHERE rank <= 5"""
+
+SQL["pipeline_answer"] = f"""WITH {bm25_sql('r', DOCS_SQL, 5)}, asked AS (SELECT item_id AS id, text AS q FROM benchmark), {CLASSED_SQL},
+f AS (SELECT query_id, doc_id, rank, text, {RISK_SQL} < 0.5 AS good FROM r JOIN documents USING (doc_id)),
+k AS (SELECT *, bool_or(good) OVER (PARTITION BY query_id) AS any_good FROM f),
+h AS (SELECT query_id, doc_id, text, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, count(*) OVER (PARTITION BY query_id) AS n FROM k WHERE good OR NOT any_good),
+source AS (SELECT DISTINCT doc_id, text FROM h), {_redacted_sql('source')},
+o AS (SELECT query_id, ({FOLD})::INTEGER AS position, p6.t AS text FROM h JOIN p6 USING (doc_id)),
+s AS (SELECT o.*, len(list_intersect({_words_sql('o.text')}, {_words_sql('b.text')})) AS shared FROM o JOIN benchmark b ON b.item_id = o.query_id),
+best AS (SELECT * FROM s WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY shared DESC, position) = 1)
+SELECT id AS query_id, route AS complexity, CASE WHEN text IS NULL THEN 'I don''t have enough information to answer that.' ELSE text || ' [' || (position + 1) || ']' END AS text, coalesce((position + 1)::VARCHAR, '') AS citations, text IS NULL AS abstained
+FROM classed LEFT JOIN best ON query_id = id"""

@@ -208,17 +208,20 @@ def _count_sql(column: str, part: str) -> str:
     return f"((length({column}) - length(replace({column}, {literal(part)}, ''))) / {len(part)})"
 
 
-@query(rf"""
-WITH {ASKED_SQL},
-s AS (SELECT id, trim(q, ' ' || chr(10) || chr(9)) AS q FROM asked),
-l AS (SELECT id, q, lower(q) AS low FROM s),
-w AS (SELECT *, regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+') AS words,
-  list_distinct(list_transform(list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z0-9]+')), lambda x: lower(x))) AS names FROM l)
-SELECT id, CASE WHEN q = '' THEN 'no_retrieval'
+#: Common table expressions that end in ``classed`` (id, route) over ``asked`` (id, q).
+CLASSED_SQL = rf"""
+cs AS (SELECT id, trim(q, ' ' || chr(10) || chr(9)) AS q FROM asked),
+cl AS (SELECT id, q, lower(q) AS low FROM cs),
+cw AS (SELECT *, regexp_extract_all(low, '[\p{{L}}\p{{N}}_]+') AS words,
+  list_distinct(list_transform(list_filter(regexp_extract_all(q, '[\p{{L}}\p{{N}}_]+'), lambda x: regexp_full_match(x, '[A-Z][a-zA-Z0-9]+')), lambda x: lower(x))) AS names FROM cl),
+classed AS (SELECT id, CASE WHEN q = '' THEN 'no_retrieval'
   WHEN len(words) <= 6 AND NOT (ends_with(low, '?') OR list_has_any(words, {literal(Q.QUESTION_WORDS)})) AND {_any_sql("low", Q.NO_RETRIEVAL_CUES)} THEN 'no_retrieval'
   WHEN {_any_sql("low", Q.MULTI_HOP_MARKERS)} THEN 'multi' WHEN len(names) >= 2 THEN 'multi'
   WHEN {_count_sql("low", " and ")} + {_count_sql("low", ";")} + {_count_sql("low", " as well as ")} >= 1 AND {" + ".join(_count_sql("low", x) for x in Q.COUNTED_QUESTION_WORDS)} >= 2 THEN 'multi'
-  ELSE 'single' END AS route FROM w""")
+  ELSE 'single' END AS route FROM cw)"""
+
+
+@query(f"WITH {ASKED_SQL}, {CLASSED_SQL} SELECT id, route FROM classed")
 def complexity_class(spark, sf_dir):
     return _asked(spark, sf_dir).select("id", Q.complexity_class(F.col("q")).alias("route"))
 
