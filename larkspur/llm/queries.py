@@ -12,7 +12,7 @@ from larkspur.llm.hamming import TOP_K_SQL, hamming_top_k, sign_codes
 from larkspur.llm.htmlmain import extract_main_text
 from larkspur.llm.licenses import license_report, licenses_sql
 from larkspur.llm.mixing import MIXTURE_SQL, mixture
-from larkspur.llm.neardup import near_duplicates
+from larkspur.llm.neardup import near_duplicates, near_duplicates_sql
 from larkspur.llm.quality import judge
 from larkspur.llm.secretscan import secret_report, secrets_sql
 from larkspur.llm.tokenstore import read_tokens, write_tokens
@@ -101,5 +101,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": licenses_sql(),
         "op4_source_mixing": MIXTURE_SQL,
         "op5_secret_scan": secrets_sql(),
+        "op6_minhash_neardup": near_duplicates_sql(4, 80),
         "op10_url_rules": VERDICTS_SQL,
     }
