@@ -48,7 +48,7 @@ MANTISSA_BITS = 10
 BAND_ROWS = 4
 BANDS = BUCKETS // BAND_ROWS
 #: Members of a bucket that are compared in one block at most.
-BLOCK = 256
+BLOCK = 512
 #: Classes in a bucket up to which pairs are returned one by one (at most 15.5 a row).
 SMALL = 32
 #: Standard deviations of the estimate that a pair may fall short before its sets are left unread.
