@@ -10,7 +10,8 @@ search as soon as its k-th verified distance is within that.
 A round is one join: the values to look up, of the queries that are still
 searching, meet the table by (segment, value).  A code counts in the round of the
 least of its four segment distances and in the first segment that has it, so none
-is verified twice.  Each query's best are cut per task before they are shuffled.
+is verified twice, and only codes no farther than the k-th best so far come out of
+the join.  Each query's best are cut per task before they are shuffled.
 
 Codes, not rows, are indexed: rows of equal code share one entry that carries
 their k smallest ids, which is all that a top k with ties by id can take from
@@ -67,7 +68,8 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
     places = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("code"), s).alias("value")) for s in range(SEGMENTS)]))
     index = cut(entries.select("code", "ids", places.alias("place")).select("place.*", "code", "ids"))
     asked = cut(queries.filter("id is not null and code is not null").select(F.col("id").alias("query_id"), "code").distinct())
-    active = cut(asked.select(F.col("code").alias("query")).distinct())
+    # far: the distance that a code must not exceed to be among the query's best.
+    active = cut(asked.select(F.col("code").alias("query")).distinct().withColumn("far", F.lit(64)))
     best: DataFrame | None = None
     done: list[DataFrame] = []
     in_order = Window.partitionBy("query").orderBy("distance", "id")
@@ -75,22 +77,24 @@ def hamming_top_k(codes: DataFrame, queries: DataFrame, k: int = 10) -> DataFram
         if active.isEmpty():
             break
         looked = F.explode(F.array(*[F.struct(F.lit(s).alias("segment"), _segment(F.col("query"), s).alias("own")) for s in range(SEGMENTS)]))
-        probes = active.select("query", looked.alias("l")).select("query", "l.*", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
-        probes = probes.select("query", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
+        probes = active.select("query", "far", looked.alias("l")).select("query", "far", "l.*", F.explode(F.array(*map(F.lit, masks(radius)))).alias("mask"))
+        probes = probes.select("query", "far", "segment", F.col("own").bitwiseXOR(F.col("mask")).alias("value"))
         hits = probes.join(index, ["segment", "value"])
+        distance = F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int")
         apart = [F.bit_count(_segment(F.col("query").bitwiseXOR(F.col("code")), s)) for s in range(SEGMENTS)]
-        first = F.lit(True)
+        first = distance <= F.col("far")
         for s, d in enumerate(apart):
             first = first & ((d > radius) | ((d == radius) & (F.col("segment") <= s)))
-        found = hits.filter(first).select("query", F.bit_count(F.col("query").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("id"))
+        found = hits.filter(first).select("query", distance.alias("distance"), F.explode("ids").alias("id"))
         every = found if best is None else found.unionByName(best)
         best = cut(every.withColumn("place", F.row_number().over(in_order)).filter(F.col("place") <= few).drop("place"))
         covered = SEGMENTS * (radius + 1) - 1
         sizes = best.groupBy("query").agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("far"))
-        ended = sizes.filter(((F.col("n") == few) & (F.col("far") <= covered)) | F.lit(covered >= 64)).select("query")
-        done.append(best.join(ended, "query", "left_semi"))
-        active = cut(active.join(ended, "query", "left_anti"))
-        best = best.join(active, "query", "left_semi")
+        full = F.coalesce(F.col("n") == few, F.lit(False))
+        state = cut(active.select("query").join(sizes, "query", "left").select("query", F.when(full, F.col("far")).otherwise(64).alias("far"), ((full & (F.col("far") <= covered)) | F.lit(covered >= 64)).alias("ended")))
+        done.append(best.join(state.filter("ended").select("query"), "query", "left_semi"))
+        active = state.filter("not ended").select("query", "far")
+        best = best.join(active.select("query"), "query", "left_semi")
     if not done:
         return asked.select("query_id", F.col("query_id").alias("id"), F.lit(0).alias("distance"), F.lit(1).alias("rank")).filter("false")
     answers = reduce(DataFrame.unionByName, done)
