@@ -337,3 +337,34 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_
 
         out = out.mapInArrow(run, out.schema)
     return out
+
+
+def contamination_report(docs: DataFrame, benchmark: DataFrame, id_column: str = "item_id") -> DataFrame:
+    """``contaminated`` with its numbers rounded to 6 places."""
+    found = contaminated(docs, benchmark, id_column)
+    return found.select("doc_id", "item_id", *[F.round(c, 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
+
+
+def _words_sql(text: str) -> str:
+    return rf"regexp_extract_all(replace(lower({text}), 'ς', 'σ'), '[\p{{L}}\p{{M}}\p{{N}}_]+')"
+
+
+#: ``contamination_report`` of documents and benchmark, by all windows and all items; of scripts that part words by spaces.
+CONTAMINATION_SQL = rf"""
+WITH items AS (SELECT i, item_id, w, len(w) AS n FROM (SELECT row_number() OVER () AS i, item_id, {_words_sql('text')} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(w) > 0),
+stats AS (SELECT count(*) AS n_items, avg(n) AS mean FROM items),
+tf AS (SELECT i, n, t, count(*) AS tf FROM (SELECT i, n, unnest(w) AS t FROM items) GROUP BY ALL),
+df AS (SELECT t, count(*) AS df FROM tf GROUP BY t),
+impact AS (SELECT i, n, t, ln((n_items - df + 0.5) / (df + 0.5) + 1) * tf * ({K1} + 1) / (tf + {K1} * (1 - {B} + {B} * n / mean)) AS x FROM tf JOIN df USING (t) CROSS JOIN stats),
+norms AS (SELECT i, sum(x) * least(1.0, 1.5 * {STRIDE} / any_value(n)) AS norm FROM impact GROUP BY i),
+docs AS (SELECT row_number() OVER () AS d, doc_id, {_words_sql('text')} AS w FROM documents WHERE text IS NOT NULL),
+places AS (SELECT d, greatest(1, (len(w) - {WINDOW} + {STRIDE - 1}) // {STRIDE} + 1) AS windows, unnest(w) AS t, generate_subscripts(w, 1) - 1 AS place FROM docs),
+held AS (SELECT DISTINCT d, t, unnest(range(greatest(0, (place - {WINDOW - 1} + {STRIDE - 1}) // {STRIDE}), least(place // {STRIDE}, windows - 1) + 1)) AS k FROM places WHERE t IN (SELECT t FROM df)),
+scores AS (SELECT d, k, i, sum(x) / any_value(norm) AS score FROM held JOIN impact USING (t) JOIN norms USING (i) GROUP BY d, k, i),
+best AS (SELECT d, i, max(score) AS score FROM scores GROUP BY ALL HAVING max(score) >= {THRESHOLD}),
+pairs AS (SELECT doc_id, item_id, score, i.w, n, least({RUN}, n) AS r, ' ' || array_to_string(docs.w, ' ') || ' ' AS txt FROM best JOIN items i USING (i) JOIN docs USING (d)),
+runs AS (SELECT *, list_filter(range(n - r + 1), lambda j: contains(txt, ' ' || array_to_string(w[j + 1:j + r], ' ') || ' ')) AS js FROM pairs),
+covered AS (SELECT *, (n + 1) // 2 AS half, list_transform(range(n), lambda p: (len(list_filter(js, lambda j: j <= p AND p < j + r)) > 0)::INT) AS c FROM runs),
+shares AS (SELECT doc_id, item_id, score, list_sum(c[1:half])::DOUBLE / half AS question, CASE WHEN n > 1 THEN list_sum(c[half + 1:n])::DOUBLE / (n - half) ELSE c[1]::DOUBLE END AS answer FROM covered)
+SELECT doc_id, item_id, round(score, 6)::DOUBLE AS score, round(question, 6)::DOUBLE AS question_overlap, round(answer, 6)::DOUBLE AS answer_overlap FROM shares WHERE question >= {OVERLAP} AND answer >= {OVERLAP}
+"""

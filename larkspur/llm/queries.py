@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm.decontam import contaminated
+from larkspur.llm.decontam import CONTAMINATION_SQL, contamination_report
 from larkspur.llm.frames import scratch_path, table
 from larkspur.llm.hamming import TOP_K_SQL, hamming_top_k, sign_codes
 from larkspur.llm.htmlmain import extract_main_text
@@ -65,7 +65,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document that holds a benchmark passage, with the passage."""
-    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,5 +102,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_source_mixing": MIXTURE_SQL,
         "op5_secret_scan": secrets_sql(),
         "op6_minhash_neardup": near_duplicates_sql(4, 80),
+        "op8_benchmark_decontamination": CONTAMINATION_SQL,
         "op10_url_rules": VERDICTS_SQL,
     }
