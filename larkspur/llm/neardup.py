@@ -39,7 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from larkspur.llm.bytewise import SPACED_WORDS, Words, shingle_sets, slices, text_buffers
+from larkspur.llm.bytewise import SPACED_WORDS, Words, give_back, shingle_sets, slices, text_buffers
 from larkspur.llm.frames import cut, shuffle_width, small_batches
 
 BUCKET_BITS = 7
@@ -150,6 +150,7 @@ def signatures(docs: DataFrame, shingle: int, with_sets: bool = False) -> DataFr
                 if with_sets:
                     out["shingles"] = pa.array([s.tobytes() for s in sets], pa.binary())
                 yield pa.RecordBatch.from_pydict(out)
+        give_back()
 
     schema = "doc_id long, n_shingles long, set_key binary, registers binary" + ", shingles binary" * with_sets
     return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
@@ -264,6 +265,7 @@ def _compare_blocks(members: DataFrame, percent: int, verify: bool, dense: bool
                 yield out(found)
         if found := found_in():
             yield out(found)
+        give_back()
 
     return members.mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
