@@ -6,8 +6,9 @@ token stands for its shape (capitals, digits, signs and so on, by length), whose
 n-grams come from the rare tokens of the trusted text.  A token's number has 18
 bits, so an n-gram is a whole number, its context and suffix are bits of it.
 
-Fitting takes a sample of at most about ``LABELLED`` labelled documents, by a hash
-of their ids: four fifths are counted, one fifth is held out for the thresholds.
+Fitting takes all trusted documents, in folds by a hash of their ids: four fifths are
+counted, one fifth is held out for the thresholds.  Their ids go to every task in
+batches of bounded size, so no text is shuffled to find them.
 Counts are summed up per task and sharded by n-gram; lower orders count distinct
 left neighbours, discounts come from counts of counts, and each order meets the
 next lower one by suffix and its contexts by prefix in shuffled joins.
@@ -33,16 +34,17 @@ their own.  Documents above the threshold are bad.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from larkspur.llm.bytewise import give_back, mix, slices, span_hashes, text_buffers
-from larkspur.llm.frames import cut, join_small, shuffle_width, small_batches
+from larkspur.llm.frames import cut, delete_path, join_small, scratch_path, shuffle_width, small_batches
 
 ORDER = 3
 BITS = 18
@@ -52,9 +54,9 @@ START, END, SHAPE = 0, 1, 2
 SHAPES, LENGTHS = 7, (4, 8, 16)
 WORD = SHAPE + SHAPES * (len(LENGTHS) + 1)
 VOCABULARY = 200_000
-#: Labelled documents that are used; counts from all of them, or this many on average.
-LABELLED = 5_000
 HELD_OUT = 5
+#: Ids of trusted documents that go to every task at once; more take another pass over the documents.
+IDS_AT_ONCE = 1 << 20
 #: N-grams of the model that every task has; in one shard; bits per n-gram of the bitmap and its bits at most.
 HEAD = 400_000
 SHARD_GRAMS = 1 << 20
@@ -63,6 +65,8 @@ _BLOCK_BITS = 1 << 19
 #: Text whose n-grams are looked up together, and n-grams a task counts before it sums them up.
 PIECE_BYTES = 2 << 20
 COUNT_AT_ONCE = 1 << 19
+#: Different numbers a task holds the sums of before it hands them on.
+SUMS_AT_ONCE = 1 << 21
 #: Log perplexities are put on a grid of this step for quantiles.
 GRID = 0.0005
 #: Tokens beyond which a text counts as long.
@@ -158,6 +162,12 @@ def _summed(texts: DataFrame, of, name: str) -> DataFrame:
                 total[np.searchsorted(every, new)] += n
                 seen, counts, held, size = every, total, [], 0
 
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal seen, counts
+            for i in range(0, len(seen), 100_000):
+                yield pa.RecordBatch.from_pydict({name: pa.array(seen[i : i + 100_000], pa.int64()), "n": pa.array(counts[i : i + 100_000], pa.int64())})
+            seen, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
         for batch in batches:
             raw, offsets = text_buffers(batch.column(0))
             for a, b in slices(offsets):
@@ -165,9 +175,10 @@ def _summed(texts: DataFrame, of, name: str) -> DataFrame:
                 size += len(held[-1])
                 if size >= COUNT_AT_ONCE:
                     add()
+                    if len(seen) >= SUMS_AT_ONCE:
+                        yield from out()
         add()
-        for i in range(0, len(seen), 100_000):
-            yield pa.RecordBatch.from_pydict({name: pa.array(seen[i : i + 100_000], pa.int64()), "n": pa.array(counts[i : i + 100_000], pa.int64())})
+        yield from out()
         give_back()
 
     return small_batches(texts).select(F.col("text").cast("string")).mapInArrow(run, f"{name} long, n long").groupBy(name).agg(F.sum("n").alias("n"))
@@ -220,16 +231,35 @@ def _suffix(gram: str, k: int) -> Column:
     return F.col(gram).bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
 
 
-def model_tables(counts: DataFrame, numbers: int) -> list[DataFrame]:
+class Kept:
+    """Tables of n-grams as compressed files in the shared folder, which take a fraction of a checkpoint's bytes."""
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        spark = df.sparkSession
+        self.paths.append(scratch_path(spark, "grams"))
+        df.write.option("compression", "zstd").parquet(self.paths[-1])
+        return spark.read.schema(df.schema).parquet(self.paths[-1])
+
+    def drop(self, spark: SparkSession) -> None:
+        for path in self.paths:
+            delete_path(spark, path)
+        self.paths = []
+
+
+def model_tables(counts: DataFrame, numbers: int, keep: Callable[[DataFrame], DataFrame] = cut) -> list[DataFrame]:
     """Per order k: gram, n, p and backoff of all n-grams that are seen or are a context.
 
     ``p`` is null for contexts that are no n-gram's end, ``backoff`` for n-grams
     that are no context; ``over`` is the log of p over what backing off gives.
-    ``numbers``: how many different numbers there are.
+    ``numbers``: how many different numbers there are; ``counts`` has been kept by
+    ``keep``, as are the tables made here.
     """
-    orders = {ORDER: cut(counts)}
+    orders = {ORDER: counts}
     for k in range(ORDER - 1, 0, -1):
-        orders[k] = cut(orders[k + 1].groupBy(_suffix("gram", k + 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
+        orders[k] = keep(orders[k + 1].groupBy(_suffix("gram", k + 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
 
     def contexts(k: int) -> tuple[DataFrame, Column]:
         """context, mass and backoff of order k, and what the discounts take from a count."""
@@ -255,9 +285,9 @@ def model_tables(counts: DataFrame, numbers: int) -> list[DataFrame]:
         rows = rows.select("gram", "n", p.alias("p"), F.log(p / (F.col("backoff") * below)).alias("over"))
         if k < ORDER:
             next_contexts, cost = contexts(k + 1)
-            own_contexts = next_contexts if k == 1 else cut(next_contexts)
+            own_contexts = next_contexts if k == 1 else keep(next_contexts)
             rows = rows.join(own_contexts.select(F.col("context").alias("gram"), "backoff").hint("merge"), "gram", "full")
-            rows = cut(rows)
+            rows = keep(rows)
         else:
             rows = rows.withColumn("backoff", F.lit(None).cast("double"))
         tables.append(rows)
@@ -380,10 +410,12 @@ def _shard_rows(values: DataFrame, shards: int) -> DataFrame:
 def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
     """The model of ``texts`` (text) and its shards; None without tokens."""
     vocabulary = vocabulary_of(texts)
-    counts = cut(gram_counts(texts, vocabulary))
+    spark, kept, kept_longer = texts.sparkSession, Kept(), Kept()
+    counts = kept(gram_counts(texts, vocabulary))
     if counts.isEmpty():
+        kept.drop(spark)
         return None
-    tables = model_tables(counts, WORD + len(vocabulary))
+    tables = model_tables(counts, WORD + len(vocabulary), kept)
     one = tables[0].select("gram", F.coalesce(F.log("p"), F.lit(None)).alias("p"), F.coalesce(F.log("backoff"), F.lit(0.0)).alias("backoff")).toArrow()  # IDS rows at most
     gram, p, backoff = (one.column(c).to_numpy() for c in ("gram", "p", "backoff"))
     d1, d2, d3 = _discounts(tables[0].filter("p is not null"))
@@ -398,7 +430,8 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
         value = F.coalesce("over", F.lit(0.0)) + F.coalesce(F.log("backoff"), F.lit(0.0))
         rows = table.select(F.col("gram").bitwiseOR(F.lit(k << (BITS * ORDER + 2))).alias("key"), value.alias("value"), F.coalesce("n", F.lit(1)).alias("n"))
         longer = rows if longer is None else longer.union(rows)
-    longer = cut(longer)
+    longer = kept_longer(longer)
+    kept.drop(spark)
     size = longer.count()
     least = _at_least(longer, HEAD)
     head = longer.filter(F.col("n") >= least).select("key", "value").toArrow()  # HEAD rows at most
@@ -409,7 +442,9 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
     bits = 1 << int(np.clip(np.ceil(np.log2(max(1, left) * BITMAP_RATIO)), 10, np.log2(BITMAP_MOST)))
     shards = max(1, -(-left // SHARD_GRAMS))
     model = Model(vocabulary, numbers, keys[order], values[order], _blocks(rest, bits), shards)
-    return model, cut(_shard_rows(rest, shards))
+    shard_rows = cut(_shard_rows(rest, shards))
+    kept_longer.drop(spark)
+    return model, shard_rows
 
 
 def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> DataFrame:
@@ -520,12 +555,21 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.filter("doc_id is not null").groupBy("doc_id").agg(F.max(bad.cast("int")).alias("bad")).filter("bad = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def sampled_ids(labels: DataFrame) -> DataFrame:
-    """doc_id, held: trusted documents, all or ``LABELLED`` on average by a hash of the id; held are for the thresholds."""
-    ids = cut(trusted_ids(labels))
-    share = min(1.0, LABELLED / max(1, ids.count()))
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    return cut(ids.filter(place < share).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(HELD_OUT)) == 0).alias("held")))
+def trusted_folds(labels: DataFrame) -> DataFrame:
+    """doc_id, held: all trusted documents; those held, a fold by a hash of the id, are for the thresholds."""
+    return cut(trusted_ids(labels).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(HELD_OUT)) == 0).alias("held")))
+
+
+#: The name by which this was known when it took a sample.
+sampled_ids = trusted_folds
+
+
+def rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with one of ``ids`` (doc_id, each once), by a pass for each batch of ids; ``docs`` aren't shuffled."""
+    n = max(1, -(-ids.count() // IDS_AT_ONCE))
+    part = F.pmod(F.xxhash64("doc_id", F.lit("batch")), F.lit(n))
+    legs = [docs.join(F.broadcast(ids.filter(part == i) if n > 1 else ids), "doc_id", "left_semi") for i in range(n)]
+    return reduce(DataFrame.union, legs)
 
 
 def deviation(log_perplexity: Column, n_tokens: Column, centre: Column) -> Column:
@@ -553,16 +597,16 @@ def language_key(lang: Column) -> Column:
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, lang, key1, key2, n_tokens, log_perplexity, threshold, deviation and kept of ``docs`` (doc_id, lang, text, key1, key2)."""
-    chosen = sampled_ids(labels)
+    chosen = trusted_folds(labels)
     none = F.lit(None).cast("double")
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
     untold = docs.select("doc_id", "lang", "key1", "key2", size.alias("n_tokens"), none.alias("log_perplexity"), none.alias("threshold"), none.alias("deviation"), (size > 0).alias("kept"))
-    trusted = docs.select("doc_id", "text").join(F.broadcast(chosen.filter("not held").select("doc_id")), "doc_id", "left_semi")  # LABELLED ids
+    trusted = rows_of(docs.select("doc_id", "text"), chosen.filter("not held").select("doc_id"))
     fitted = train(trusted.select("text"))
     if fitted is None:
         return untold
     scored = cut(log_perplexities(docs, *fitted))
-    held = scored.filter("log_perplexity is not null").join(F.broadcast(chosen.filter("held").select("doc_id")), "doc_id", "left_semi")
+    held = join_small(scored.filter("log_perplexity is not null"), chosen.filter("held").select("doc_id"), "doc_id", "left_semi")
     held = cut(held.select(language_key(F.col("lang")).alias("key"), "n_tokens", "log_perplexity"))
     if held.isEmpty():
         return untold
