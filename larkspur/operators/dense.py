@@ -2,32 +2,56 @@
 
 Queries meet vectors in blocks: the batch of queries is sent to every task if its
 counted size allows, and is otherwise cut into batches of that size whose
-rankings are put together.  Each query's best k are cut per task before the shuffle.
+rankings are put together.  A task finds each query's best k by matrix products
+(``larkspur.operators.blocks``), and only those are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StructType
 
 from larkspur.functions.backends import embed
 from larkspur.functions.security import may_read
-from larkspur.functions.vectors import cosine, doubles, int8, max_sim, norm
+from larkspur.functions.vectors import cosine, doubles, int8, norm
+from larkspur.operators.blocks import Cosine, MaxSim, best_rows
 from larkspur.operators.ranking import PLACES, ranked
 
 #: Numbers in the queries that go to every task at once, 16 MB of them.
 BATCH_NUMBERS = 1 << 21
+#: Numbers in the queries from which comparing a row costs far more than moving it, and rows per task then.
+DEALT_NUMBERS, DEALT_ROWS = 1 << 16, 1 << 16
 
 
-def _batches(queries: DataFrame, numbers: Column, id_column: str = "query_id") -> list[DataFrame]:
-    """Queries in batches whose vectors (of ``numbers`` numbers each) together stay within the bound."""
+def _best(rows: DataFrame, queries: DataFrame, numbers: Column, kernel: type[Cosine] | type[MaxSim], k: int) -> DataFrame:
+    """query_id, the columns of ``rows`` but for the last, and score: at least the best k per query (query_id, vectors).
+
+    ``numbers`` tells how many numbers a query has.  Each task hands on the best of
+    its rows; where there is much to compare, rows are dealt out to all cores.
+    """
+    spark = rows.sparkSession
     total = queries.agg(F.coalesce(F.sum(numbers), F.lit(0))).first()[0]
-    n = -(-total // BATCH_NUMBERS)
-    if n <= 1:
-        return [queries]
-    part = F.pmod(F.xxhash64(id_column), F.lit(n))
-    return [queries.filter(part == i) for i in range(n)]
+    if total >= DEALT_NUMBERS:
+        rows = rows.repartition(max(spark.sparkContext.defaultParallelism, -(-rows.count() // DEALT_ROWS)))
+    n = max(1, -(-total // BATCH_NUMBERS))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    schema = StructType([queries.schema["query_id"], *rows.schema.fields[:-1]]).add("score", "double")
+
+    def leg(some: DataFrame) -> DataFrame:
+        asked = some.toArrow().combine_chunks()  # BATCH_NUMBERS numbers
+        ids, vectors = (pa.concat_arrays(c.chunks) if c.num_chunks else pa.array([], c.type) for c in asked.columns)
+        shared = spark.sparkContext.broadcast((kernel(vectors), ids))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from best_rows(batches, *shared.value, k)
+
+        return rows.mapInArrow(run, schema)
+
+    return reduce(DataFrame.unionByName, [leg(queries if n == 1 else queries.filter(part == i)) for i in range(n)])
 
 
 def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, caller_groups: list[str] | None = None) -> DataFrame:
@@ -38,11 +62,8 @@ def exact_search(vectors: DataFrame, queries: DataFrame, k: int = 10, caller_gro
     """
     rows = vectors.filter(may_read(F.col("allowed_groups"), caller_groups)) if caller_groups else vectors
     rows = rows.select("doc_id", doubles(F.col("vec")).alias("vec"))
-    legs = []
-    for some in _batches(queries, F.size("qvec")):
-        asked = F.broadcast(some.select("query_id", doubles(F.col("qvec")).alias("qvec")))
-        legs.append(ranked(rows.crossJoin(asked).select("query_id", "doc_id", F.round(cosine(F.col("vec"), F.col("qvec")), PLACES).alias("score")), k))
-    return reduce(DataFrame.unionByName, legs)
+    asked = queries.select("query_id", doubles(F.col("qvec")).alias("qvec"))
+    return ranked(_best(rows, asked, F.size("qvec"), Cosine, k), k)
 
 
 def two_phase_search(vectors: DataFrame, queries: DataFrame, k: int = 10, oversample: int = 4) -> DataFrame:
@@ -55,11 +76,9 @@ def two_phase_search(vectors: DataFrame, queries: DataFrame, k: int = 10, oversa
 
 def max_sim_search(pages: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Late interaction over pages (doc_id, patches) for queries (query_id, parts)."""
-    legs = []
-    for some in _batches(queries, F.size(F.flatten("parts"))):
-        both = pages.crossJoin(F.broadcast(some.select("query_id", "parts")))
-        legs.append(ranked(both.select("query_id", "doc_id", F.round(max_sim(F.col("parts"), F.col("patches")), PLACES).alias("score")), k))
-    return reduce(DataFrame.unionByName, legs)
+    nested = "array<array<double>>"
+    rows, asked = pages.select("doc_id", F.col("patches").cast(nested).alias("patches")), queries.select("query_id", F.col("parts").cast(nested).alias("parts"))
+    return ranked(_best(rows, asked, F.size(F.flatten("parts")), MaxSim, k), k)
 
 
 def semantic_route(routes: DataFrame, queries: DataFrame, k: int = 1) -> DataFrame:
@@ -101,10 +120,6 @@ def cache_lookup(entries: DataFrame, queries: DataFrame, threshold: float = 0.85
     """
     stored = entries.withColumn("vec", doubles(F.col("vec"))).filter(norm(F.col("vec")) > 0)
     asked = queries.select("query_id", doubles(F.col("qvec")).alias("qvec")).filter(norm(F.col("qvec")) > 0)
-    legs = []
-    for some in _batches(asked, F.size("qvec")):
-        both = stored.crossJoin(F.broadcast(some))
-        sims = both.select("query_id", "entry_id", "response", F.round(cosine(F.col("vec"), F.col("qvec")), PLACES).alias("similarity"))
-        legs.append(sims.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("e"), "response")).alias("best")))
-    best = reduce(DataFrame.unionByName, legs).filter(F.col("best.similarity") >= threshold)
+    near = _best(stored.select("entry_id", "response", "vec"), asked, F.size("qvec"), Cosine, 1).withColumnRenamed("score", "similarity")
+    best = near.groupBy("query_id").agg(F.max(F.struct("similarity", (-F.col("entry_id")).alias("e"), "response")).alias("best")).filter(F.col("best.similarity") >= threshold)
     return queries.select("query_id").join(best, "query_id", "left").select("query_id", (-F.col("best.e")).alias("entry_id"), F.col("best.similarity").alias("similarity"), F.col("best.response").alias("response"))
