@@ -204,6 +204,51 @@ class MaxSim:
         return np.where(null, NULL, np.where(np.isnan(value), NAN, NUMBER)), value
 
 
+class Bm25:
+    """BM25 of rows' terms for queries' weights per term."""
+
+    floor = MARGIN + 4e-7  # what rounds to 0 doesn't count
+
+    def __init__(self, count: int, terms: pa.Array, first: np.ndarray, query: np.ndarray, weight: np.ndarray, avgdl: float, k1: float, b: float):
+        self.count, self.terms, self.first, self.query, self.weight = count, terms, first, query, weight
+        self.avgdl, self.k1, self.b = avgdl, k1, b
+
+    def take(self, column: pa.Array) -> None:
+        self.row, self.term, tf, length = term_counts(column, self.terms)
+        self.share = tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[self.row] / self.avgdl))
+        self.begin = np.searchsorted(self.row, np.arange(len(column) + 1))
+        self.many = self.first[self.term + 1] - self.first[self.term]
+
+    def most_rows(self) -> int:
+        return max(1, PRODUCTS // max(self.count, int(self.many.sum() // max(1, len(self.begin) - 1)), 1))
+
+    def likely(self, begin: int, end: int) -> np.ndarray:
+        a, z = self.begin[begin], self.begin[end]
+        many = self.many[a:z]
+        at = np.repeat(np.arange(z - a), many)
+        post = (self.first[self.term[a:z]] - (np.cumsum(many) - many))[at] + np.arange(len(at))
+        place = self.query[post] * (end - begin) + (self.row[a:z] - begin)[at]
+        self.offset, self.block = begin, np.bincount(place, weights=self.share[a:z][at] * self.weight[post], minlength=self.count * (end - begin)).reshape(self.count, end - begin)
+        return self.block
+
+    def slack(self) -> float:
+        return MARGIN
+
+    def scores(self, query: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.full(len(query), NUMBER), self.block[query, row - self.offset]
+
+
+def term_counts(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """row, number of a term, how often it comes there; and the number of all terms of each row."""
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    sizes = np.diff(offsets)
+    words = column.values.slice(offsets[0], offsets[-1] - offsets[0])
+    number = pc.index_in(words, value_set=terms).fill_null(-1).to_numpy().astype(np.int64)
+    known = number >= 0
+    key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[known] * max(1, len(terms)) + number[known], return_counts=True)
+    return key // max(1, len(terms)), key % max(1, len(terms)), tf, sizes
+
+
 def _places(ids: pa.Array) -> np.ndarray | None:
     """Places in the order of the ids, nulls first; None where their order is Spark's own matter."""
     if pa.types.is_floating(ids.type) or pa.types.is_nested(ids.type):
@@ -217,8 +262,8 @@ def _places(ids: pa.Array) -> np.ndarray | None:
 class Best:
     """The best k rows of each query so far; rows that tie with the last of them in score and id stay too."""
 
-    def __init__(self, queries: int, k: int):
-        self.k, self.limits = k, np.full(queries, -np.inf)
+    def __init__(self, queries: int, k: int, floor: float = -np.inf):
+        self.k, self.limits, self.told = k, np.full(queries, floor), False
         self.query, self.kind, self.value = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
         self.rows: pa.Table | None = None
         self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray, pa.Table]] = []
@@ -246,7 +291,7 @@ class Best:
         rank = np.arange(len(query)) - begin
         last = np.minimum(begin + self.k - 1, len(query) - 1)
         stay = (rank < self.k) | ((kind == kind[last]) & (value == value[last]) & (place == place[last]))
-        full = rank == self.k - 1
+        full, self.told = rank == self.k - 1, True
         self.limits[query[full]] = np.where(kind[full] == NUMBER, value[full], np.where(kind[full] == NAN, np.inf, -np.inf))
         self.query, self.kind, self.value = query[stay], kind[stay], value[stay]
         self.rows = rows.take(pa.array(order[stay])).combine_chunks()
@@ -261,9 +306,9 @@ class Best:
         yield from out.combine_chunks().to_batches(50_000)
 
 
-def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
+def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim | Bm25, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
     """query_id, the rows' columns but for the last, and score; the first column orders rows of equal score, the last is compared."""
-    best = Best(kernel.count, k)
+    best = Best(kernel.count, k, getattr(kernel, "floor", -np.inf))
     for batch in batches:
         rows = pa.Table.from_batches([batch]).select(range(batch.num_columns - 1))
         kernel.take(batch.column(batch.num_columns - 1))
@@ -272,7 +317,7 @@ def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim, ids: p
             end = min(begin + step, batch.num_rows)
             likely = kernel.likely(begin, end)
             limits = best.limits
-            if not np.isfinite(limits).any() and end - begin >= k:
+            if not best.told and end - begin >= k:
                 sure = np.where(np.isnan(likely), -np.inf, likely)
                 limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
             query, row = np.nonzero(~(likely < (limits - slack)[:, None]))

@@ -1,23 +1,32 @@
 """BM25 over a corpus, for all queries of a batch in one plan.
 
-The corpus is read and tokenised once.  Of a document's tokens only those that
-some query asks for go on, with one row more for the document itself, which holds
-its length; term frequencies are summed up per task, and this small table is kept
-in the shared folder.  Document frequencies, the corpus' statistics and the scores
-come from it.
+The corpus is read twice.  First a task counts its documents, their lengths and
+those that have a term that some query asks for; these totals are all that is
+gathered.  Then it scores its documents and hands on the best k of each query, so
+neither terms nor scores of all documents are shuffled or kept.  Only ids that come
+more than once make terms meet by id, in joins of all of them.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructField, StructType
 
 from larkspur.frames import cut, is_small, join_small
 from larkspur.functions.text import tokens
+from larkspur.operators.blocks import Bm25, best_rows, term_counts
 from larkspur.operators.ranking import PLACES, ranked
 
 K1, B = 1.5, 0.75
 #: Stands for the document itself among its terms; no token is empty.
 _DOCUMENT = ""
+#: Terms of queries that go to every task at once.
+BATCH_TERMS = 1 << 20
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -69,6 +78,52 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = K1
     of both; a null text has no terms.
     """
     asked = cut(query_terms(queries))
+    if k is None or not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        return _all_scores(docs, asked, k, k1, b)
+    rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    n = max(1, -(-asked.count() // BATCH_TERMS))
+    part = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    legs = [_best(rows, asked if n == 1 else asked.filter(part == i), queries.schema["query_id"], k, k1, b) for i in range(n)]
+    return ranked(reduce(DataFrame.unionByName, legs).filter("score > 0"), k)
+
+
+def _best(rows: DataFrame, asked: DataFrame, query_id: StructField, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, doc_id, score: each task's best k of its rows (doc_id, words), for a bounded number of asked terms."""
+    spark = rows.sparkSession
+    table = asked.toArrow().combine_chunks()  # BATCH_TERMS rows
+    ids = table.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    query, term = ids.indices.to_numpy().astype(np.int64), terms.indices.to_numpy().astype(np.int64)
+    known = spark.sparkContext.broadcast(terms.dictionary)
+    count = len(terms.dictionary)
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Documents with each term; then how many there are, and their lengths."""
+        total = np.zeros(count + 2, np.int64)
+        for batch in batches:
+            _, term, _, length = term_counts(batch.column(0), known.value)
+            total[:count] += np.bincount(term, minlength=count)
+            total[count:] += [len(length), length.sum()]
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    sums = rows.select("words").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(count + 2, np.int64)
+    total[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
+    df, n, length = total[:count], int(total[count]), int(total[count + 1])
+    order = np.argsort(term, kind="stable")
+    weight = table.column("qtf").to_numpy()[order] * np.log((n - df + 0.5) / (df + 0.5) + 1)[term[order]]
+    kernel = Bm25(len(ids.dictionary), terms.dictionary, np.searchsorted(term[order], np.arange(count + 1)), query[order], weight, length / max(1, n) or 1.0, k1, b)
+    shared = spark.sparkContext.broadcast((kernel, ids.dictionary))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from best_rows(batches, *shared.value, k)
+
+    return rows.mapInArrow(run, StructType([query_id, rows.schema["doc_id"]]).add("score", "double"))
+
+
+def _all_scores(docs: DataFrame, asked: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
+    """The ranking by joins of terms: without a limit, or of documents whose rows have to meet by id."""
     table = cut(_frequencies(docs, asked.select("term").distinct()))
     own = F.col("term") == _DOCUMENT
     stats = table.filter(own).agg(F.sum("tf").alias("n"), (F.sum(F.col("tf") * F.col("dl")) / F.sum("tf")).alias("avgdl"))  # one row
