@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from larkspur.frames import cut, join_small
 from larkspur.functions.text import word_count
 
 
@@ -72,9 +73,11 @@ def expand_to_parents(hits: DataFrame, children: DataFrame, parents: DataFrame)
     """query_id, parent_id, text, position: parents of the ranked children, each once, in order of first hit.
 
     Unknown children are skipped; of a child that was added twice the last parent
-    (by ord) counts.
+    (by ord) counts.  Children and parents that no hit names stay where they are.
     """
+    hits = cut(hits.select("query_id", F.col("doc_id").alias("child_id"), "rank"))
+    children = join_small(children, hits.select("child_id").distinct(), "child_id", "left_semi")
     last = children.groupBy("child_id").agg(F.max_by("parent_id", "ord").alias("parent_id"))
-    first = hits.select("query_id", F.col("doc_id").alias("child_id"), "rank").join(last, "child_id").groupBy("query_id", "parent_id").agg(F.min("rank").alias("first"))
+    first = hits.join(last, "child_id").groupBy("query_id", "parent_id").agg(F.min("rank").alias("first"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("first")).cast("int")
-    return first.join(parents.select("parent_id", "text"), "parent_id").select("query_id", "parent_id", "text", place.alias("position"))
+    return join_small(parents.select("parent_id", "text"), cut(first), "parent_id").select("query_id", "parent_id", "text", place.alias("position"))
