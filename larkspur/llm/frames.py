@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.frames import cut, delete_path, is_small, join_small, scratch_path, shared_dir
 
-__all__ = ["cut", "delete_path", "is_small", "join_small", "scratch_path", "shared_dir", "shuffle_width", "small_batches", "table"]
+__all__ = ["cut", "delete_path", "is_small", "join_small", "release", "scratch_path", "shared_dir", "shuffle_width", "small_batches", "table"]
 
 _BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 _DEFAULT_BYTES = 64 << 20
@@ -31,3 +33,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete files of shuffles, broadcasts and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

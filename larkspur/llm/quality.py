@@ -9,20 +9,23 @@ bits, so an n-gram is a whole number, its context and suffix are bits of it.
 Fitting takes all trusted documents, in folds by a hash of their ids: four fifths are
 counted, one fifth is held out for the thresholds.  Their ids go to every task in
 batches of bounded size, so no text is shuffled to find them.
-Counts are summed up per task and sharded by n-gram; lower orders count distinct
-left neighbours, discounts come from counts of counts, and each order meets the
-next lower one by suffix and its contexts by prefix in shuffled joins.
-
-Scoring all documents is a sharded join of n-grams.  The log probability of an
-interpolated model is a sum of one value per n-gram that occurs, the ratio of its
-probability to what backing off would give, and of the back-off weight of each
-context; an n-gram that the model doesn't have adds nothing.  So a task cuts its
-texts into n-grams and adds up what it knows, the unigrams and the most frequent
-n-grams, of which a bounded number is broadcast.  Of the others, those that a
-bitmap of bounded size doesn't rule out go to the model's shards: each distinct
-n-gram once per piece of about 2 MB, with the documents that have it.  A shard
-returns one sum per document.  What is shuffled thus grows with the corpus, no
-text is shuffled, and no n-gram is a hot key.
+Trigrams are summed up per task and go to shards by their middle word, as sorted and
+compressed arrays.  A trigram's context and its suffix both have that word, so a
+shard knows the masses of its contexts and the distinct left neighbours of its
+bigrams.  Trigrams of frequent middle words are dealt out to several shards by their
+last word, which keeps suffixes whole; sums of these words' contexts are put together
+in a shuffle of their own.  What all shards share are totals per word and counts of
+counts.  A shard keeps counts only, and computes its probabilities where they are used.
+
+Scoring all documents is a sharded join of trigrams.  The log probability of an
+interpolated model is a sum of a value per word and per pair of words, and of what the
+model knows of a trigram: its own value, or else those of its context and its suffix.
+So a task cuts its texts into trigrams and adds up what it knows, the words and the
+most frequent trigrams, of which a bounded number is broadcast.  The others go to the
+shards: each distinct trigram once per piece of about 2 MB, with the documents that
+have it.
+A shard returns a compressed array of sums per piece.  What is shuffled thus grows with
+the corpus, no text is shuffled, and no word is a hot key.
 
 Thresholds: per language a quantile of the held-out documents' deviation, which is
 the distance of the log perplexity from the language's median, for short texts
@@ -34,17 +37,17 @@ their own.  Documents above the threshold are bad.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from larkspur.llm.bytewise import give_back, mix, slices, span_hashes, text_buffers
-from larkspur.llm.frames import cut, delete_path, join_small, scratch_path, shuffle_width, small_batches
+from larkspur.llm.frames import cut, delete_path, join_small, release, scratch_path, shuffle_width, small_batches
 
 ORDER = 3
 BITS = 18
@@ -57,11 +60,9 @@ VOCABULARY = 200_000
 HELD_OUT = 5
 #: Ids of trusted documents that go to every task at once; more take another pass over the documents.
 IDS_AT_ONCE = 1 << 20
-#: N-grams of the model that every task has; in one shard; bits per n-gram of the bitmap and its bits at most.
+#: Trigrams of the model that every task has; trigrams counted for one shard, repeats included.
 HEAD = 400_000
 SHARD_GRAMS = 1 << 20
-BITMAP_RATIO, BITMAP_MOST = 16, 1 << 29
-_BLOCK_BITS = 1 << 19
 #: Text whose n-grams are looked up together, and n-grams a task counts before it sums them up.
 PIECE_BYTES = 2 << 20
 COUNT_AT_ONCE = 1 << 19
@@ -108,13 +109,13 @@ class Tokens:
         shape = np.select([kind[starts] == 2, digit > 0, (upper > 0) & (lower == 0) & (size > 1), first & (upper == 1), upper > 0, lower > 0], range(6), 6)
         self.shapes = (SHAPE + shape * (len(LENGTHS) + 1) + np.searchsorted(LENGTHS, size)).astype(np.int32)
 
-    def numbers(self, vocabulary: np.ndarray) -> np.ndarray:
-        """Numbers of all tokens under a sorted vocabulary of hashes."""
+    def numbers(self, vocabulary: np.ndarray, ranks: np.ndarray) -> np.ndarray:
+        """Numbers of all tokens under a sorted vocabulary of hashes with their ranks."""
         if not len(vocabulary):
             return self.shapes
         at = np.searchsorted(vocabulary, self.hashes)
         at[at == len(vocabulary)] = 0
-        return np.where(vocabulary[at] == self.hashes, WORD + at, self.shapes).astype(np.int32)
+        return np.where(vocabulary[at] == self.hashes, WORD + ranks[at], self.shapes).astype(np.int32)
 
 
 def sequences(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -131,17 +132,19 @@ def sequences(numbers: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, text, place
 
 
-def grams(sequence: np.ndarray, k: int) -> np.ndarray:
-    """The k-gram that ends at each number (where there is a whole one)."""
-    out = sequence.copy()
-    for back in range(1, k):
-        out[back:] |= sequence[:-back] << (BITS * back)
-    return out
+def middle_first(sequence: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The trigrams that end at these places: the middle number in the highest bits, then the first, then the last."""
+    return (sequence[at - 1] << (2 * BITS)) | (sequence[at - 2] << BITS) | sequence[at]
 
 
-def _key(gram: np.ndarray, k: int) -> np.ndarray:
-    """Numbers of n-grams of different orders apart; the order stands above the longest."""
-    return gram | (k << (BITS * ORDER + 2))
+def context_of(gram: np.ndarray) -> np.ndarray:
+    """The context of trigrams, its last number first."""
+    return gram >> BITS
+
+
+def suffix_of(gram: np.ndarray) -> np.ndarray:
+    """The bigram that ends trigrams."""
+    return ((gram >> (2 * BITS)) << BITS) | (gram & (IDS - 1))
 
 
 def _summed(texts: DataFrame, of, name: str) -> DataFrame:
@@ -192,106 +195,18 @@ def _at_least(counts: DataFrame, most: int, least: int = 1) -> int:
     return found if found is not None else (1 << 62)
 
 
-def vocabulary_of(texts: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent tokens of ``texts`` (text), none of which comes only once."""
-    counts = cut(_summed(texts, lambda raw, offsets: Tokens(raw, offsets).hashes.view(np.int64), "token"))
+def vocabulary_of(texts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Sorted hashes of the most frequent tokens of ``texts`` (text), none of which comes only once; how often each comes; and the number of all tokens."""
+    spark, path = texts.sparkSession, scratch_path(texts.sparkSession, "tokens")
+    # A compressed file, which takes a fraction of a checkpoint's bytes.
+    _summed(texts, lambda raw, offsets: Tokens(raw, offsets).hashes.view(np.int64), "token").write.option("compression", "zstd").parquet(path)
+    counts = spark.read.schema("token long, n long").parquet(path)
     least = _at_least(counts, VOCABULARY, 2)
-    rows = counts.filter(F.col("n") >= least).select("token").toArrow()  # VOCABULARY rows at most
-    return np.sort(rows.column("token").to_numpy().view(np.uint64))
-
-
-def gram_counts(texts: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """gram, n: the n-grams of order ORDER of ``texts`` (text)."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def of(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        tokens = Tokens(raw, offsets)
-        sequence, _, place = sequences(tokens.numbers(shared.value), tokens.first)
-        return grams(sequence, ORDER)[place >= ORDER - 1]
-
-    return _summed(texts, of, "gram")
-
-
-def _discounts(counts: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from the counts of counts."""
-    row = counts.agg(*[F.sum((F.col("n") == k).cast("long")).alias(f"c{k}") for k in (1, 2, 3, 4)]).first()
-    n1, n2, n3, n4 = (float(row[f"c{k}"] or 0) for k in (1, 2, 3, 4))
-    if not (n1 and n2):
-        return 0.5, 0.5, 0.5
-    y = n1 / (n1 + 2 * n2)
-    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
-    return tuple(min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1.0, 2.0, 3.0)))
-
-
-def _context(gram: str) -> Column:
-    return F.shiftright(F.col(gram), BITS)
-
-
-def _suffix(gram: str, k: int) -> Column:
-    return F.col(gram).bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
-
-
-class Kept:
-    """Tables of n-grams as compressed files in the shared folder, which take a fraction of a checkpoint's bytes."""
-
-    def __init__(self) -> None:
-        self.paths: list[str] = []
-
-    def __call__(self, df: DataFrame) -> DataFrame:
-        spark = df.sparkSession
-        self.paths.append(scratch_path(spark, "grams"))
-        df.write.option("compression", "zstd").parquet(self.paths[-1])
-        return spark.read.schema(df.schema).parquet(self.paths[-1])
-
-    def drop(self, spark: SparkSession) -> None:
-        for path in self.paths:
-            delete_path(spark, path)
-        self.paths = []
-
-
-def model_tables(counts: DataFrame, numbers: int, keep: Callable[[DataFrame], DataFrame] = cut) -> list[DataFrame]:
-    """Per order k: gram, n, p and backoff of all n-grams that are seen or are a context.
-
-    ``p`` is null for contexts that are no n-gram's end, ``backoff`` for n-grams
-    that are no context; ``over`` is the log of p over what backing off gives.
-    ``numbers``: how many different numbers there are; ``counts`` has been kept by
-    ``keep``, as are the tables made here.
-    """
-    orders = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        orders[k] = keep(orders[k + 1].groupBy(_suffix("gram", k + 1).alias("gram")).agg(F.count(F.lit(1)).alias("n")))
-
-    def contexts(k: int) -> tuple[DataFrame, Column]:
-        """context, mass and backoff of order k, and what the discounts take from a count."""
-        d1, d2, d3 = _discounts(orders[k])
-        cost = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        sums = orders[k].groupBy(_context("gram").alias("context")).agg(F.sum("n").alias("mass"), F.sum(cost).alias("taken"))
-        return sums.select("context", "mass", (F.col("taken") / F.col("mass")).alias("backoff")), cost
-
-    tables: list[DataFrame] = []
-    own_contexts, cost = contexts(1)
-    for k in range(1, ORDER + 1):
-        # Tables of numbers are bounded by IDS; those of longer n-grams are not.
-        small = F.broadcast if k <= 2 else lambda df: df.hint("merge")
-        # Keys stay expressions of the gram, which keeps the shuffled rows short.
-        rows = orders[k].select("gram", "n").join(small(own_contexts), _context("gram") == F.col("context"))
-        rows = rows.select("gram", "n", ((F.col("n") - cost) / F.col("mass")).alias("own"), "backoff")
-        if k == 1:
-            below = F.lit(1.0 / numbers)
-        else:
-            rows = rows.join(small(tables[-1].filter("p is not null").select(F.col("gram").alias("suffix"), F.col("p").alias("below"))), _suffix("gram", k) == F.col("suffix"))
-            below = F.col("below")
-        p = F.col("own") + F.col("backoff") * below
-        rows = rows.select("gram", "n", p.alias("p"), F.log(p / (F.col("backoff") * below)).alias("over"))
-        if k < ORDER:
-            next_contexts, cost = contexts(k + 1)
-            own_contexts = next_contexts if k == 1 else keep(next_contexts)
-            rows = rows.join(own_contexts.select(F.col("context").alias("gram"), "backoff").hint("merge"), "gram", "full")
-            rows = keep(rows)
-        else:
-            rows = rows.withColumn("backoff", F.lit(None).cast("double"))
-        tables.append(rows)
-    return tables
+    rows = counts.filter(F.col("n") >= least).select("token", "n").toArrow()  # VOCABULARY rows at most
+    hashes, n = rows.column("token").to_numpy().view(np.uint64), rows.column("n").to_numpy()
+    order, total = np.argsort(hashes), counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    delete_path(spark, path)
+    return hashes[order], n[order], total
 
 
 def squeeze(a: np.ndarray) -> bytes:
@@ -305,36 +220,125 @@ def unsqueeze(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
 
+@dataclass
+class Figures:
+    """What all shards share: discounts of trigrams and bigrams, and per number its mass and back-off weight as a context, and its probability."""
+
+    trigram_costs: np.ndarray
+    bigram_costs: np.ndarray
+    mass: np.ndarray
+    backoff: np.ndarray
+    p: np.ndarray
+
+
 @dataclass
 class Model:
-    """What every task has: sorted vocabulary, values of numbers, the head (sorted keys, values), the bitmap."""
+    """What every task has: sorted vocabulary and ranks, values of numbers, the head (sorted keys, values); ``parts``: of how many shards a middle number has trigrams."""
 
     vocabulary: np.ndarray
+    ranks: np.ndarray
     numbers: np.ndarray
     head: np.ndarray
     head_values: np.ndarray
-    bitmap: np.ndarray
     shards: int
+    parts: np.ndarray
+    figures: Figures
 
     def lookup(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Values by the head, and which of the keys the shards may know."""
-        values, maybe = np.zeros(len(keys)), np.ones(len(keys), bool)
+        """Values by the head, and which of the keys it has."""
+        values, found = np.zeros(len(keys)), np.zeros(len(keys), bool)
         if len(self.head):
             at = np.searchsorted(self.head, keys)
             at[at == len(self.head)] = 0
             found = self.head[at] == keys
             values[found] = self.head_values[at[found]]
-            maybe = ~found
-        slot = mix(keys.view(np.uint64)) & np.uint64(8 * len(self.bitmap) - 1)
-        maybe &= (self.bitmap[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        return values, maybe
+        return values, found
+
+
+def shard_of(gram: np.ndarray, parts: np.ndarray, shards: int) -> np.ndarray:
+    """A trigram's shard: by its middle number, for frequent ones by the last one too."""
+    middle = gram >> (2 * BITS)
+    part = _spread(gram & (IDS - 1)) % parts[middle]
+    return ((_spread(middle) + part) % shards).astype(np.int32)
 
 
-def shard_of(keys: np.ndarray, shards: int) -> np.ndarray:
-    return ((mix(keys.view(np.uint64)) >> np.uint64(40)) % np.uint64(shards)).astype(np.int32)
+def _spread(numbers: np.ndarray) -> np.ndarray:
+    return (mix(numbers.view(np.uint64)) >> np.uint64(40)).view(np.int64)
 
 
-#: What comes to a shard: its part of the model (kind 0), the n-grams of a piece (1) and, on their way, documents (2).
+def _costs(n: np.ndarray, costs: np.ndarray) -> np.ndarray:
+    return costs[np.minimum(n, 3) - 1]
+
+
+def discounts(n: list[int]) -> np.ndarray:
+    """Modified Kneser-Ney discounts for counts of 1, 2 and more, from how many have the counts 1, 2, 3 and 4."""
+    n1, n2, n3, n4 = map(float, n)
+    if not (n1 and n2):
+        return np.array([0.5, 0.5, 0.5])
+    y = n1 / (n1 + 2 * n2)
+    d = (1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3 if n3 else 1.5)
+    return np.array([min(max(x, 0.05), k - 0.05) for x, k in zip(d, (1.0, 2.0, 3.0))])
+
+
+def _runs(a: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin."""
+    return np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+
+
+class Counted:
+    """A shard's sorted trigrams with their counts, and their contexts and suffixes; all of a suffix's trigrams are in one shard."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.counts = keys, counts
+        context = context_of(keys)
+        self.begin = _runs(context)
+        self.contexts, self.kinds = context[self.begin], np.diff(np.r_[self.begin, len(keys)])
+        self.suffixes, self.suffix, self.left = np.unique(suffix_of(keys), return_inverse=True, return_counts=True)
+
+    def sums(self, costs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Per context the sum of its counts, and what the discounts take from it."""
+        return np.add.reduceat(self.counts, self.begin).astype(float), np.add.reduceat(_costs(self.counts, costs), self.begin)
+
+
+class Part:
+    """A shard's part of the model.  ``others``: sorted contexts of frequent middle numbers, whose trigrams are in several shards, and their sums."""
+
+    def __init__(self, counted: Counted, figures: Figures, others: tuple[np.ndarray, np.ndarray, np.ndarray] | None):
+        mass, taken = counted.sums(figures.trigram_costs)
+        self.contexts, at = counted.contexts, np.arange(len(counted.contexts))
+        if others is not None:
+            every = np.r_[others[0], self.contexts]
+            self.contexts, first = np.unique(every, return_index=True)
+            mass, taken = np.r_[others[1], mass][first], np.r_[others[2], taken][first]
+            at = np.searchsorted(self.contexts, counted.contexts)
+        backoff = taken / mass
+        self.context_values = np.log(backoff)
+        self.suffixes, self.keys = counted.suffixes, counted.keys
+        middle, last = self.suffixes >> BITS, self.suffixes & (IDS - 1)
+        below = figures.backoff[middle] * figures.p[last]
+        p = (counted.left - _costs(counted.left, figures.bigram_costs)) / figures.mass[middle] + below
+        self.suffix_values = np.log(p / below)
+        at = np.repeat(at, counted.kinds)
+        p = (counted.counts - _costs(counted.counts, figures.trigram_costs)) / mass[at] + backoff[at] * p[counted.suffix]
+        self.values = np.log(p / below[counted.suffix])
+
+    def of(self, grams: np.ndarray) -> np.ndarray:
+        """The log of trigrams' probabilities over what backing off twice without a context's weight gives."""
+
+        def known(table: np.ndarray, values: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.searchsorted(table, keys)
+            at[at == len(table)] = 0
+            found = table[at] == keys
+            return np.where(found, values[at], 0.0), found
+
+        out, found = known(self.keys, self.values, grams)
+        rest = grams[~found]
+        out[~found] = known(self.contexts, self.context_values, context_of(rest))[0] + known(self.suffixes, self.suffix_values, suffix_of(rest))[0]
+        return out
+
+
+#: What comes to a shard: contexts that other shards have too (kind -1), its counted trigrams (0), the trigrams of a
+#: piece (1) and, on their way, documents (2); what it returns: sums of a piece's documents (3).
 _MIXED = "kind int, shard int, salt int, piece long, at int, doc_id long, lang string, key1 long, key2 long, n long, part double, size int, occurrences int, keys binary, counts binary, owners binary"
 _NAMES = [c.split()[0] for c in _MIXED.split(", ")]
 
@@ -344,113 +348,239 @@ def _batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(rows, types[t]) for c, t in (x.split() for x in _MIXED.split(", "))], _NAMES)
 
 
-def _blocks(keyed: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of ``bits`` bits with those of the keys set, put together by blocks of 64 KB."""
+def counted_rows(texts: DataFrame, vocabulary: np.ndarray, ranks: np.ndarray, parts: np.ndarray, shards: int) -> DataFrame:
+    """One row of kind 0 per shard that has any: the trigrams of ``texts`` (text) and their counts."""
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, ranks, parts))
+
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, ranks, parts = shared.value
+        seen, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def add() -> None:
+            nonlocal seen, counts, held, size
+            new, n = np.unique(np.concatenate(held), return_counts=True)
+            seen, counts = _merged([seen, new], [counts, n])
+            held, size = [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            nonlocal seen, counts
+            shard = shard_of(seen, parts, shards)
+            for s in np.unique(shard).tolist():
+                yield _counts_row(s, seen[shard == s], counts[shard == s])
+            seen, counts = np.empty(0, np.int64), np.empty(0, np.int64)
+
+        for batch in batches:
+            raw, offsets = text_buffers(batch.column(0))
+            for a, b in slices(offsets):
+                tokens = Tokens(raw, offsets[a : b + 1])
+                sequence, _, place = sequences(tokens.numbers(vocabulary, ranks), tokens.first)
+                held.append(middle_first(sequence, np.flatnonzero(place >= ORDER - 1)))
+                size += len(held[-1])
+                if size >= COUNT_AT_ONCE:
+                    add()
+                    if len(seen) >= SUMS_AT_ONCE:
+                        yield from out()
+        if held:
+            add()
+        yield from out()
+        give_back()
 
-    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, keys, counts = None, [], []
         for batch in batches:
-            slot = (mix(batch.column(0).to_numpy().view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
-            yield pa.RecordBatch.from_pydict({"block": pa.array(slot // _BLOCK_BITS, pa.int32()), "bit": pa.array(slot % _BLOCK_BITS, pa.int32())})
+            for i in range(batch.num_rows):
+                s = batch.column(1)[i].as_py()
+                if s != shard and keys:
+                    yield _counts_row(shard, *_merged(keys, counts))
+                    keys, counts = [], []
+                shard = s
+                k, n = _counts_of(batch, i)
+                keys.append(k)
+                counts.append(n)
+        if keys:
+            yield _counts_row(shard, *_merged(keys, counts))
+        give_back()
+
+    rows = small_batches(texts).select(F.col("text").cast("string")).mapInArrow(cut_up, _MIXED)
+    return rows.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(gather, _MIXED)
+
+
+def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sums of their counts."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    if not len(key):
+        return key, n
+    begin = _runs(key)
+    return key[begin], np.add.reduceat(n, begin)
+
+
+def _counts_row(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return _batch(1, kind=pa.array([0], pa.int32()), shard=pa.array([shard], pa.int32()), size=pa.array([len(keys)], pa.int32()), keys=pa.array([squeeze(np.diff(keys, prepend=0))], pa.binary()), counts=pa.array([squeeze(counts)], pa.binary()))
+
+
+def _counts_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
+    size, keys, counts = (batch.column(_NAMES.index(c))[i].as_py() for c in ("size", "keys", "counts"))
+    return np.cumsum(unsqueeze(keys, size, np.int64)), unsqueeze(counts, size, np.int64)
+
+
+#: What ``_totals`` counts: trigrams and bigrams by their counts up to 5; trigrams by any count; per last number its bigrams;
+#: per middle number its bigrams of one, two and more left neighbours, and all these neighbours.
+_TRIGRAMS, _BIGRAMS, _ENTRIES, _LAST, _ONE, _TWO, _MORE, _MASS = range(8)
 
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, bitmap = None, np.zeros(_BLOCK_BITS, np.uint8)
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"block": pa.array([block], pa.int32()), "data": pa.array([np.packbits(bitmap, bitorder="little").tobytes()], pa.binary())})
+def _totals(rows: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Per kind of total its ids and numbers."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                c = Counted(*_counts_of(batch, i))
+                middle, last = c.suffixes >> BITS, c.suffixes & (IDS - 1)
+                found = [(_TRIGRAMS, np.minimum(c.counts, 5)), (_BIGRAMS, np.minimum(c.left, 5)), (_ENTRIES, c.counts), (_LAST, last)]
+                found += [(role, middle[at]) for role, at in ((_ONE, c.left == 1), (_TWO, c.left == 2), (_MORE, c.left > 2))]
+                out = [(role, *np.unique(ids, return_counts=True)) for role, ids in found]
+                begin = _runs(middle)
+                out.append((_MASS, middle[begin], np.add.reduceat(c.left, begin)))
+                for role, ids, n in out:
+                    yield pa.RecordBatch.from_pydict({"role": pa.array(np.full(len(ids), role, np.int32)), "id": pa.array(ids, pa.int64()), "n": pa.array(n, pa.int64())})
+
+    table = rows.mapInArrow(run, "role int, id long, n long").groupBy("role", "id").agg(F.sum("n").alias("n")).toArrow()  # IDS rows a role at most, or one per count
+    role, ids, n = (table.column(c).to_numpy() for c in ("role", "id", "n"))
+    return {r: (ids[role == r], n[role == r]) for r in range(8)}
+
+
+def _others(rows: DataFrame, parts: np.ndarray, shards: int, costs: np.ndarray) -> DataFrame:
+    """Rows of kind -1: to each shard the contexts of the numbers whose trigrams it shares with others, summed up over all of these."""
+    shared = rows.sparkSession.sparkContext.broadcast(parts)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blocks, places = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for b in np.unique(blocks).tolist():
-                if b != block:
-                    if block is not None:
-                        yield out()
-                    block, bitmap = b, np.zeros(_BLOCK_BITS, np.uint8)
-                bitmap[places[blocks == b]] = 1
-        if block is not None:
-            yield out()
-
-    rows = keyed.select("key").mapInArrow(slots, "block int, bit int")
-    rows = rows.repartition(max(1, min(shuffle_width(keyed.sparkSession), bits // _BLOCK_BITS)), "block").sortWithinPartitions("block").mapInArrow(fill, "block int, data binary")
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for row in rows.toLocalIterator():
-        piece = np.frombuffer(row["data"], np.uint8)[: len(bitmap)]
-        bitmap[row["block"] * (_BLOCK_BITS // 8) :][: len(piece)] = piece
-    return bitmap
-
-
-def _shard_rows(values: DataFrame, shards: int) -> DataFrame:
-    """One row of kind 0 per shard with its sorted keys and their values."""
-
-    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i in range(batch.num_rows):
+                c = Counted(*_counts_of(batch, i))
+                split = shared.value[c.contexts >> BITS] > 1
+                mass, taken = c.sums(costs)
+                yield pa.RecordBatch.from_pydict({"gram": pa.array(c.contexts[split]), "mass": pa.array(mass[split]), "taken": pa.array(taken[split])})
+
+    def address(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(shard_of(batch.column(0).to_numpy(), shards), pa.int32()), *batch.columns], ["shard", "key", "value"])
+            middle = batch.column(0).to_numpy() >> BITS
+            many = shared.value[middle]
+            row = np.repeat(np.arange(len(many)), many)
+            part = np.arange(len(row)) - np.repeat(np.cumsum(many) - many, many)
+            shard = (_spread(middle)[row] + part) % shards
+            yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), *(c.take(pa.array(row)) for c in batch.columns)], ["shard", "gram", "mass", "taken"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, held = None, []
+        for batch in batches:
+            shard, *columns = (c.to_numpy() for c in batch.columns)
+            for s in np.unique(shard).tolist():
+                gram, mass, taken = (c[shard == s] for c in columns)
+                yield _batch(1, kind=pa.array([-1], pa.int32()), shard=pa.array([s], pa.int32()), size=pa.array([len(gram)], pa.int32()), keys=pa.array([squeeze(np.diff(gram, prepend=0))], pa.binary()), counts=pa.array([squeeze(mass)], pa.binary()), owners=pa.array([squeeze(taken)], pa.binary()))
+
+    sums = rows.mapInArrow(partial, "gram long, mass double, taken double").groupBy("gram").agg(F.sum("mass").alias("mass"), F.sum("taken").alias("taken"))
+    return sums.mapInArrow(address, "shard int, gram long, mass double, taken double").repartition(shards, "shard").sortWithinPartitions("shard", "gram").mapInArrow(gather, _MIXED)
 
-        def out() -> pa.RecordBatch:
-            keys, values = (np.concatenate(x) for x in zip(*held))
-            return _batch(1, kind=pa.array([0], pa.int32()), shard=pa.array([shard], pa.int32()), size=pa.array([len(keys)], pa.int32()), keys=pa.array([squeeze(np.diff(keys, prepend=0))]), counts=pa.array([squeeze(values.astype(np.float32))]))
 
+class Assembly:
+    """Puts a shard's part together from its rows, which come in the order of their kinds."""
+
+    def __init__(self, figures: Figures):
+        self.figures, self.others = figures, []
+        self.shard = self.part = self.counted = None
+
+    def take(self, batch: pa.RecordBatch, i: int, kind: int, shard: int) -> None:
+        if kind < 0:
+            if self.others and self.others[0][0] != shard:
+                self.others = []
+            size, keys, mass, taken = (batch.column(_NAMES.index(c))[i].as_py() for c in ("size", "keys", "counts", "owners"))
+            self.others.append((shard, np.cumsum(unsqueeze(keys, size, np.int64)), unsqueeze(mass, size, np.float64), unsqueeze(taken, size, np.float64)))
+            return
+        own = [x[1:] for x in self.others if x[0] == shard]
+        self.counted = Counted(*_counts_of(batch, i))
+        self.shard, self.part, self.others = shard, Part(self.counted, self.figures, tuple(map(np.concatenate, zip(*own))) if own else None), []
+
+
+def _each_part(rows: DataFrame, figures: Figures, of, schema: str) -> DataFrame:
+    """What ``of(assembly)`` yields for each shard's part."""
+    shared = rows.sparkSession.sparkContext.broadcast(figures)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        assembly = Assembly(shared.value)
         for batch in batches:
-            shard_column, keys, values = (c.to_numpy() for c in batch.columns)
-            for s in np.unique(shard_column).tolist():
-                if s != shard and held:
-                    yield out()
-                    held = []
-                mine, shard = shard_column == s, s
-                held.append((keys[mine], values[mine]))
-        if held:
-            yield out()
+            kind, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for i in range(batch.num_rows):
+                assembly.take(batch, i, kind[i], shard[i])
+                if kind[i] == 0:
+                    yield from of(assembly)
+        give_back()
 
-    rows = values.select("key", "value").mapInArrow(number, "shard int, key long, value double")
-    return rows.repartition(shards, "shard").sortWithinPartitions("shard", "key").mapInArrow(gather, _MIXED)
+    return rows.mapInArrow(run, schema)
 
 
 def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
-    """The model of ``texts`` (text) and its shards; None without tokens."""
-    vocabulary = vocabulary_of(texts)
-    spark, kept, kept_longer = texts.sparkSession, Kept(), Kept()
-    counts = kept(gram_counts(texts, vocabulary))
-    if counts.isEmpty():
-        kept.drop(spark)
+    """The model of ``texts`` (text) and its shards' rows; None without tokens."""
+    vocabulary, often, total = vocabulary_of(texts)
+    if not total:
         return None
-    tables = model_tables(counts, WORD + len(vocabulary), kept)
-    one = tables[0].select("gram", F.coalesce(F.log("p"), F.lit(None)).alias("p"), F.coalesce(F.log("backoff"), F.lit(0.0)).alias("backoff")).toArrow()  # IDS rows at most
-    gram, p, backoff = (one.column(c).to_numpy() for c in ("gram", "p", "backoff"))
-    d1, d2, d3 = _discounts(tables[0].filter("p is not null"))
-    taken = tables[0].filter("p is not null").agg(F.sum(F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)) / F.sum("n")).first()[0]
-    numbers = np.full(IDS, np.log(taken / (WORD + len(vocabulary))))
-    seen = ~np.isnan(p)
-    numbers[gram[seen]] = p[seen]
+    # Frequent words have small numbers, which take fewer bytes.
+    ranks = np.empty(len(often), np.int32)
+    ranks[np.argsort(-often, kind="stable")] = np.arange(len(often), dtype=np.int32)
+    shards = max(1, -(-total // SHARD_GRAMS))
+    parts = np.ones(IDS, np.int64)
+    parts[SHAPE:WORD] = -(-(total - int(often.sum())) // SHARD_GRAMS)
+    parts[WORD + ranks] = -(-often // SHARD_GRAMS)
+    parts = np.clip(parts, 1, shards)
+    rows = cut(counted_rows(texts, vocabulary, ranks, parts, shards))
+    release(texts.sparkSession)
+    totals = _totals(rows)
+
+    def how_many(role: int) -> list[int]:
+        found = dict(zip(*(x.tolist() for x in totals[role])))
+        return [found.get(i, 0) for i in (1, 2, 3, 4)]
+
+    def by_number(role: int) -> np.ndarray:
+        out = np.zeros(IDS, np.int64)
+        out[totals[role][0]] = totals[role][1]
+        return out
+
+    n = by_number(_LAST)
+    costs = discounts([int((n == i).sum()) for i in (1, 2, 3, 4)])
+    seen, taken = n > 0, np.where(n > 0, _costs(np.maximum(n, 1), costs), 0.0)
+    p = np.full(IDS, taken.sum() / n.sum() / (WORD + len(vocabulary)))
+    p[seen] += ((n - taken) / n.sum())[seen]
+    bigram_costs = discounts(how_many(_BIGRAMS))
+    mass = by_number(_MASS)
+    backoff = np.ones(IDS)
+    backoff[mass > 0] = (np.stack([by_number(r) for r in (_ONE, _TWO, _MORE)], 1) @ bigram_costs)[mass > 0] / mass[mass > 0]
+    figures = Figures(discounts(how_many(_TRIGRAMS)), bigram_costs, mass, backoff, p)
+    numbers = np.log(p)
     numbers[START] = 0.0
-    numbers[gram] += backoff
-    longer = None
-    for k, table in enumerate(tables[1:], 2):
-        value = F.coalesce("over", F.lit(0.0)) + F.coalesce(F.log("backoff"), F.lit(0.0))
-        rows = table.select(F.col("gram").bitwiseOR(F.lit(k << (BITS * ORDER + 2))).alias("key"), value.alias("value"), F.coalesce("n", F.lit(1)).alias("n"))
-        longer = rows if longer is None else longer.union(rows)
-    longer = kept_longer(longer)
-    kept.drop(spark)
-    size = longer.count()
-    least = _at_least(longer, HEAD)
-    head = longer.filter(F.col("n") >= least).select("key", "value").toArrow()  # HEAD rows at most
+    numbers += np.log(backoff)
+    if (parts > 1).any():
+        rows = cut(rows.union(_others(rows, parts, shards, figures.trigram_costs)).repartition(shards, "shard").sortWithinPartitions("shard", "kind"))
+    entries, many = totals[_ENTRIES]
+    down = np.argsort(-entries)
+    fits = entries[down][np.cumsum(many[down]) <= HEAD]
+    least = int(fits[-1]) if len(fits) else 1 << 62
+
+    def frequent(assembly: Assembly) -> Iterator[pa.RecordBatch]:
+        often = assembly.counted.counts >= least
+        yield pa.RecordBatch.from_pydict({"key": pa.array(assembly.part.keys[often]), "value": pa.array(assembly.part.values[often])})
+
+    head = _each_part(rows, figures, frequent, "key long, value double").toArrow()  # HEAD rows at most
     keys, values = head.column("key").to_numpy(), head.column("value").to_numpy()
     order = np.argsort(keys)
-    rest = longer.filter(F.col("n") < least)
-    left = size - len(keys)
-    bits = 1 << int(np.clip(np.ceil(np.log2(max(1, left) * BITMAP_RATIO)), 10, np.log2(BITMAP_MOST)))
-    shards = max(1, -(-left // SHARD_GRAMS))
-    model = Model(vocabulary, numbers, keys[order], values[order], _blocks(rest, bits), shards)
-    shard_rows = cut(_shard_rows(rest, shards))
-    kept_longer.drop(spark)
-    return model, shard_rows
+    return Model(vocabulary, ranks, numbers, keys[order], values[order], shards, parts, figures), rows
 
 
 def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> DataFrame:
     """doc_id, lang, key1, key2, n_tokens and log_perplexity (null without tokens) of ``docs`` (doc_id, lang, text, key1, key2)."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # bounded by VOCABULARY, IDS, HEAD and BITMAP_MOST
+    shared = spark.sparkContext.broadcast(model)  # bounded by VOCABULARY, IDS and HEAD
     shards = model.shards
     # A task takes what four tasks have cut; the model's shards are repeated only so often.
     salts = max(1, -(-shuffle_width(spark) // (4 * shards)))
@@ -469,13 +599,12 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
                 before += batch.num_rows
                 at = np.flatnonzero(place >= ORDER - 2)
                 base += np.bincount(text[at], weights=model.numbers[sequence[at]], minlength=n)
-                for k in range(2, ORDER + 1):
-                    at = np.flatnonzero(place >= (ORDER - 1 if k == ORDER else ORDER - 2))
-                    key = _key(grams(sequence, k)[at], k)
-                    value, maybe = model.lookup(key)
-                    base += np.bincount(text[at], weights=value, minlength=n)
-                    keys.append(key[maybe])
-                    owners.append(text[at][maybe])
+                at = np.flatnonzero(place >= ORDER - 1)
+                gram = middle_first(sequence, at)
+                value, found = model.lookup(gram)
+                base += np.bincount(text[at], weights=value, minlength=n)
+                keys.append(gram[~found])
+                owners.append(text[at][~found])
             yield _batch(n, kind=pa.array(np.full(n, 2, np.int32)), shard=pa.array(np.arange(n, dtype=np.int32) % shards), salt=pa.array(np.full(n, (number >> 2) % salts, np.int32)), piece=pa.array(np.full(n, number)), at=pa.array(np.arange(n, dtype=np.int32)), doc_id=rows.column(0), lang=rows.column(1), key1=rows.column(3), key2=rows.column(4), n=pa.array(tokens), part=pa.array(base))
             held, size = [], 0
             key, owner = np.concatenate(keys), np.concatenate(owners)
@@ -484,7 +613,7 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
             key, owner = key[order], owner[order]
             begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
             distinct, counts = key[begin], np.diff(np.r_[begin, len(key)])
-            shard = shard_of(distinct, shards)
+            shard = shard_of(distinct, model.parts, shards)
             each = np.repeat(shard, counts)
             out = []
             for s in np.unique(shard).tolist():
@@ -503,7 +632,7 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
             raw, offsets = text_buffers(batch.column(2))
             for a, b in slices(offsets):
                 tokens = Tokens(raw, offsets[a : b + 1])
-                sequence, text, place = sequences(tokens.numbers(model.vocabulary), tokens.first)
+                sequence, text, place = sequences(tokens.numbers(model.vocabulary, model.ranks), tokens.first)
                 part = batch.slice(a, b - a)
                 held.append((part.set_column(2, "text", pa.nulls(b - a)), sequence.astype(np.int32), text, np.diff(tokens.first), place))
                 size += int(offsets[b] - offsets[a])
@@ -514,37 +643,59 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
         give_back()
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come by shard, the shard's own row first."""
-        known = values = None
+        """Rows come by shard, the shard's own rows first."""
+        assembly = Assembly(shared.value.figures)
         for batch in batches:
-            kind = batch.column(0).to_numpy()
-            pieces, places, parts = [], [], []
+            kind, shard = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i in np.flatnonzero(kind < 2).tolist():
-                row = {c: batch.column(c)[i].as_py() for c in ("size", "occurrences", "piece", "keys", "counts", "owners")}
-                keys = np.cumsum(unsqueeze(row["keys"], row["size"], np.int64))
-                if kind[i] == 0:
-                    known, values = keys, unsqueeze(row["counts"], row["size"], np.float32)
+                if kind[i] < 1:
+                    assembly.take(batch, i, kind[i], shard[i])
                     continue
+                if assembly.shard != shard[i]:
+                    continue  # a shard without trigrams knows none
+                row = {c: batch.column(c)[i].as_py() for c in ("size", "occurrences", "piece", "keys", "counts", "owners")}
+                value = assembly.part.of(np.cumsum(unsqueeze(row["keys"], row["size"], np.int64)))
                 counts, owners = unsqueeze(row["counts"], row["size"], np.uint32), unsqueeze(row["owners"], row["occurrences"], np.uint32)
-                at = np.searchsorted(known, keys)
-                at[at == len(known)] = 0
-                value = np.where(known[at] == keys, values[at], 0.0)
                 part = np.bincount(owners, weights=np.repeat(value, counts))
                 at = np.flatnonzero(part)
-                pieces.append(np.full(len(at), row["piece"]))
-                places.append(at.astype(np.int32))
-                parts.append(part[at])
-            if parts:
-                n = sum(map(len, parts))
-                yield _batch(n, piece=pa.array(np.concatenate(pieces)), at=pa.array(np.concatenate(places)), part=pa.array(np.concatenate(parts)))
+                yield _batch(1, kind=pa.array([3], pa.int32()), shard=pa.array([shard[i]], pa.int32()), piece=pa.array([row["piece"]]), size=pa.array([len(at)], pa.int32()), keys=pa.array([squeeze(np.diff(at, prepend=0).astype(np.uint32))], pa.binary()), counts=pa.array([squeeze(part[at].astype(np.float32))], pa.binary()))
             if (kind == 2).any():
                 yield batch.filter(pa.array(kind == 2))
         give_back()
 
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by piece, its documents first, sums always in the same order."""
+        piece, held, places, parts = None, [], [], []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            at, part = np.concatenate([*places, np.empty(0, np.int64)]), np.concatenate([*parts, np.empty(0)])
+            total = np.bincount(at.astype(np.int64), weights=part, minlength=1)
+            for rows in held:
+                place = rows.column("at").to_numpy()
+                more = np.where(place < len(total), total[np.minimum(place, len(total) - 1)], 0.0)
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("doc_id", "lang", "key1", "key2", "n")), pa.array(rows.column("part").to_numpy() + more)], ["doc_id", "lang", "key1", "key2", "n", "total"])
+
+        for batch in batches:
+            kind, pieces = batch.column(0).to_numpy(), batch.column("piece").to_numpy()
+            begin = _runs(pieces) if len(pieces) else []
+            for a, b in zip(begin, [*begin[1:], len(pieces)]):
+                if pieces[a] != piece:
+                    yield from out()
+                    piece, held, places, parts = pieces[a], [], [], []
+                documents = int((kind[a:b] == 2).sum())
+                if documents:
+                    held.append(batch.slice(a, documents))
+                for i in range(a + documents, b):
+                    size, keys, counts = (batch.column(c)[i].as_py() for c in ("size", "keys", "counts"))
+                    places.append(np.cumsum(unsqueeze(keys, size, np.uint32)).astype(np.int64))
+                    parts.append(unsqueeze(counts, size, np.float32).astype(float))
+        yield from out()
+
     cut_up = small_batches(docs).select("doc_id", "lang", "text", "key1", "key2").mapInArrow(look, _MIXED)
     model_rows = shard_rows.drop("salt").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))).select(*_NAMES)
     mixed = model_rows.union(cut_up).repartition(shards * salts, "shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    sums = mixed.mapInArrow(answer, _MIXED).groupBy("piece", "at").agg(F.sum("part").alias("total"), *[F.max(c).alias(c) for c in ("doc_id", "lang", "key1", "key2", "n")])
+    answers = mixed.mapInArrow(answer, _MIXED).repartition(max(shuffle_width(spark), shards), "piece").sortWithinPartitions("piece", "kind", "shard")
+    sums = answers.mapInArrow(add_up, "doc_id long, lang string, key1 long, key2 long, n long, total double")
     x = F.when(F.col("n") > 0, F.round(-F.col("total") / (F.col("n") + 1), 6))
     return sums.select("doc_id", "lang", "key1", "key2", F.col("n").alias("n_tokens"), x.alias("log_perplexity"))
 
@@ -605,7 +756,10 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     fitted = train(trusted.select("text"))
     if fitted is None:
         return untold
+    release(docs.sparkSession)
     scored = cut(log_perplexities(docs, *fitted))
+    del fitted
+    release(docs.sparkSession)
     held = join_small(scored.filter("log_perplexity is not null"), chosen.filter("held").select("doc_id"), "doc_id", "left_semi")
     held = cut(held.select(language_key(F.col("lang")).alias("key"), "n_tokens", "log_perplexity"))
     if held.isEmpty():

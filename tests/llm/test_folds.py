@@ -24,3 +24,21 @@ def test_sums_handed_on_early(spark, monkeypatch):
     texts = spark.createDataFrame([(" ".join(f"w{chr(97 + i % 13)}" for i in range(j, j + 9)),) for j in range(40)], "text string").coalesce(2)
     sums = quality._summed(texts, lambda raw, offsets: quality.Tokens(raw, offsets).hashes.view("int64"), "token").collect()
     assert len(sums) == 13 and sum(r["n"] for r in sums) == 360
+
+
+def test_frequent_middle_words_are_dealt_out_and_nothing_else_is_shuffled(spark, monkeypatch):
+    """A shard is a few compressed arrays, whatever the number of its trigrams, and a frequent word has several."""
+    monkeypatch.setattr(quality, "SHARD_GRAMS", 500)
+    texts = spark.createDataFrame([(" ".join(f"the w{chr(97 + (i * j) % 23)}{chr(97 + i % 19)}" for i in range(40)),) for j in range(1, 60)], "text string")
+    model, rows = quality.train(texts)
+    kept = rows.collect()
+    counted = [r for r in kept if r["kind"] == 0]
+    assert {r["kind"] for r in kept} == {-1, 0} and len(counted) <= model.shards < 20
+    assert model.parts.max() > 2
+    grams = [g for r in counted for g in quality.np.cumsum(quality.unsqueeze(r["keys"], r["size"], quality.np.int64)).tolist()]
+    assert len(grams) == len(set(grams)) > 1_000
+    total = sum(int(quality.unsqueeze(r["counts"], r["size"], quality.np.int64).sum()) for r in counted)
+    assert total == 59 * (80 + 1)
+    for r in counted:
+        own = quality.np.cumsum(quality.unsqueeze(r["keys"], r["size"], quality.np.int64))
+        assert (quality.shard_of(own, model.parts, model.shards) == r["shard"]).all()
