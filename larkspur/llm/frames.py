@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,11 @@ def shuffle_width(spark: SparkSession) -> int:
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark delete files of shuffles, broadcasts and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark delete files of shuffles, broadcasts and checkpoints that nothing refers to; else they stay until the driver happens to collect its garbage.
+
+    What the last query holds is only let go a little after it, in a second round.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)  # what a query has sent is let go a little after it has ended

@@ -9,8 +9,8 @@ bits, so an n-gram is a whole number, its context and suffix are bits of it.
 Fitting takes all trusted documents, in folds by a hash of their ids: four fifths are
 counted, one fifth is held out for the thresholds.  Their ids go to every task in
 batches of bounded size, so no text is shuffled to find them.
-Trigrams are summed up per task and go to shards by their middle word, as sorted and
-compressed arrays.  A trigram's context and its suffix both have that word, so a
+Trigrams are summed up per task and go to shards by their middle word, as sorted
+arrays in which each word takes the bits of its distance (``pack_grams``).  A trigram's context and its suffix both have that word, so a
 shard knows the masses of its contexts and the distinct left neighbours of its
 bigrams.  Trigrams of frequent middle words are dealt out to several shards by their
 last word, which keeps suffixes whole; sums of these words' contexts are put together
@@ -220,6 +220,72 @@ def unsqueeze(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.T).reshape(-1).view(kind)
 
 
+def _packed(values: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Numbers of at most 25 bits: their lengths in bits, and the bits below the highest one, one after another."""
+    lengths = np.frexp(values.astype(float))[1]
+    bits = np.maximum(lengths.astype(np.int64) - 1, 0)
+    end = np.cumsum(bits)
+    begin = end - bits
+    size = (int(end[-1]) + 7) // 8
+    window = (values & ((1 << bits) - 1)) << (32 - (begin & 7) - bits)
+    out = np.zeros(size + 4)
+    for i in range(4):
+        out += np.bincount((begin >> 3) + i, weights=(window >> (24 - 8 * i)) & 255, minlength=size + 4)[: size + 4]
+    return lengths.astype(np.uint8), out[:size].astype(np.uint8).tobytes()
+
+
+def _unpacked(lengths: np.ndarray, data: bytes) -> np.ndarray:
+    bits = np.maximum(lengths.astype(np.int64) - 1, 0)
+    begin = np.cumsum(bits) - bits
+    raw = np.frombuffer(data + bytes(5), np.uint8).astype(np.int64)
+    at = begin >> 3
+    window = (raw[at] << 24) | (raw[at + 1] << 16) | (raw[at + 2] << 8) | raw[at + 3]
+    low = (window >> (32 - (begin & 7) - bits)) & ((1 << bits) - 1)
+    return np.where(lengths > 0, low | (1 << bits), 0)
+
+
+def _steps(values: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """Differences of neighbours; values as they are where ``fresh``."""
+    return np.where(fresh, values, np.diff(values, prepend=0))
+
+
+def _sums(steps: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps)
+    first = np.flatnonzero(fresh)
+    return total - (total - steps)[first][np.cumsum(fresh) - 1]
+
+
+def pack_grams(keys: np.ndarray) -> bytes:
+    """Sorted trigrams, word by word: a new middle number, a new first one or a new last one only, each by its distance where what comes before it is the same.
+
+    Frequent words have small numbers; a difference of whole trigrams would hide that.
+    """
+    if not len(keys):
+        return b""
+    middle, first, last = keys >> (2 * BITS), (keys >> BITS) & (IDS - 1), keys & (IDS - 1)
+    new_middle = np.r_[True, middle[1:] != middle[:-1]]
+    new = new_middle | np.r_[True, first[1:] != first[:-1]]
+    streams = [np.diff(middle[new_middle], prepend=0), _steps(first[new], new_middle[new]), _steps(last, new)]
+    lengths, bits = _packed(np.concatenate(streams))
+    parts = [new.astype(np.uint8) + new_middle, *np.split(lengths, np.cumsum([len(x) for x in streams[:2]]))]
+    blocks = [pa.compress(np.ascontiguousarray(x, np.uint8), codec="zstd", asbytes=True) for x in parts]
+    return b"".join([np.array([len(b) for b in blocks], np.uint32).tobytes(), *blocks, bits])
+
+
+def unpack_grams(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.empty(0, np.int64)
+    ends = (16 + np.cumsum(np.frombuffer(data[:16], np.uint32).astype(np.int64))).tolist()
+    kind = np.frombuffer(pa.decompress(data[16 : ends[0]], n, codec="zstd"), np.uint8)
+    new, new_middle = kind > 0, kind > 1
+    sizes = [int(new_middle.sum()), int(new.sum()), n]
+    lengths = [np.frombuffer(pa.decompress(data[a:b], size, codec="zstd"), np.uint8) for a, b, size in zip(ends, ends[1:], sizes)]
+    middles, firsts, lasts = np.split(_unpacked(np.concatenate(lengths), data[ends[3] :]), np.cumsum(sizes[:2]))
+    middle = np.cumsum(middles)[np.cumsum(new_middle) - 1]
+    first = _sums(firsts, new_middle[new])[np.cumsum(new) - 1]
+    return (middle << (2 * BITS)) | (first << BITS) | _sums(lasts, new)
+
+
 @dataclass
 class Figures:
     """What all shards share: discounts of trigrams and bigrams, and per number its mass and back-off weight as a context, and its probability."""
@@ -419,12 +485,12 @@ def _merged(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
 
 
 def _counts_row(shard: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return _batch(1, kind=pa.array([0], pa.int32()), shard=pa.array([shard], pa.int32()), size=pa.array([len(keys)], pa.int32()), keys=pa.array([squeeze(np.diff(keys, prepend=0))], pa.binary()), counts=pa.array([squeeze(counts)], pa.binary()))
+    return _batch(1, kind=pa.array([0], pa.int32()), shard=pa.array([shard], pa.int32()), size=pa.array([len(keys)], pa.int32()), keys=pa.array([pack_grams(keys)], pa.binary()), counts=pa.array([squeeze(counts)], pa.binary()))
 
 
 def _counts_of(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray]:
     size, keys, counts = (batch.column(_NAMES.index(c))[i].as_py() for c in ("size", "keys", "counts"))
-    return np.cumsum(unsqueeze(keys, size, np.int64)), unsqueeze(counts, size, np.int64)
+    return unpack_grams(keys, size), unsqueeze(counts, size, np.int64)
 
 
 #: What ``_totals`` counts: trigrams and bigrams by their counts up to 5; trigrams by any count; per last number its bigrams;
@@ -560,8 +626,11 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
     numbers = np.log(p)
     numbers[START] = 0.0
     numbers += np.log(backoff)
+    # Only the sums are kept beside the counts; both meet in the shuffles that need them.
+    whole = rows
     if (parts > 1).any():
-        rows = cut(rows.union(_others(rows, parts, shards, figures.trigram_costs)).repartition(shards, "shard").sortWithinPartitions("shard", "kind"))
+        rows = rows.union(cut(_others(rows, parts, shards, figures.trigram_costs)))
+        whole = rows.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
     entries, many = totals[_ENTRIES]
     down = np.argsort(-entries)
     fits = entries[down][np.cumsum(many[down]) <= HEAD]
@@ -571,7 +640,7 @@ def train(texts: DataFrame) -> tuple[Model, DataFrame] | None:
         often = assembly.counted.counts >= least
         yield pa.RecordBatch.from_pydict({"key": pa.array(assembly.part.keys[often]), "value": pa.array(assembly.part.values[often])})
 
-    head = _each_part(rows, figures, frequent, "key long, value double").toArrow()  # HEAD rows at most
+    head = _each_part(whole, figures, frequent, "key long, value double").toArrow()  # HEAD rows at most
     keys, values = head.column("key").to_numpy(), head.column("value").to_numpy()
     order = np.argsort(keys)
     return Model(vocabulary, ranks, numbers, keys[order], values[order], shards, parts, figures), rows
@@ -619,7 +688,7 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
             for s in np.unique(shard).tolist():
                 mine = shard == s
                 own = owner[each == s]
-                out.append((s, int(mine.sum()), len(own), squeeze(np.diff(distinct[mine], prepend=0)), squeeze(counts[mine].astype(np.uint32)), squeeze(own.astype(np.uint32))))
+                out.append((s, int(mine.sum()), len(own), pack_grams(distinct[mine]), squeeze(counts[mine].astype(np.uint32)), squeeze(own.astype(np.uint32))))
             if out:
                 s, sizes, many, a, b, c = zip(*out)
                 m = len(out)
@@ -654,7 +723,7 @@ def log_perplexities(docs: DataFrame, model: Model, shard_rows: DataFrame) -> Da
                 if assembly.shard != shard[i]:
                     continue  # a shard without trigrams knows none
                 row = {c: batch.column(c)[i].as_py() for c in ("size", "occurrences", "piece", "keys", "counts", "owners")}
-                value = assembly.part.of(np.cumsum(unsqueeze(row["keys"], row["size"], np.int64)))
+                value = assembly.part.of(unpack_grams(row["keys"], row["size"]))
                 counts, owners = unsqueeze(row["counts"], row["size"], np.uint32), unsqueeze(row["owners"], row["occurrences"], np.uint32)
                 part = np.bincount(owners, weights=np.repeat(value, counts))
                 at = np.flatnonzero(part)
