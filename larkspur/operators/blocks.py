@@ -18,9 +18,13 @@ import pyarrow.compute as pc
 
 #: Products that are held at once, and pairs that are scored at once.
 PRODUCTS = 1 << 22
+#: Products that are compared with limits at once, which a core's cache holds, and rows of these blocks.
+BLOCK, BLOCK_ROWS = 1 << 19, 512
 PAIRS = 1 << 18
 #: Scores that differ by less may change places when they are rounded to six digits.
 MARGIN = 1.2e-6
+#: A rounding in single precision, in which vectors of moderate size are compared first.
+EPS = 2.0**-24
 NULL, NUMBER, NAN = 0, 1, 2
 _STEP, _WIDE = Decimal("1e-6"), Context(prec=400)
 
@@ -53,6 +57,7 @@ class Vectors:
         row = np.repeat(np.arange(len(column)), self.lengths)
         place = np.arange(len(row)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         self.padded[row, place] = flat[offsets[:-1][row] + place]
+        self.columns = np.ascontiguousarray(self.padded.T)
         every = np.arange(len(column))
         with np.errstate(all="ignore"):
             self.norms = np.sqrt(dots(self, every, self, every))
@@ -77,14 +82,16 @@ def dots(a: Vectors, i: np.ndarray, b: Vectors, j: np.ndarray) -> np.ndarray:
     out = np.zeros(len(i))
     for begin in range(0, len(i), PAIRS):
         x, y, total = i[begin : begin + PAIRS], j[begin : begin + PAIRS], out[begin : begin + PAIRS]
-        for d in range(min(a.padded.shape[1], b.padded.shape[1])):
-            total += a.padded[x, d] * b.padded[y, d]
+        for left, right in zip(a.columns, b.columns):
+            total += left[x] * right[y]
     return out
 
 
 class Cosine:
     """``vectors.cosine`` of rows and queries."""
 
+    sliced = True  # some queries may be compared at a time
+
     def __init__(self, queries: pa.Array):
         self.queries = Vectors(queries)
         self.count = len(queries)
@@ -94,24 +101,27 @@ class Cosine:
     def _units(self, v: Vectors) -> tuple[np.ndarray, np.ndarray]:
         even = v.even(self.length)
         units = np.where((even & (v.norms > 0))[:, None], v.matrix(self.length), 0.0) / np.where(even & (v.norms > 0), v.norms, 1.0)[:, None]
-        return units, ~even & ~v.bad
+        return units.astype(np.float32), ~even & ~v.bad
 
     def take(self, column: pa.Array) -> None:
         self.rows = Vectors(column)
         self.units, self.odd_rows = self._units(self.rows)
 
     def most_rows(self) -> int:
-        return max(1, PRODUCTS // max(1, self.count))
-
-    def likely(self, begin: int, end: int) -> np.ndarray:
-        """Scores of all queries and some rows but for a tiny error; NaN where only ``scores`` tells."""
-        out = self.matrix @ self.units[begin:end].T
-        out[self.odd] = np.nan
-        out[:, self.odd_rows[begin:end]] = np.nan
+        return BLOCK_ROWS
+
+    def likely(self, begin: int, end: int, first: int, last: int) -> np.ndarray:
+        """Scores of some queries and some rows but for a tiny error; NaN where only ``scores`` tells."""
+        out = self.matrix[first:last] @ self.units[begin:end].T
+        if self.odd[first:last].any():
+            out[self.odd[first:last]] = np.nan
+        if self.odd_rows[begin:end].any():
+            out[:, self.odd_rows[begin:end]] = np.nan
         return out
 
     def slack(self) -> float:
-        return MARGIN
+        """Single precision errs by at most this in a product of unit vectors, in the limits as well."""
+        return MARGIN + 4 * (self.length + 8) * EPS
 
     def scores(self, query: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a, b = self.rows, self.queries
@@ -138,6 +148,9 @@ class MaxSim:
         self.used = np.flatnonzero(np.repeat(self.even, sizes))
         self.starts = np.cumsum(sizes[self.even]) - sizes[self.even]
         self.matrix = self.parts.matrix(self.length)[self.used]
+        #: Parts of each query where all have as many, else 0.
+        self.each = int(sizes[0]) if len(sizes) and self.even.all() and (sizes == sizes[0]).all() else 0
+        self.by_part = [np.ascontiguousarray(self.matrix[i :: self.each], np.float32) for i in range(self.each)]
 
     @staticmethod
     def _nested(column: pa.Array) -> tuple[np.ndarray, np.ndarray, Vectors]:
@@ -153,12 +166,39 @@ class MaxSim:
         uneven = np.r_[0, np.cumsum(~self.patches.even(self.length))]
         self.even_rows = (np.diff(self.first_patch) > 0) & (uneven[self.first_patch[1:]] == uneven[self.first_patch[:-1]])
         self.patch_matrix = self.patches.matrix(self.length)
+        sizes = np.diff(self.first_patch)
+        regular = self.each and len(sizes) and self.even_rows.all() and (sizes == sizes[0]).all() and self._single() < 1e-3 and max(self.parts.norms.max(), self.patches.norms.max()) < 1e30
+        self.sliced = bool(regular)
+        self.by_patch = [np.ascontiguousarray(self.patch_matrix[i :: sizes[0]], np.float32) for i in range(sizes[0])] if regular else []
+
+    def _top(self) -> float:
+        """The largest product of norms, times the parts of a query."""
+        top = lambda v: v.norms[v.even(self.length)].max(initial=0.0)
+        return top(self.parts) * top(self.patches) * np.diff(self.first).max(initial=0)
+
+    def _single(self) -> float:
+        """How far single precision may be off, in the limits as well."""
+        return 4 * (self.length + self.each + 8) * EPS * self._top()
 
     def most_rows(self) -> int:
+        if self.sliced:
+            return BLOCK_ROWS
         each = max(1, len(self.used)) * max(1, -(-len(self.patch_matrix) // max(1, len(self.null_rows))))
         return max(1, PRODUCTS // max(each, self.count))
 
-    def likely(self, begin: int, end: int) -> np.ndarray:
+    def likely(self, begin: int, end: int, first: int, last: int) -> np.ndarray:
+        """Some queries where parts and patches are regular, else all of them."""
+        if self.sliced:
+            out, best, product = (np.empty((last - first, end - begin), np.float32) for _ in range(3))
+            for i, part in enumerate(self.by_part):
+                target = best if i else out
+                for j, patch in enumerate(self.by_patch):
+                    np.matmul(part[first:last], patch[begin:end].T, out=product if j else target)
+                    if j:
+                        np.maximum(target, product, out=target)
+                if i:
+                    out += best
+            return out
         out = np.full((self.count, end - begin), np.nan)
         rows = np.flatnonzero(self.even_rows[begin:end])
         if len(rows) and len(self.used):
@@ -171,8 +211,7 @@ class MaxSim:
         return out
 
     def slack(self) -> float:
-        top = lambda v: v.norms[v.even(self.length)].max(initial=0.0)
-        return MARGIN + 1e-12 * top(self.parts) * top(self.patches) * np.diff(self.first).max(initial=0)
+        return MARGIN + (self._single() if self.sliced else 1e-12 * self._top())
 
     def scores(self, query: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kind, value = np.empty(len(query), np.int64), np.zeros(len(query))
@@ -208,6 +247,7 @@ class Bm25:
     """BM25 of rows' terms for queries' weights per term."""
 
     floor = MARGIN + 4e-7  # what rounds to 0 doesn't count
+    sliced = False
 
     def __init__(self, count: int, terms: pa.Array, first: np.ndarray, query: np.ndarray, weight: np.ndarray, avgdl: float, k1: float, b: float):
         self.count, self.terms, self.first, self.query, self.weight = count, terms, first, query, weight
@@ -222,7 +262,8 @@ class Bm25:
     def most_rows(self) -> int:
         return max(1, PRODUCTS // max(self.count, int(self.many.sum() // max(1, len(self.begin) - 1)), 1))
 
-    def likely(self, begin: int, end: int) -> np.ndarray:
+    def likely(self, begin: int, end: int, first: int, last: int) -> np.ndarray:
+        """All queries at once, whatever is asked for."""
         a, z = self.begin[begin], self.begin[end]
         many = self.many[a:z]
         at = np.repeat(np.arange(z - a), many)
@@ -315,13 +356,19 @@ def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim | Bm25,
         step, slack = kernel.most_rows(), kernel.slack()
         for begin in range(0, batch.num_rows, step):
             end = min(begin + step, batch.num_rows)
-            likely = kernel.likely(begin, end)
-            limits = best.limits
-            if not best.told and end - begin >= k:
-                sure = np.where(np.isnan(likely), -np.inf, likely)
-                limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
-            query, row = np.nonzero(~(likely < (limits - slack)[:, None]))
-            if len(query):
-                kind, value = kernel.scores(query, row + begin)
-                best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
+            untold = not best.told and end - begin >= k
+            many = max(1, BLOCK // (end - begin)) if kernel.sliced else max(1, kernel.count)
+            for first in range(0, kernel.count, many):
+                last = min(first + many, kernel.count)
+                likely = kernel.likely(begin, end, first, last)
+                limits = best.limits[first:last]
+                if untold:
+                    sure = np.where(np.isnan(likely), -np.inf, likely)
+                    limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
+                limits = (limits - slack).astype(likely.dtype)
+                at = np.flatnonzero(~(likely < limits[:, None]))
+                if len(at):
+                    query, row = at // (end - begin) + first, at % (end - begin)
+                    kind, value = kernel.scores(query, row + begin)
+                    best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
     yield from best.batches(ids)
