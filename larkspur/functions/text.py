@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 TOKEN = r"[\p{L}\p{N}_]+"
+WHITE_SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 ABSTENTION = "I don't have enough information to answer that."
 #: Legal forms that end a name without being part of it.
 LEGAL_SUFFIXES = ["inc", "incorporated", "corp", "corporation", "co", "company", "ltd", "limited", "llc", "llp", "lp", "plc", "gmbh", "ag", "sa", "nv", "bv", "pty", "pte", "srl", "spa"]
@@ -16,7 +17,8 @@ def tokens(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    """Without white space (as Unicode has it) at both ends."""
+    return F.btrim(text, F.lit(WHITE_SPACE))
 
 
 def word_count(text: Column) -> Column:

@@ -7,26 +7,10 @@ import time
 
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.frames import cut, delete_path, is_small, join_small, scratch_path, shared_dir
+from larkspur.frames import cut, delete_path, is_small, join_small, scratch_path, shared_dir, small_batches
 
 __all__ = ["cut", "delete_path", "is_small", "join_small", "release", "scratch_path", "shared_dir", "shuffle_width", "small_batches", "table"]
 
-_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-_DEFAULT_BYTES = 64 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after Arrow batches have been limited to 8 MB unless the session sets a limit of its own.
-
-    Whole texts travel in these batches, which both the executor and its Python
-    workers hold outside Spark's memory management.  The limit is read when the
-    plan runs, so it stays set for the session.
-    """
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_BYTES).rstrip("bB") == str(_DEFAULT_BYTES):
-        conf.set(_BATCH_BYTES, str(8 << 20))
-    return df
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -280,11 +280,11 @@ class Bm25:
 
 
 def term_counts(column: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """row, number of a term, how often it comes there; and the number of all terms of each row."""
+    """row, number of a term, how often it comes there; and the number of all terms of each row, of lists of terms or of their numbers (-1: none)."""
     offsets = column.offsets.to_numpy().astype(np.int64)
     sizes = np.diff(offsets)
     words = column.values.slice(offsets[0], offsets[-1] - offsets[0])
-    number = pc.index_in(words, value_set=terms).fill_null(-1).to_numpy().astype(np.int64)
+    number = (words if pa.types.is_integer(words.type) else pc.index_in(words, value_set=terms).fill_null(-1)).to_numpy().astype(np.int64)
     known = number >= 0
     key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes)[known] * max(1, len(terms)) + number[known], return_counts=True)
     return key // max(1, len(terms)), key % max(1, len(terms)), tf, sizes
@@ -347,28 +347,33 @@ class Best:
         yield from out.combine_chunks().to_batches(50_000)
 
 
+def meet(best: Best, kernel: Cosine | MaxSim | Bm25, batch: pa.RecordBatch) -> None:
+    """Puts what may be among the best of a batch of rows, of which the last column is compared, to the best so far."""
+    rows = pa.Table.from_batches([batch]).select(range(batch.num_columns - 1))
+    kernel.take(batch.column(batch.num_columns - 1))
+    step, slack, k = kernel.most_rows(), kernel.slack(), best.k
+    for begin in range(0, batch.num_rows, step):
+        end = min(begin + step, batch.num_rows)
+        untold = not best.told and end - begin >= k
+        many = max(1, BLOCK // (end - begin)) if kernel.sliced else max(1, kernel.count)
+        for first in range(0, kernel.count, many):
+            last = min(first + many, kernel.count)
+            likely = kernel.likely(begin, end, first, last)
+            limits = best.limits[first:last]
+            if untold:
+                sure = np.where(np.isnan(likely), -np.inf, likely)
+                limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
+            limits = (limits - slack).astype(likely.dtype)
+            at = np.flatnonzero(~(likely < limits[:, None]))
+            if len(at):
+                query, row = at // (end - begin) + first, at % (end - begin)
+                kind, value = kernel.scores(query, row + begin)
+                best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
+
+
 def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim | Bm25, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
     """query_id, the rows' columns but for the last, and score; the first column orders rows of equal score, the last is compared."""
     best = Best(kernel.count, k, getattr(kernel, "floor", -np.inf))
     for batch in batches:
-        rows = pa.Table.from_batches([batch]).select(range(batch.num_columns - 1))
-        kernel.take(batch.column(batch.num_columns - 1))
-        step, slack = kernel.most_rows(), kernel.slack()
-        for begin in range(0, batch.num_rows, step):
-            end = min(begin + step, batch.num_rows)
-            untold = not best.told and end - begin >= k
-            many = max(1, BLOCK // (end - begin)) if kernel.sliced else max(1, kernel.count)
-            for first in range(0, kernel.count, many):
-                last = min(first + many, kernel.count)
-                likely = kernel.likely(begin, end, first, last)
-                limits = best.limits[first:last]
-                if untold:
-                    sure = np.where(np.isnan(likely), -np.inf, likely)
-                    limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
-                limits = (limits - slack).astype(likely.dtype)
-                at = np.flatnonzero(~(likely < limits[:, None]))
-                if len(at):
-                    query, row = at // (end - begin) + first, at % (end - begin)
-                    kind, value = kernel.scores(query, row + begin)
-                    best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
+        meet(best, kernel, batch)
     yield from best.batches(ids)

@@ -9,17 +9,17 @@ more than once make terms meet by id, in joins of all of them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from larkspur.frames import cut, is_small, join_small
 from larkspur.functions.text import tokens
-from larkspur.operators.blocks import Bm25, best_rows, term_counts
+from larkspur.operators.blocks import Best, Bm25, meet, term_counts
 from larkspur.operators.ranking import PLACES, ranked
 
 K1, B = 1.5, 0.75
@@ -27,6 +27,7 @@ K1, B = 1.5, 0.75
 _DOCUMENT = ""
 #: Terms of queries that go to every task at once.
 BATCH_TERMS = 1 << 20
+Views = Callable[[pa.RecordBatch, pa.Array], Iterable[tuple[pa.Array, pa.Array]]]
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -81,14 +82,29 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, k1: float = K1
     if k is None or not docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         return _all_scores(docs, asked, k, k1, b)
     rows = docs.select("doc_id", tokens(F.col("text")).alias("words"))
+    return ranked(_together(rows, asked, queries.schema["query_id"], rows.schema["doc_id"], 1, lambda batch, _: [batch.columns], k, k1, b).drop("leg"), k)
+
+
+def rankings(rows: DataFrame, queries: DataFrame, count: int, views: Views, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """leg, query_id, doc_id, score, rank: ``count`` rankings by BM25 that share the reading of ``rows``, of corpora whose ids don't repeat.
+
+    Of a batch and the asked terms ``views`` gives each leg's ids and lists of terms, or
+    of their numbers among those asked (-1: none).
+    """
+    scores = _together(rows, cut(query_terms(queries)), queries.schema["query_id"], StructField("doc_id", StringType()), count, views, k, k1, b)
+    return ranked(scores, k, ("leg", "query_id"))
+
+
+def _together(rows: DataFrame, asked: DataFrame, query_id: StructField, doc_id: StructField, count: int, views: Views, k: int, k1: float, b: float) -> DataFrame:
+    """leg, query_id, doc_id, score above 0: at least the best k of each query in each leg."""
     n = max(1, -(-asked.count() // BATCH_TERMS))
     part = F.pmod(F.xxhash64("query_id"), F.lit(n))
-    legs = [_best(rows, asked if n == 1 else asked.filter(part == i), queries.schema["query_id"], k, k1, b) for i in range(n)]
-    return ranked(reduce(DataFrame.unionByName, legs).filter("score > 0"), k)
+    parts = [_best(rows, asked if n == 1 else asked.filter(part == i), query_id, doc_id, count, views, k, k1, b) for i in range(n)]
+    return reduce(DataFrame.unionByName, parts).filter("score > 0")
 
 
-def _best(rows: DataFrame, asked: DataFrame, query_id: StructField, k: int, k1: float, b: float) -> DataFrame:
-    """query_id, doc_id, score: each task's best k of its rows (doc_id, words), for a bounded number of asked terms."""
+def _best(rows: DataFrame, asked: DataFrame, query_id: StructField, doc_id: StructField, legs: int, views: Views, k: int, k1: float, b: float) -> DataFrame:
+    """leg, query_id, doc_id, score: each task's best k of its rows, for a bounded number of asked terms."""
     spark = rows.sparkSession
     table = asked.toArrow().combine_chunks()  # BATCH_TERMS rows
     ids = table.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
@@ -98,28 +114,38 @@ def _best(rows: DataFrame, asked: DataFrame, query_id: StructField, k: int, k1:
     count = len(terms.dictionary)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents with each term; then how many there are, and their lengths."""
-        total = np.zeros(count + 2, np.int64)
+        """Of each leg documents with each term; then how many there are, and their lengths."""
+        total = np.zeros((legs, count + 2), np.int64)
         for batch in batches:
-            _, term, _, length = term_counts(batch.column(0), known.value)
-            total[:count] += np.bincount(term, minlength=count)
-            total[count:] += [len(length), length.sum()]
+            for leg, (_, words) in zip(total, views(batch, known.value)):
+                _, term, _, length = term_counts(words, known.value)
+                leg[:count] += np.bincount(term, minlength=count)
+                leg[count:] += [len(length), length.sum()]
         at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(total.reshape(-1)[at], pa.int64())})
 
-    sums = rows.select("words").mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
-    total = np.zeros(count + 2, np.int64)
-    total[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
-    df, n, length = total[:count], int(total[count]), int(total[count + 1])
+    sums = rows.mapInArrow(tally, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    totals = np.zeros(legs * (count + 2), np.int64)
+    totals[sums.column("at").to_numpy()] = sums.column("n").to_numpy()
     order = np.argsort(term, kind="stable")
-    weight = table.column("qtf").to_numpy()[order] * np.log((n - df + 0.5) / (df + 0.5) + 1)[term[order]]
-    kernel = Bm25(len(ids.dictionary), terms.dictionary, np.searchsorted(term[order], np.arange(count + 1)), query[order], weight, length / max(1, n) or 1.0, k1, b)
-    shared = spark.sparkContext.broadcast((kernel, ids.dictionary))
+    first, kernels = np.searchsorted(term[order], np.arange(count + 1)), []
+    for total in totals.reshape(legs, count + 2):
+        df, n, length = total[:count], int(total[count]), int(total[count + 1])
+        weight = table.column("qtf").to_numpy()[order] * np.log((n - df + 0.5) / (df + 0.5) + 1)[term[order]]
+        kernels.append(Bm25(len(ids.dictionary), terms.dictionary, first, query[order], weight, length / max(1, n) or 1.0, k1, b))
+    shared = spark.sparkContext.broadcast((kernels, ids.dictionary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from best_rows(batches, *shared.value, k)
+        kernels, ids = shared.value
+        best = [Best(kernel.count, k, kernel.floor) for kernel in kernels]
+        for batch in batches:
+            for one, kernel, view in zip(best, kernels, views(batch, known.value)):
+                meet(one, kernel, pa.RecordBatch.from_arrays(list(view), ["doc_id", "words"]))
+        for leg, one in enumerate(best):
+            for out in one.batches(ids):
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(leg, pa.int32()), len(out)), *out.columns], ["leg", *out.schema.names])
 
-    return rows.mapInArrow(run, StructType([query_id, rows.schema["doc_id"]]).add("score", "double"))
+    return rows.mapInArrow(run, StructType([StructField("leg", IntegerType()), query_id, doc_id]).add("score", "double"))
 
 
 def _all_scores(docs: DataFrame, asked: DataFrame, k: int | None, k1: float, b: float) -> DataFrame:
