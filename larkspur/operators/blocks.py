@@ -21,6 +21,8 @@ PRODUCTS = 1 << 22
 #: Products that are compared with limits at once, which a core's cache holds, and rows of these blocks.
 BLOCK, BLOCK_ROWS = 1 << 19, 512
 PAIRS = 1 << 18
+#: Bytes of rows that are met at once, and groups of such a block's rows whose largest products tell limits.
+GATHERED, GROUPS = 1 << 25, 8
 #: Scores that differ by less may change places when they are rounded to six digits.
 MARGIN = 1.2e-6
 #: A rounding in single precision, in which vectors of moderate size are compared first.
@@ -337,6 +339,30 @@ class Best:
         self.query, self.kind, self.value = query[stay], kind[stay], value[stay]
         self.rows = rows.take(pa.array(order[stay])).combine_chunks()
 
+    def raise_limits(self, kernel: Cosine | MaxSim, rows: int, step: int) -> None:
+        """Limits from a first look at all rows: of the largest scores of groups of rows, k rows have at least the k-th.
+
+        So few rows but the best are scored, while limits that come from the first
+        rows alone let many pass.
+        """
+        many = max(1, BLOCK // min(step, rows))
+        for first in range(0, kernel.count, many):
+            last, tops = min(first + many, kernel.count), []
+            for begin in range(0, rows, step):
+                top = kernel.likely(begin, min(begin + step, rows), first, last)
+                while top.shape[1] > GROUPS:
+                    half = top.shape[1] // 2
+                    rest = top[:, 2 * half :]
+                    top = np.maximum(top[:, :half], top[:, half : 2 * half])
+                    if rest.shape[1]:
+                        top[:, :1] = np.maximum(top[:, :1], rest)
+                tops.append(top)
+            tops = np.concatenate(tops, axis=1)
+            tops[np.isnan(tops)] = -np.inf
+            sure = np.partition(tops, tops.shape[1] - self.k, axis=1)[:, tops.shape[1] - self.k]
+            self.limits[first:last] = np.maximum(self.limits[first:last], sure)
+        self.told = True
+
     def batches(self, ids: pa.Array) -> Iterator[pa.RecordBatch]:
         self.merge()
         if self.rows is None:
@@ -352,6 +378,8 @@ def meet(best: Best, kernel: Cosine | MaxSim | Bm25, batch: pa.RecordBatch) -> N
     rows = pa.Table.from_batches([batch]).select(range(batch.num_columns - 1))
     kernel.take(batch.column(batch.num_columns - 1))
     step, slack, k = kernel.most_rows(), kernel.slack(), best.k
+    if kernel.sliced and not best.told and GROUPS * (batch.num_rows // step) >= 4 * k:
+        best.raise_limits(kernel, batch.num_rows, step)
     for begin in range(0, batch.num_rows, step):
         end = min(begin + step, batch.num_rows)
         untold = not best.told and end - begin >= k
@@ -371,9 +399,23 @@ def meet(best: Best, kernel: Cosine | MaxSim | Bm25, batch: pa.RecordBatch) -> N
                 best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``GATHERED`` bytes or a little more."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= GATHERED:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def best_rows(batches: Iterator[pa.RecordBatch], kernel: Cosine | MaxSim | Bm25, ids: pa.Array, k: int) -> Iterator[pa.RecordBatch]:
     """query_id, the rows' columns but for the last, and score; the first column orders rows of equal score, the last is compared."""
     best = Best(kernel.count, k, getattr(kernel, "floor", -np.inf))
-    for batch in batches:
+    for batch in gathered(batches):
         meet(best, kernel, batch)
     yield from best.batches(ids)

@@ -24,7 +24,7 @@ from larkspur.operators.ranking import PLACES, ranked
 #: Numbers in the queries that go to every task at once, 16 MB of them.
 BATCH_NUMBERS = 1 << 21
 #: Numbers in the queries from which comparing a row costs far more than moving it, and rows per task then.
-DEALT_NUMBERS, DEALT_ROWS = 1 << 16, 1 << 16
+DEALT_NUMBERS, DEALT_ROWS = 1 << 16, 1 << 18
 
 
 def _best(rows: DataFrame, queries: DataFrame, numbers: Column, kernel: type[Cosine] | type[MaxSim], k: int) -> DataFrame:
