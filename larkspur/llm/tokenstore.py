@@ -97,37 +97,38 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.array([c for c, _ in FIELDS])
     lengths = np.full(blocks, BLOCK_IDS)
     lengths[-1] = n - (blocks - 1) * BLOCK_IDS
-    at = np.zeros(blocks, np.int64)
-    live = np.arange(blocks)
-    rows, places = [], []
-    while len(live):  # one word of every block at a time
-        here = at[live]
-        rows.append(live)
-        places.append(here)
-        here = here + counts[best[live, here]]
-        at[live] = here
-        live = live[here < lengths[live]]
-    steps = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    row, place = np.concatenate(rows), np.concatenate(places)
+    best, values, escaped, wide = best.reshape(-1), values.reshape(-1), escaped.reshape(-1), values.shape[1]
+    at = np.arange(blocks) * wide
+    ends = at + lengths
+    seen = []
+    while len(at):  # one word of every block at a time
+        seen.append(at)
+        at = at + counts.take(best.take(at))
+        live = at < ends
+        if not live.all():
+            at, ends = at[live], ends[live]
+    steps = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
+    place = np.concatenate(seen)
+    row = place // wide
     words_of = np.bincount(row, minlength=blocks)
     target = (np.cumsum(words_of) - words_of)[row] + steps
     by_place = np.empty(len(row), np.int64)
     by_place[target] = np.arange(len(row))
     row, place = row[by_place], place[by_place]
-    selector = best[row, place]
+    selector = best.take(place)
     out = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector).tolist():
         count, bits = FIELDS[s]
         if bits:
             mine = np.flatnonzero(selector == s)
-            fields = values[row[mine, None], place[mine, None] + np.arange(count)]
+            fields = values.take(place[mine, None] + np.arange(count))
             shifted = fields << (np.arange(count) * bits).astype(np.uint64)
             out[mine] |= np.bitwise_or.reduce(shifted, axis=1)
-    big = escaped[row, place] & (selector == 15)
+    big = escaped.take(place) & (selector == 15)
     if big.any():
         out[big] = ESCAPE
         raw = np.flatnonzero(big)
-        out = np.insert(out, raw + 1, values[row[raw], place[raw]])
+        out = np.insert(out, raw + 1, values.take(place[raw]))
         per_block = np.bincount(row, minlength=blocks) + np.bincount(row[raw], minlength=blocks)
     else:
         per_block = np.bincount(row, minlength=blocks)
@@ -222,6 +223,9 @@ _KIND[ord("0") : ord("9") + 1] = _DIGIT
 _KIND[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = _SIGN
 
 
+_FOLD_BYTES, _KIND_BYTES = _FOLD.tobytes(), _KIND.tobytes()  # what translate looks bytes up in faster than an index
+
+
 class WordEncoder(TextEncoder):
     """The same by way of the texts' words, for tokenizers that ``by_words`` tells.
 
@@ -239,6 +243,7 @@ class WordEncoder(TextEncoder):
         as_bytes = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
         plain["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [by_space, as_bytes]}
         self.plain = Tokenizer.from_str(json.dumps(plain))
+        self.order, self.sorted = np.empty(0, np.int64), np.empty(0, np.uint64)
         self._keep(np.empty(0, np.int64), pa.array([], pa.large_string()), np.empty(0, np.uint64), np.empty(0, np.int32), np.zeros(1, np.int64), np.empty(0, "<u4"))
         self.turn = 0
 
@@ -248,9 +253,15 @@ class WordEncoder(TextEncoder):
             strings, hashes, used, size = strings.take(pa.array(some)), hashes[some], used[some], np.diff(begin)[some]
             place = np.repeat(begin[some] - (np.cumsum(size) - size), size)
             ids, begin = ids[place + np.arange(len(place))], np.r_[0, np.cumsum(size)]
+        if len(some) or len(hashes) <= len(self.sorted):
+            self.order = np.argsort(hashes, kind="stable")
+            self.sorted = hashes[self.order]
+        else:  # those that have come to the end are put among the others
+            fresh = hashes[len(self.sorted) :]
+            by_hash = np.argsort(fresh, kind="stable")
+            at = np.searchsorted(self.sorted, fresh[by_hash], "right")
+            self.order, self.sorted = np.insert(self.order, at, len(self.order) + by_hash), np.insert(self.sorted, at, fresh[by_hash])
         self.strings, self.hashes, self.used, self.begin, self.ids = strings, hashes, used, begin, ids
-        self.order = np.argsort(hashes, kind="stable")
-        self.sorted = hashes[self.order]
 
     def _encode_each(self, words: list[str], plain: bool) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """Ids of all words in pieces, and how many each has."""
@@ -305,14 +316,14 @@ class WordEncoder(TextEncoder):
 
     def _narrow_texts(self, raw: np.ndarray, offsets: np.ndarray) -> list[memoryview]:
         """Ids of texts below U+0100, where lower case is a change of bytes; each distinct run is looked up once."""
-        data = _FOLD[raw[offsets[0] : offsets[-1]]]
+        data = np.frombuffer(bytearray(raw[offsets[0] : offsets[-1]]).translate(_FOLD_BYTES), np.uint8)
         bounds, n = offsets - offsets[0], int(offsets[-1] - offsets[0])
         if not n:
             return [memoryview(b"")] * (len(offsets) - 1)
         after = np.flatnonzero(data[:-1] == 0xC3) + 1
         capital = after[(data[after] >= 0x80) & (data[after] <= 0x9E) & (data[after] != 0x97)]  # A-grave to Thorn, without the times sign
         data[capital] += 0x20
-        kind = _KIND[data]
+        kind = np.frombuffer(bytearray(data).translate(_KIND_BYTES), np.uint8)
         letter = after[(data[after] >= 0x9F) & (data[after] != 0xB7)]  # sharp s to y-diaeresis, without the division sign
         kind[letter] = kind[letter - 1] = _LETTER
         starts = np.unique(bounds[bounds < n])
@@ -320,17 +331,22 @@ class WordEncoder(TextEncoder):
         if len(odd):  # all of their words
             gap = kind == _SPACE
             gap[starts] = True
-            word = np.cumsum(gap, dtype=np.int32 if n < 1 << 31 else np.int64)
-            whole = np.zeros(int(word[-1]) + 1, bool)
-            whole[word[odd]] = True
-            kind[whole[word] & (kind != _SPACE)] = _OTHER
+            gaps = np.r_[np.flatnonzero(gap), n]
+            word = np.searchsorted(gaps, odd, "right") - 1
+            word = word[np.r_[True, word[1:] != word[:-1]]]
+            begin, size = gaps[word], gaps[word + 1] - gaps[word]
+            at = np.repeat(begin - (np.cumsum(size) - size), size)
+            at += np.arange(len(at))
+            kind[at[kind[at] != _SPACE]] = _OTHER
         turn = kind[1:] != kind[:-1]
         turn |= kind[1:] == _DIGIT
         turn = np.r_[True, turn]
         turn[starts] = True
-        full = kind != _SPACE  # white space goes
-        before = np.r_[0, np.cumsum(np.add.reduceat(full, starts, dtype=np.int64))]
-        data, kind, turn = data[full], kind[full], turn[full]
+        before = np.r_[0, np.cumsum(np.add.reduceat(kind != _SPACE, starts, dtype=np.int64))]
+        kind |= turn.view(np.uint8) << 3
+        data = np.frombuffer(data.tobytes().translate(None, b" "), np.uint8)  # white space goes
+        kind = np.frombuffer(kind.tobytes().translate(None, bytes([_SPACE, _SPACE | 8])), np.uint8)
+        turn, kind = kind >= 8, kind & 7
         bounds = before[np.searchsorted(starts, bounds)]
         edges = np.r_[np.flatnonzero(turn), len(data)]
         runs = pa.LargeStringArray.from_buffers(len(edges) - 1, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data)).dictionary_encode()
@@ -355,7 +371,7 @@ class WordEncoder(TextEncoder):
         data = raw[offsets[0] : offsets[-1]]
         special = data >= 0xC4
         special[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
-        special = np.r_[0, np.cumsum(special)][offsets - offsets[0]]
+        special = np.searchsorted(np.flatnonzero(special), offsets - offsets[0])
         odd = np.flatnonzero(np.diff(special)).tolist()  # with characters from U+0100 on, or with what may be an added token, whose case counts
         out: list[bytes] = []
         at = 0
