@@ -392,9 +392,10 @@ def meet(best: Best, kernel: Cosine | MaxSim | Bm25, batch: pa.RecordBatch) -> N
                 sure = np.where(np.isnan(likely), -np.inf, likely)
                 limits = np.maximum(limits, np.partition(sure, end - begin - k, axis=1)[:, end - begin - k])
             limits = (limits - slack).astype(likely.dtype)
-            at = np.flatnonzero(~(likely < limits[:, None]))
+            some = np.flatnonzero(~(likely.max(axis=1) < limits))  # queries with any row that may be among the best; NaN stays
+            at = np.flatnonzero(~(likely[some] < limits[some, None]))
             if len(at):
-                query, row = at // (end - begin) + first, at % (end - begin)
+                query, row = some[at // (end - begin)] + first, at % (end - begin)
                 kind, value = kernel.scores(query, row + begin)
                 best.add(query, kind, rounded(value), rows.take(pa.array(row + begin)))
 

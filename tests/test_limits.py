@@ -58,3 +58,17 @@ def test_late_interaction_too():
     for i in range(30):
         assert [d for d, _ in got[i]] == sorted(range(12_000), key=lambda d: (-value[i, d], d))[:10]
     assert scored < 30 * 10 * 2.5
+
+
+def test_only_queries_with_a_likely_row_are_compared_row_by_row(monkeypatch):
+    rng = np.random.default_rng(7)
+    compared, inner = 0, np.flatnonzero
+
+    def flatnonzero(a):
+        nonlocal compared
+        compared += a.size
+        return inner(a)
+
+    monkeypatch.setattr(np, "flatnonzero", flatnonzero)
+    _search(Cosine(pa.array(rng.normal(size=(60, 16)).tolist())), rng.normal(size=(24_000, 16)).tolist(), 5, 24_000)
+    assert compared < 60 * 24_000 / 2
